@@ -46,12 +46,12 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema, limit: int = SLICE_BYTES) -> DataFrame:
     """``work`` on bounded slices of every batch, as a narrow (shuffle-free) step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield work(part)
 
     return df.mapInArrow(run, schema)

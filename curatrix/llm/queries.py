@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from curatrix.llm.byte_bpe import op8_byte_bpe
+from curatrix.llm.language_mixture import op5_language_mixture
 from curatrix.llm.license_scan import op7_license_scan
 from curatrix.llm.mixing import OP10_SQL, op10_source_mix
 from curatrix.llm.mpeg_audio import op3_mpeg_audio
+from curatrix.llm.skip_chain_pii import op4_skip_chain_pii
 
 QUERIES = {
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op4_skip_chain_pii": op4_skip_chain_pii,
+    "op5_language_mixture": op5_language_mixture,
     "op7_license_scan": op7_license_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_source_mix": op10_source_mix,
