@@ -7,9 +7,11 @@ from curatrix.llm.language_mixture import op5_language_mixture
 from curatrix.llm.license_scan import op7_license_scan
 from curatrix.llm.mixing import OP10_SQL, op10_source_mix
 from curatrix.llm.mpeg_audio import op3_mpeg_audio
+from curatrix.llm.pu_quality import op2_pu_quality
 from curatrix.llm.skip_chain_pii import op4_skip_chain_pii
 
 QUERIES = {
+    "op2_pu_quality": op2_pu_quality,
     "op3_mpeg_audio": op3_mpeg_audio,
     "op4_skip_chain_pii": op4_skip_chain_pii,
     "op5_language_mixture": op5_language_mixture,
