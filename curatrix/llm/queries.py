@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from curatrix.llm.byte_bpe import op8_byte_bpe
+from curatrix.llm.inner_products import OP6_SQL, op6_top_inner_products
 from curatrix.llm.language_mixture import op5_language_mixture
 from curatrix.llm.license_scan import op7_license_scan
 from curatrix.llm.mixing import OP10_SQL, op10_source_mix
@@ -15,9 +16,10 @@ QUERIES = {
     "op3_mpeg_audio": op3_mpeg_audio,
     "op4_skip_chain_pii": op4_skip_chain_pii,
     "op5_language_mixture": op5_language_mixture,
+    "op6_top_inner_products": op6_top_inner_products,
     "op7_license_scan": op7_license_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL = {"op10_source_mix": OP10_SQL}
+ORACLE_SQL = {"op6_top_inner_products": OP6_SQL, "op10_source_mix": OP10_SQL}
