@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curatrix.llm._frames import checkpointed, read
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 UNIT_BITS = 28
@@ -58,11 +60,23 @@ def digits_bin(size: Column) -> Column:
     return F.length(text) * 100 + F.substring(text, 1, 2).cast("int")
 
 
+def word_count(text_col: str) -> Column:
+    return F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
+
+
+def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
+    """``id_col, size, source_size, target, copies, taken`` of every row, texts left where they are.
+
+    The words are counted once: the narrow rows are written to the checkpoint folder, since three later steps read them.
+    """
+    rows = df.select(F.col(id_col), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("_source"))
+    return copies_of(checkpointed(rows), id_col, seed).drop("_source")
+
+
 def systematic_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
     """The rows of ``df`` with ``size, source_size, target, copies`` and ``taken`` (= copies * size)."""
     own = ("size", "source_size", "target", "copies", "taken")
-    size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
-    rows = df.withColumns({"_size": size, "_source": F.col(source_col).cast("string")}).drop(*own).withColumnRenamed("_size", "size")
+    rows = df.withColumns({"_size": word_count(text_col), "_source": F.col(source_col).cast("string")}).drop(*own).withColumnRenamed("_size", "size")
     return copies_of(rows, id_col, seed).drop("_source")
 
 
@@ -89,10 +103,7 @@ def copies_of(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
 
 
 def op10_source_mix(spark, sf_dir: str) -> DataFrame:
-    from curatrix.llm._frames import read
-
-    mixed = systematic_mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sizes(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = r"""
