@@ -1,0 +1,38 @@
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Each step is a grouped minimum and a join on the edge table, so nothing but two numbers a round reaches the driver, and the number of
+rounds grows with the logarithm of the longest chain. Every round is cut off with a reliable checkpoint.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from curatrix.llm._frames import checkpointed
+
+
+def _starred(neighbours: DataFrame, least: DataFrame, keep) -> DataFrame:
+    joined = neighbours.join(least, "u").where(keep)
+    return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node, root`` of every node of ``edges`` (any order, repeats and loops allowed); root is the component's least node."""
+    edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+    edges, before = checkpointed(edges), None
+    while True:
+        # large star: all larger neighbours of a node go to the least one of its neighbourhood
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = _starred(both, least, F.col("v") > F.col("u")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        # small star: the smaller neighbours of a node, and the node, go to the least of them
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _starred(large, down, F.lit(True)).union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        edges = checkpointed(small.distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    stars = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -9,9 +9,11 @@ from curatrix.llm.license_scan import op7_license_scan
 from curatrix.llm.mixing import OP10_SQL, op10_source_mix
 from curatrix.llm.mpeg_audio import op3_mpeg_audio
 from curatrix.llm.pu_quality import op2_pu_quality
+from curatrix.llm.simhash import op1_simhash
 from curatrix.llm.skip_chain_pii import op4_skip_chain_pii
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_pu_quality": op2_pu_quality,
     "op3_mpeg_audio": op3_mpeg_audio,
     "op4_skip_chain_pii": op4_skip_chain_pii,
