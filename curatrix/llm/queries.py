@@ -11,6 +11,7 @@ from curatrix.llm.mpeg_audio import op3_mpeg_audio
 from curatrix.llm.pu_quality import op2_pu_quality
 from curatrix.llm.simhash import op1_simhash
 from curatrix.llm.skip_chain_pii import op4_skip_chain_pii
+from curatrix.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_top_inner_products": op6_top_inner_products,
     "op7_license_scan": op7_license_scan,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mix": op10_source_mix,
 }
 
