@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that an operator's Python code takes at once; bounds a worker's memory whatever the batch size is.
 SLICE_BYTES = 4 << 20
@@ -18,15 +20,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read again: lineage ends, and executors may be lost."""
+    return _written(df, f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Only where neither that setting nor a checkpoint folder is there (tests, notebooks) is a folder of its own set.
-    """
-    context = df.sparkSession.sparkContext
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of its own only where none is named (tests, notebooks)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -41,6 +55,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def with_text(df: DataFrame, keep: Sequence[str], text_col: str) -> tuple[DataFrame, str]:
+    """The kept columns and the text, once, and the name under which it stands."""
+    if text_col in keep:
+        return df.select(*(F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in keep)), text_col
+    return df.select(*keep, F.col(text_col).cast("string").alias("_text")), "_text"
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by place, and these names by the old ones: no name can clash with an operator's own."""
+    names = {c: f"column{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a text column; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm._frames import map_slices
+from curatrix.llm._frames import map_slices, read, with_text
 
 #: Pieces (in each of two generations) and pairs that a worker remembers. Forgetting costs time but changes no id.
 PIECE_MEMO = 1 << 18
@@ -155,27 +155,25 @@ def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str =
     """
     with open(rank_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    narrow = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*narrow.drop("_text").schema, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+    narrow, name = with_text(df, keep, text_col)
+    schema = T.StructType([*(narrow.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(ranks.value, pattern)
-        encoded = [c.encode(t or "") for t in part.column("_text").to_pylist()]
+        encoded = [c.encode(t or "") for t in part.column(name).to_pylist()]
         offsets = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
         flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(offsets[-1]))
         decoded = pa.array([c.decode(x) for x in encoded], pa.binary())
         kept = [part.column(i) for i in range(len(keep))]
         return pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded], [*keep, "ids", "decoded"])
 
-    return map_slices(narrow, "_text", work, schema)
+    return map_slices(narrow, name, work, schema)
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """The registered query: digests of the ids and of the decoded bytes of all documents."""
     import public_tokenizers
 
-    from curatrix.llm._frames import read
-
     coded = bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",

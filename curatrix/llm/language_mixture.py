@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm._frames import map_slices, read, slices
+from curatrix.llm._frames import map_slices, read, slices, with_text
 
 SPACE = 1 << 18
 SMOOTHING = 0.5
@@ -169,20 +169,20 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     """``keep`` columns, ``lang_pred``, ``score`` and ``proportions`` (array of {lang, share}, the selected set only)."""
     names, logs = model
     shared = df.sparkSession.sparkContext.broadcast((names, logs))
-    narrow = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    narrow, text = with_text(df, keep, text_col)
     share = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
     own = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("proportions", share)]
-    schema = T.StructType([*(f for f in narrow.schema if f.name != "_text"), *own])
+    schema = T.StructType([*(narrow.schema[c] for c in keep), *own])
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         names, logs = shared.value
-        got = infer(part.column("_text").to_pylist(), names, logs)
+        got = infer(part.column(text).to_pylist(), names, logs)
         sets = [[{"lang": n, "share": s} for n, s in zip(names, shares) if s > 0] for _, _, shares in got]
         columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(sets, kind)]
         return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], schema.names)
 
-    return map_slices(narrow, "_text", work, schema, limit=(4 << 20) // max(4, len(names)))
+    return map_slices(narrow, text, work, schema, limit=(4 << 20) // max(4, len(names)))
 
 
 def op5_language_mixture(spark, sf_dir: str) -> DataFrame:

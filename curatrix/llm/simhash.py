@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm._frames import checkpointed, map_slices, raw_texts, read
+from curatrix.llm._frames import checkpointed, map_slices, numbered, raw_texts, read
 from curatrix.llm.components import connected_components
 
 LIMIT = 4
@@ -215,6 +215,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Ids tell documents apart: rows that share an id count as one document.
     """
+    columns = df.columns
+    df, names = numbered(df)
+    id_col, text_col = names[id_col], names[text_col]
     marked = simhash_components(df, id_col, text_col)
     chosen = marked.where(F.col("component_id").isNotNull() & (F.col(id_col) == F.col("component_id"))).select(id_col).distinct()
     rest = [F.col(c) for c, kind in df.dtypes if c != id_col and not kind.startswith("map")]
@@ -224,7 +227,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nameless = marked.where("component_id is null").select("fingerprint", "root").distinct()
     one = with_fingerprint(df.where(F.col(id_col).isNull()), text_col).join(nameless, "fingerprint")
     one = one.withColumn("_place", F.row_number().over(W.partitionBy("root").orderBy(text_col, *rest))).where("_place = 1")
-    return known.unionByName(one.select(*df.columns))
+    return known.unionByName(one.select(*df.columns)).toDF(*columns)
 
 
 def with_fingerprint(df: DataFrame, text_col: str) -> DataFrame:
