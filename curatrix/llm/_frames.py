@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.functions.session import checkpointed, written  # noqa: F401
+
 #: Text bytes that an operator's Python code takes at once; bounds a worker's memory whatever the batch size is.
 SLICE_BYTES = 4 << 20
 
@@ -20,30 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below the checkpoint folder and read again: lineage ends, and executors may be lost."""
-    return _written(df, f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own only where none is named (tests, notebooks)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold about ``limit`` bytes of ``column`` each, one row at least."""
     if not batch.num_rows:

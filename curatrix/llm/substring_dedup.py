@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,11 +118,13 @@ KEY_BYTES = 6
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Number of rows, then each column's bytes."""
-    return np.int64(len(columns[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    """Number of rows, then each column's bytes; compressed, since places and neighbouring texts repeat."""
+    raw = np.int64(len(columns[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(raw)
 
 
 def unpack(blob: bytes, *kinds: np.dtype) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
     for kind in map(np.dtype, kinds):
         out.append(np.frombuffer(blob, kind, n, at))
