@@ -11,14 +11,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Heads of words that a worker remembers; it forgets all at once, which costs time only.
+REMEMBERED = 1 << 18
+_HEADS: dict[bytes, bytes] = {}
+
+
+def _head(word: bytes) -> bytes:
+    head = _HEADS.get(word)
+    if head is None:
+        if len(_HEADS) >= REMEMBERED:
+            _HEADS.clear()
+        head = _HEADS[word] = hashlib.md5(word).digest()[:8]
+    return head
+
+
 def _fingerprint(text: str) -> str:
     counts = Counter(text.encode().split())
     if not counts:
         return "0" * 16
-    heads = np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in counts), np.uint8).reshape(-1, 8)
-    times = np.fromiter(counts.values(), np.int64, len(counts))
-    votes = (np.unpackbits(heads, axis=1).astype(np.int64) * 2 - 1) * times[:, None]
-    return np.packbits(votes.sum(axis=0) > 0).tobytes().hex()
+    bits = np.unpackbits(np.frombuffer(b"".join(map(_head, counts)), np.uint8).reshape(-1, 8), axis=1)
+    times = np.fromiter(counts.values(), np.float64, len(counts))
+    return np.packbits(2 * (times @ bits) > times.sum()).tobytes().hex()
 
 
 def _fingerprints(texts: pd.Series) -> pd.Series:

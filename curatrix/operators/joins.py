@@ -6,10 +6,12 @@ never becomes a nested loop.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import hamming
+from curatrix.functions.text import hex_lane
 from curatrix.operators.expectations import enforce, report, unique_check
 
 
@@ -62,33 +64,49 @@ def both_ends_in(pairs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     return pairs
 
 
-def _segments(digits: int, threshold: int) -> list[tuple[int, int]]:
-    """(first digit, digits) of threshold + 1 segments of a hex string, as even as can be."""
-    n = threshold + 1
+def _segments(digits: int, n: int) -> list[tuple[int, int]]:
+    """(first digit, digits) of ``n`` segments of a hex string, as even as can be."""
     if n > digits:
         raise ValueError("the threshold needs a segment for each allowed difference; use more digits")
     cuts = [i * digits // n for i in range(n + 1)]
     return [(a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def hamming_pairs(hashes: DataFrame, hash_col: str, threshold: int, digits: int = 16) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, hash_col: str, threshold: int, digits: int = 16, agree: int | None = None) -> DataFrame:
     """``left, right, hamming_distance`` over distinct hex hashes with left < right and 1 to ``threshold`` differing bits.
 
-    Exact by the pigeonhole principle: within the threshold, at least one of threshold + 1 segments is equal. A pair is kept at its
-    lowest equal segment only, so that no distinct is needed after the join. Equal hashes stand once, so copies don't multiply.
+    Exact by the pigeonhole principle: of threshold + ``agree`` segments at least ``agree`` are equal within the threshold. Hashes meet
+    on each combination of ``agree`` segments; two (the default, where the hash has digits enough) make keys twice as long as
+    one, and so candidates fewer by orders of magnitude in large tables. A pair is kept at its lowest equal combination only, so that
+    no distinct is needed after the join. Equal hashes stand once, so copies don't multiply.
     """
-    segments = _segments(digits, threshold)
+    agree = agree or (2 if threshold + 2 <= digits else 1)
+    keys = list(combinations(_segments(digits, threshold + agree), agree))
+    lanes = range(-(-digits // 16))
     distinct = hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct()
-    parts = F.array(*(F.struct(F.lit(i).alias("no"), F.substring("h", a, n).alias("value")) for i, (a, n) in enumerate(segments)))
-    pieces = distinct.select("h", F.explode(parts).alias("s")).select("h", "s.no", "s.value")
+    distinct = distinct.select("h", *(hex_lane("h", i).alias(f"lane{i}") for i in lanes))
+    parts = F.array(*(F.struct(F.lit(i).alias("no"), F.concat(*(F.substring("h", a, n) for a, n in key)).alias("value")) for i, key in enumerate(keys)))
+    pieces = distinct.select("*", F.explode(parts).alias("s")).select("h", *(f"lane{i}" for i in lanes), "s.no", "s.value")
     l, r = pieces.alias("l"), pieces.alias("r")
     joined = l.join(r, (F.col("l.no") == F.col("r.no")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.h") < F.col("r.h")))
-    lowest = F.lit(len(segments))
-    for i in reversed(range(len(segments))):
-        a, n = segments[i]
-        lowest = F.when(F.substring("l.h", a, n) == F.substring("r.h", a, n), F.lit(i)).otherwise(lowest)
-    distance = hamming(F.col("l.h"), F.col("r.h"), digits)
-    return joined.where((F.col("l.no") == lowest) & (distance <= threshold)).select(F.col("l.h").alias("left"), F.col("r.h").alias("right"), distance.cast("int").alias("hamming_distance"))
+    differ = [F.col(f"l.lane{i}").bitwiseXOR(F.col(f"r.lane{i}")) for i in lanes]
+    distance = sum((F.bit_count(x) for x in differ), F.lit(0))
+
+    def equal(key: tuple[tuple[int, int], ...]) -> Column:
+        """No bit differs in the key's digits; a segment may lie in two lanes."""
+        places = {d - 1 for a, n in key for d in range(a, a + n)}
+        out = F.lit(True)
+        for i in lanes:
+            width = min(16, digits - 16 * i)
+            mask = sum(0xF << 4 * (width - 1 - (d - 16 * i)) for d in places if 0 <= d - 16 * i < width)
+            if mask:
+                out = out & (differ[i].bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask)) == 0)
+        return out
+
+    lowest = F.lit(len(keys))
+    for i, key in reversed(list(enumerate(keys))):
+        lowest = F.when(equal(key), F.lit(i)).otherwise(lowest)
+    return joined.where((distance <= threshold) & (F.col("l.no") == lowest)).select(F.col("l.h").alias("left"), F.col("r.h").alias("right"), distance.cast("int").alias("hamming_distance"))
 
 
 def near_duplicate_pairs(df: DataFrame, threshold: int, *, key: str = "image_name", hash_col: str = "perceptual_hash", ord_col: str = "ord", extra: tuple[str, ...] = ("group_id",), digits: int = 16, across: str | None = None) -> DataFrame:
