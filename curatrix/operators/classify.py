@@ -51,7 +51,7 @@ def exclusion_reason(*, name: Column, found: Column, duplicate_of: Column, group
             (~found, F.lit("image_not_found")),
             (duplicate_of.isNotNull(), F.concat(F.lit("source_duplicate_of:"), duplicate_of)),
             (is_blank(group), F.lit("missing_group_id")),
-            (~mapped, F.concat(F.lit("unmapped_label:"), F.coalesce(normalized_label(label), F.lit("")))),
+            (~mapped, F.concat(F.lit("unmapped_label:"), F.coalesce(F.nullif(normalized_label(label), F.lit("")), F.lit("blank")))),
             (~valid, F.lit("invalid_image")),
         ]
     ).cast("string")

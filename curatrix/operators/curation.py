@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import is_blank, is_lower_hex, is_safe_relative_path, is_sha256
+from curatrix.functions.text import is_blank, is_lower_hex, is_safe_relative_path, is_sha256, normalized_label
 from curatrix.operators import dedup, sets, split
 from curatrix.operators.classify import exclusion_reason, reference_class, split_excluded
 from curatrix.operators.expectations import ExpectationFailed, check, condition, enforce, report, single_value_check, unique_check
@@ -52,7 +52,7 @@ def curate(metadata: DataFrame, files: DataFrame, labels: DataFrame, *, name: st
     """
     from curatrix.operators.classify import map_labels
 
-    rows = map_labels(metadata, raw_label, labels).join(files.withColumn("_found", F.lit(True)), name, "left")
+    rows = map_labels(metadata, raw_label, labels).withColumn(raw_label, normalized_label(F.col(raw_label).cast("string"))).join(files.withColumn("_found", F.lit(True)), name, "left")
     if official is not None:
         enforce(dedup.official_pair_checks(official, metadata, name, group, raw_label))
         rows = rows.join(dedup.official_pair_exclusions(official, name).select(name, F.regexp_extract("reason", ":(.*)", 1).alias("_kept")), name, "left")

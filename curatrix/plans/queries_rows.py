@@ -51,7 +51,7 @@ def scan_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_views("b_manifest")
     + """ SELECT image_name, CASE WHEN ord % 41 = 0 THEN 'image_not_found' WHEN ord % 37 = 0 THEN 'source_duplicate_of:' || format('doc_{:06d}', ord - 1)
-      WHEN ord % 29 = 0 THEN 'missing_group_id' WHEN source_label IS NULL THEN 'unmapped_label:' WHEN ord % 31 = 0 THEN 'invalid_image' END AS reason FROM b_manifest"""
+      WHEN ord % 29 = 0 THEN 'missing_group_id' WHEN source_label IS NULL THEN 'unmapped_label:blank' WHEN ord % 31 = 0 THEN 'invalid_image' END AS reason FROM b_manifest"""
 )
 def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manifest(spark, sf_dir, fingerprint=False)

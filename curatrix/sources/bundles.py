@@ -140,15 +140,16 @@ class RangeStream(io.RawIOBase):
     def tell(self) -> int:
         return self._at
 
-    def read(self, n: int = -1) -> bytes:
-        end = self._size if n is None or n < 0 else min(self._size, self._at + n)
+    def readinto(self, buffer) -> int:
+        end = min(self._size, self._at + len(buffer))
         if end <= self._at:
-            return b""
+            return 0
         data = self._get(self._at, end)
         if len(data) != end - self._at:
             raise OSError("short range")
+        buffer[: len(data)] = data
         self._at = end
-        return data
+        return len(data)
 
 
 def download(urls: DataFrame, get: Callable[[str], bytes] | None = None, partitions: int = 32) -> DataFrame:
