@@ -40,6 +40,8 @@ OWN_ODDS = (-0.5, 0.0)
 #: Links between equal and between unequal kinds that are counted from the start, and bounds of a link's log odds.
 LINKS_BEFORE = (150.0, 1.0)
 LINK_ODDS = (3.0, 7.0)
+#: Bounds of a neighbour's log odds: order says less than a shared key.
+CHAIN_ODDS = (-0.5, 0.5)
 ROUNDS = 12
 SHAPES, WORDS_BEFORE, COUNTS = 512, 256, 24
 
@@ -150,10 +152,14 @@ def count_evidence(df: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for text in batch.column("_text").to_pylist():
                 nodes = nodes_of(text, base_spans(text))
-                for node in nodes:
-                    n.update((0, f, node[0]) for f in features(text, node))
-                n.update((1, a[0], b[0]) for a, b in zip(nodes, nodes[1:]))
-                n.update((2, nodes[a][0], nodes[b][0]) for a, b in links(text, nodes))
+                skips = links(text, nodes)
+                # a candidate that is linked to a known span may well be personal data: it trains nothing
+                unsure = {x for a, b in skips for x, y in ((a, b), (b, a)) if nodes[x][0] == OTHER != nodes[y][0]}
+                for i, node in enumerate(nodes):
+                    if i not in unsure:
+                        n.update((0, f, node[0]) for f in features(text, node))
+                n.update((1, a[0], b[0]) for i, (a, b) in enumerate(zip(nodes, nodes[1:])) if not {i, i + 1} & unsure)
+                n.update((2, nodes[a][0], nodes[b][0]) for a, b in skips)
         keys = np.array(list(n), np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), pa.array(list(n.values()), pa.int64())], ["what", "a", "b", "n"])
 
@@ -181,7 +187,7 @@ class Field:
         groups = np.split(own, np.cumsum([SHAPES, COUNTS, COUNTS]))
         self.own = np.concatenate([np.log(g / g.sum(axis=0)) for g in groups])
         total = chain.sum()
-        self.chain = np.log(chain * total / chain.sum(axis=1, keepdims=True) / chain.sum(axis=0, keepdims=True)).clip(-1.0, 1.0)
+        self.chain = np.log(chain * total / chain.sum(axis=1, keepdims=True) / chain.sum(axis=0, keepdims=True)).clip(*CHAIN_ODDS)
         self.link = float(np.clip(np.log(agree / differ), *LINK_ODDS))
 
     def unary(self, kinds: np.ndarray, feats: np.ndarray) -> np.ndarray:
