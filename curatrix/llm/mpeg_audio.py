@@ -192,6 +192,13 @@ def _same(a: Header, b: Header) -> bool:
     return (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
 
 
+def _checksum(data: bytes, at: int, h: Header) -> bool | None:
+    """Whether the frame's checksum is right; None where it has none or covers more than the header tells."""
+    if not h.protected or h.covered < 0:
+        return None
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def read_stream(data: bytes) -> Stream:
     out = Stream()
     at = id3v2(data, out.tags)
@@ -200,9 +207,11 @@ def read_stream(data: bytes) -> Stream:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         fits = h is not None and at + h.size <= end and (out.first is None or _same(h, out.first))
-        if fits and not (synced and begun):  # a first frame, or one after junk, must lead to another one or to the end
+        if fits and at + h.size != end:
             after = header(data[at + h.size : at + h.size + 4])
-            fits = at + h.size == end or after is not None and _same(after, h)
+            if after is None or not _same(after, h):
+                # it leads to no other frame: the last one before junk, if it is in step and its checksum doesn't speak against it
+                fits = synced and begun and _checksum(data, at, h) is not False
         if not fits:
             out.resyncs += synced
             synced = False
@@ -217,9 +226,10 @@ def read_stream(data: bytes) -> Stream:
             if _bitrate_table(data, at, h, out):
                 at += h.size
                 continue
-        if h.protected and h.covered >= 0:
+        right = _checksum(data, at, h)
+        if right is not None:
             out.checked += 1
-            out.bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out.bad += not right
         out.offsets.append(at)
         out.samples += h.samples
         at += h.size
