@@ -168,3 +168,25 @@ def expected_counts(df: DataFrame, expected: Mapping[str, int], columns: Mapping
     seen = df.agg(*(columns[n].cast("long").alias(n) for n in expected))
     rows = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(int(v)).cast("long").alias("expected"), F.col(n).alias("observed")) for n, v in expected.items()))
     return seen.select(F.inline(rows)).withColumn("ok", F.col("expected") == F.col("observed"))
+
+
+#: Fixed value: the target that an error type speaks of.
+ERROR_TARGETS = {"hard_false_positive": 0, "hard_false_negative": 1}
+
+
+def priority_checks(priority: DataFrame, training: DataFrame, *, key: str = "image_name", fields: Sequence[str] = ("sha256", "group_id", "collection_id", "target")) -> DataFrame:
+    """Check rows for priority records: unique, in the training split, equal to the manifest field by field, and of the target their
+    error type says."""
+    known = training.select(key, *(F.col(f).cast("string").alias(f"_{f}") for f in fields), F.lit(True).alias("_in"))
+    joined = priority.join(known, key, "left")
+    wanted = F.element_at(F.create_map(*(F.lit(x) for kv in ERROR_TARGETS.items() for x in kv)), F.col("error_type"))
+    name = F.col(key).cast("string")
+    return report(
+        [
+            unique_check(priority, "priority_unique", key),
+            unique_check(training, "training_unique", key),
+            check(joined, "priority_in_training", F.col("_in").isNotNull(), name),
+            *(check(joined.where("_in"), f"{f}_matches", F.col(f).cast("string").eqNullSafe(F.col(f"_{f}")), name) for f in fields),
+            check(priority, "error_type_matches_target", F.col("target") == wanted, name),
+        ]
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import hex_lane
-from curatrix.operators.expectations import enforce, report, unique_check
+from curatrix.operators.expectations import check, enforce, report, unique_check
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,3 +149,14 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 def range_join(left: DataFrame, right: DataFrame, low: Column, high: Column) -> DataFrame:
     """Pairs with low < high over two small boundary tables (both are distinct boundaries, not rows)."""
     return left.join(right, low < high)
+
+
+def align(left: DataFrame, right: DataFrame, key: str, allow_superset: bool = False) -> DataFrame:
+    """``right``'s records joined to their ``left`` ones, keys unique on both sides. Every right record must be found; without
+    ``allow_superset`` the two key sets must be equal."""
+    checks = [unique_check(df, f"{name} keys are unique", key) for name, df in (("left", left), ("right", right))]
+    checks.append(check(right.join(left.select(key), key, "left_anti"), "every record is found", F.lit(False), F.col(key).cast("string")))
+    if not allow_superset:
+        checks.append(check(left.join(right.select(key), key, "left_anti"), "no record is left over", F.lit(False), F.col(key).cast("string")))
+    enforce(report(checks))
+    return right.join(left, key)

@@ -139,3 +139,17 @@ def respond(requests: DataFrame, payload: str, *, version: int, model: str, cali
     scored = parsed.withColumns({"request_id": F.col("_r.request_id"), "ok": F.col("error_code").isNull(), "score": score})
     decision = worker_decision(F.col("score"), low, high, margin)
     return scored.withColumns({k: F.when(F.col("score").isNotNull(), v) for k, v in decision.items()}).drop("_r")
+
+
+def ranked_candidates(candidates: DataFrame, keys: Sequence[tuple[str, bool]], name: str = "candidate") -> DataFrame:
+    """Candidates with ``place`` by the keys in order (column, whether higher is better), then by name. A row a candidate."""
+    from pyspark.sql import Window as W
+
+    order = [F.desc(c) if higher else F.asc(c) for c, higher in keys]
+    return candidates.withColumn("place", F.row_number().over(W.orderBy(*order, F.asc(name))))
+
+
+def best_by(df: DataFrame, group: Sequence[str], keys: Sequence[tuple[str, bool]], value: Sequence[str]) -> DataFrame:
+    """The value columns of each group's lexicographically best row: one grouped maximum of a struct of (negated) numbers."""
+    key = F.struct(*((F.col(c) if higher else -F.col(c)).alias(f"k{i}") for i, (c, higher) in enumerate(keys)))
+    return df.groupBy(*group).agg(F.max_by(F.struct(*value), key).alias("_b")).select(*group, "_b.*")

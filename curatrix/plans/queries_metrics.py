@@ -242,3 +242,17 @@ def logistic_stacker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 3).cast("int").alias("target"), *((F.col("embedding")[i].cast("double") * 4).alias(f"m{i}") for i in range(2)))
     folded = checkpointed(patient_folds(e, "vec_id", 3, 2))
     return rounded(calibration.fit_stacker(folded, ["m0", "m1"], strengths=(0.1, 1.0)))
+
+
+@query(with_views("b_pred") + _SOURCES + " SELECT source_id, round(pr_auc, 9) AS pr_auc, row_number() OVER (ORDER BY pr_auc DESC, roc_auc DESC, fp, source_id)::INTEGER AS place FROM e")
+def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by PR-AUC, ROC-AUC and few false positives."""
+    by = metrics.binary_metrics(predictions(spark, sf_dir), by=["source_id"])
+    ranked = policies.ranked_candidates(by, [("pr_auc", True), ("roc_auc", True), ("fp", False)], "source_id")
+    return rounded(ranked.select("source_id", "pr_auc", "place"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest order of each customer, the first one among equals."""
+    return policies.best_by(table(spark, sf_dir, "orders"), ["o_custkey"], [("o_totalprice", True), ("o_orderkey", False)], ["o_orderkey", "o_totalprice"])

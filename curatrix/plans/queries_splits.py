@@ -147,3 +147,48 @@ def curated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.createDataFrame([("1", 1, "good"), ("0", 0, "poor")], "raw_label string, target int, curated_label string")
     kept, _ = curation.curate(metadata, files, labels)
     return kept.select("image_name", "curated_label")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 50 = 0), bad AS (SELECT count(*) FILTER (event_id % 100 = 0) AS g, count(*) FILTER (event_id % 350 = 0) AS t, count(*) FILTER (event_id % 550 = 0) AS m FROM e)
+  SELECT "check", n = 0 AS ok, n::BIGINT AS n_bad FROM (SELECT unnest(['priority_unique', 'training_unique', 'sha256_matches', 'collection_id_matches', 'target_matches']) AS "check", 0 AS n
+    UNION ALL SELECT 'priority_in_training', m FROM bad UNION ALL SELECT 'group_id_matches', (SELECT count(*) FROM e WHERE event_id % 100 = 0 AND event_id % 550 <> 0) FROM bad UNION ALL SELECT 'error_type_matches_target', t FROM bad)""")
+def priority_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority records of every fiftieth event: some not in the training split, some of another group, some of the wrong error type."""
+    n = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(n.alias("image_name"), F.sha2(n.cast("string"), 256).alias("sha256"), F.col("user_id").alias("group_id"), F.col("event_type").alias("collection_id"), (n % 2).cast("int").alias("target"))
+    k = F.col("image_name")
+    right = F.when(F.col("target") == 0, F.lit("hard_false_positive")).otherwise(F.lit("hard_false_negative"))
+    other = F.when(F.col("target") == 1, F.lit("hard_false_positive")).otherwise(F.lit("hard_false_negative"))
+    priority = e.where(k % 50 == 0).withColumns({"group_id": F.when(k % 100 == 0, -1).otherwise(F.col("group_id")), "error_type": F.when(k % 350 == 0, other).otherwise(right)})
+    return curation.priority_checks(priority, e.where(k % 550 != 0)).drop("examples")
+
+
+@query("SELECT o_orderkey, o_orderstatus, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey HAVING count(*) = 1)")
+def superset_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines aligned with their orders, which are a superset."""
+    from curatrix.operators.joins import align
+
+    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    single = first.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("l_quantity").alias("l_quantity")).where("n = 1").drop("n")
+    return align(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), single, "o_orderkey", allow_superset=True).select("o_orderkey", "o_orderstatus", "l_quantity")
+
+
+@query("""WITH g AS (SELECT p_partkey, p_size * 13 + 7 AS w, p_partkey % 97 * 5 + 3 AS h FROM part), s AS (SELECT *, least(224.0::DOUBLE / w, 224.0::DOUBLE / h) AS k FROM g),
+  t AS (SELECT p_partkey, greatest(1, least(224, round_even(w * k, 0)))::BIGINT AS target_width, greatest(1, least(224, round_even(h * k, 0)))::BIGINT AS target_height FROM s)
+  SELECT *, (224 - target_width) // 2 AS left_, (224 - target_height) // 2 AS top_ FROM t""")
+def letterbox_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.functions.images import letterbox_geometry as geometry
+
+    sized = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 13 + 7).alias("w"), (F.col("p_partkey") % 97 * 5 + 3).alias("h"))
+    got = geometry(F.col("w"), F.col("h"), 224)
+    return sized.select("p_partkey", got["target_width"].alias("target_width"), got["target_height"].alias("target_height"), got["left"].alias("left_"), got["top"].alias("top_"))
+
+
+@query(with_views("b_manifest") + " SELECT count(*) AS images, count(DISTINCT group_id) AS groups, count(DISTINCT sha256) AS distinct_contents, count(*) FILTER (target = 1) AS positives, count(DISTINCT collection_id) AS collections FROM b_manifest")
+def dataset_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a dataset card, as a row."""
+    from curatrix.operators.provenance import dataset_card as card
+
+    made = card(manifest(spark, sf_dir, fingerprint=False), {"id": "documents"})
+    row = (made["images"], made["groups"], made["distinct_contents"], made["target_counts"].get("1", 0), len(made["collection_counts"]))
+    return spark.createDataFrame([row], "images long, groups long, distinct_contents long, positives long, collections long")

@@ -210,3 +210,33 @@ def test_stream_takes_each_request_once(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r["error_code"] or "" for r in got) == ["", "INELIGIBLE_OBSERVATION", "INVALID_REQUEST", "INVALID_REQUEST"]
     assert [r["attention_level"] for r in got if r["ok"]] == ["high"]
+
+
+def test_image_views_and_letterbox(spark):
+    from curatrix.functions import images
+
+    pixels = np.arange(40 * 20 * 3, dtype=np.uint8).reshape(20, 40, 3)
+    assert images.FILL == (124, 116, 104)
+    views = images.six_views(pixels, 8)
+    assert views.shape == (6, 8, 8, 3) and (views[1] == views[0][:, ::-1]).all() and (views[3] == views[0][::-1, ::-1]).all()
+    boxed = images.letterboxed(pixels, 10)
+    assert (boxed[0] == images.FILL).all() and (boxed[2:7] != images.FILL).any()
+    assert (images.resized(np.full((7, 9, 3), 200, np.uint8), 4, 3) == 200).all()
+    halves = images.resized(np.array([[[0] * 3, [100] * 3, [50] * 3, [150] * 3]], np.uint8), 2, 1)
+    assert halves[0, :, 0].tolist() == [50, 100]
+    df = spark.createDataFrame([("a", 40, 20, pixels.tobytes())], "key string, width int, height int, pixels binary")
+    tensor = np.array(images.preprocess(df, 8).first()["tensor"]).reshape(3, 8, 8)
+    assert np.allclose(tensor, images.normalized(images.resized(pixels, 8, 8)), atol=1e-6)
+    sizes = spark.createDataFrame([(10, 5), (3, 1000)], "w int, h int")
+    for even, want in ((True, 2), (False, 3)):
+        got = images.letterbox_geometry(F.col("w"), F.col("h"), 5, even)
+        assert [tuple(r) for r in sizes.select(got["target_width"], got["target_height"]).collect()] == [(5, want), (1, 5)]
+
+
+def test_priority_records(spark):
+    training = spark.createDataFrame([("a", "x", "g", "c", 0), ("b", "y", "h", "c", 1)], "image_name string, sha256 string, group_id string, collection_id string, target int")
+    fine = training.withColumn("error_type", F.when(F.col("target") == 0, F.lit("hard_false_positive")).otherwise(F.lit("hard_false_negative")))
+    enforce(curation.priority_checks(fine, training))
+    for broken in (fine.withColumn("sha256", F.lit("z")), fine.withColumn("error_type", F.lit("hard_false_positive")), fine.withColumn("image_name", F.lit("q"))):
+        with pytest.raises(ExpectationFailed):
+            enforce(curation.priority_checks(broken, training))
