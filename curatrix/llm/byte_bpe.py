@@ -47,12 +47,16 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for t, r in pairs:
-            self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
+            self.automaton.add_word(t.decode("latin-1"), r)
         self.automaton.make_automaton()
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
+        #: For each token: the left and the right one of the two that merge into it (itself for single bytes).
+        halves = {r: self._parts(r) for r in self.token}
+        self.begins, self.ends = ({r: h[i] for r, h in halves.items()} for i in (0, 1))
+        self.reach = max(self.sizes.values())
 
     def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, until none is in the vocabulary."""
@@ -66,17 +70,52 @@ class Codec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.rank[p] for p in parts]
 
+    def _parts(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes this one, or twice itself for those that no merge makes."""
+        t = self.token[token]
+        pieces = [t[i : i + 1] for i in range(len(t))]
+        while len(pieces) > 2:
+            ranks = [self.rank.get(a + b, token) for a, b in zip(pieces, pieces[1:])]
+            i = min(range(len(ranks)), key=ranks.__getitem__)
+            if ranks[i] >= token:
+                break
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        return (self.rank[pieces[0]], self.rank[pieces[1]]) if len(pieces) == 2 else (token, token)
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are side by side; a left of -1 asks whether the right one stays whole."""
+        """Whether the two tokens stay as they are side by side; a left of -1 asks whether the right one stays whole.
+
+        They don't if, at some moment of the merges that build them, the parts that touch make a token of lower rank than the
+        merge that comes next on either side. So the later of the two merges is undone again and again.
+        """
         known = self.pairs.get((left, right))
         if known is None:
             if len(self.pairs) >= PAIR_MEMO:
                 self.pairs.clear()
-            want = [right] if left < 0 else [left, right]
-            known = self.merged(b"".join(self.token[t] for t in want)) == want
-            self.pairs[left, right] = known
+            known = self.pairs[left, right] = self._whole(right) if left < 0 else self._whole(left) and self._whole(right) and self._apart(left, right)
         return known
 
+    def _whole(self, token: int) -> bool:
+        return self.sizes[token] == 1 or self.ends[token] != token
+
+    def _apart(self, left: int, right: int) -> bool:
+        rank, token, ends, begins = self.rank, self.token, self.ends, self.begins
+        limit = len(rank) + 1
+        while True:
+            joined = rank.get(token[left] + token[right])
+            if joined is not None and joined < limit:
+                return False
+            end, begin = ends[left], begins[right]
+            # of equal ranks the left one merges first: a merge on the left is over at its rank, one on the right just after
+            if begin == right:
+                if end == left:
+                    return True
+                limit, left = left, end
+            elif end != left and left > right:
+                limit, left = left, end
+            else:
+                limit, right = right + 1, begin
+
     def next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix, or -1."""
         found = self.shorter.get(token)
@@ -87,35 +126,39 @@ class Codec:
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.rank.get(piece)
+        rank, pairs, shorter, sizes, path, reach = self.rank, self.pairs, self.shorter, self.sizes, self.automaton.longest_prefix, self.reach
+        whole = rank.get(piece)
         if whole is not None:
             return [whole]
-        longest = [0] * len(piece)
-        for end, (token, n) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - n + 1] = token  # ends ascend: the last one written is the longest
-        usable = bytearray(b"\1") * (len(piece) + 1)
-        sizes, pairs = self.sizes, self.pairs
+        text, size = piece.decode("latin-1"), len(piece)
+        given_up: set[int] = set()
         taken: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(piece):
-            last = taken[-1] if taken else -1
+        at, last, token = 0, -1, None
+        while at < size:
+            if token is None:
+                # the longest token here: the trie tells how far any token's path goes on, the last token on it is the match
+                n = path(text[at : at + reach]) if at else path(text)
+                token = rank.get(piece[at : at + n])
+                while token is None:
+                    n -= 1
+                    token = rank.get(piece[at : at + n])
             while token >= 0:
-                end = at + sizes[token]
-                if usable[end]:
-                    fits = pairs.get((last, token))
-                    if fits or fits is None and self.compatible(last, token):
-                        break
-                token = self.next_shorter(token)
+                fits = pairs.get((last, token))
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if fits and at + sizes[token] not in given_up:
+                    break
+                token = shorter[token] if token in shorter else self.next_shorter(token)
             if token >= 0:
                 taken.append(token)
-                at = end
-                token = longest[at] if at < len(piece) else -1
-            elif taken:
-                usable[at] = 0
-                token = self.next_shorter(taken.pop())
-                at -= sizes[last]
+                at += sizes[token]
+                last, token = token, None
             else:
-                raise AssertionError("no encoding exists, although all single bytes are tokens")
+                given_up.add(at)
+                last = taken.pop()
+                at -= sizes[last]
+                token = self.next_shorter(last)
+                last = taken[-1] if taken else -1
         return taken
 
     def encode(self, text: str) -> list[int]:
@@ -124,13 +167,14 @@ class Codec:
         memo, older = self.pieces, self.older
         parts = self.split(text)
         known = list(map(memo.get, parts))
-        if None in known:
-            for i, part in enumerate(parts):
-                if known[i] is None:
-                    found = memo.get(part) or older.get(part) or tuple(self.encode_piece(part.encode()))
-                    if len(part) <= 64:
-                        memo[part] = found
-                    known[i] = found
+        i = 0
+        for _ in range(known.count(None)):
+            i = known.index(None, i)
+            part = parts[i]
+            found = memo.get(part) or older.get(part) or tuple(self.encode_piece(part.encode()))
+            if len(part) <= 64:
+                memo[part] = found
+            known[i] = found
         return list(chain.from_iterable(known))
 
     def decode(self, ids: Sequence[int]) -> bytes:
