@@ -11,7 +11,7 @@ from curatrix.llm.mpeg_audio import op3_mpeg_audio
 from curatrix.llm.pu_quality import op2_pu_quality
 from curatrix.llm.simhash import op1_simhash
 from curatrix.llm.skip_chain_pii import op4_skip_chain_pii
-from curatrix.llm.substring_dedup import op9_substring_dedup
+from curatrix.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -26,4 +26,8 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL = {"op6_top_inner_products": OP6_SQL, "op10_source_mix": OP10_SQL}
+ORACLE_SQL = {
+    "op6_top_inner_products": OP6_SQL,
+    "op9_substring_dedup": OP9_SQL,
+    "op10_source_mix": OP10_SQL,
+}
