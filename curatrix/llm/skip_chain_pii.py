@@ -66,6 +66,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """By kind as listed, then start; offsets are code points."""
     out: list[Span] = []
@@ -78,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
             if start < at:
                 out.append((0, start, m.end()))
                 done = m.end()
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m.group().replace(" ", "").replace("-", "")

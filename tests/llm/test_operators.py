@@ -288,6 +288,11 @@ def test_repeated_tokens_get_their_spans_label():
     assert skip_chain_pii.find_spans([alone], field)[0][1] == []
 
 
+def test_addresses_with_very_many_zeros():
+    text = "0" * 6000 + "1.2.3.4 and 1.2.3." + "9" * 6000
+    assert skip_chain_pii.base_spans(text) == [(1, 0, 6007)]
+
+
 def test_scanning_is_linear():
     import time
 
