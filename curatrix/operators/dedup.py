@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import blank_to_empty, normalized_label
 from curatrix.operators.expectations import check, report
 from curatrix.operators.graph import connected_components
+from curatrix.operators.windows import global_row_number
 
 
 def exact_duplicates(df: DataFrame, digest: str = "sha256") -> DataFrame:
@@ -80,7 +80,7 @@ def components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """``node, root, component_no, size``: components of a pair table, numbered from 1 by smallest member."""
     stars = connected_components(pairs, left, right)
     sizes = stars.groupBy("root").agg(F.count("*").alias("size"))
-    numbers = sizes.select("root", "size", F.row_number().over(W.orderBy("root")).alias("component_no"))
+    numbers = global_row_number(sizes, "root", "_no").select("root", "size", (F.col("_no") + 1).alias("component_no"))
     return stars.join(numbers, "root").select("node", "root", "component_no", "size")
 
 

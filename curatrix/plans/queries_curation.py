@@ -87,7 +87,7 @@ def official_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPONENTS = """, e AS (SELECT left_image_name AS a, right_image_name AS b FROM pairs UNION SELECT right_image_name, left_image_name FROM pairs),
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 stars AS (SELECT a AS node, least(a, min(b)) AS root FROM reach GROUP BY a),
-sizes AS (SELECT root, count(*) AS size, row_number() OVER (ORDER BY root)::INTEGER AS component_no FROM stars GROUP BY root)"""
+sizes AS (SELECT root, count(*) AS size, row_number() OVER (ORDER BY root) AS component_no FROM stars GROUP BY root)"""
 
 
 @query(with_views("b_hashed", recursive=True) + "," + _PAIRS + _COMPONENTS + " SELECT node, root, component_no, size FROM stars JOIN sizes USING (root)")
