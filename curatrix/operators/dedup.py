@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.text import blank_to_empty, normalized_label
 from curatrix.operators.expectations import check, report
 from curatrix.operators.graph import connected_components
+from curatrix.operators.joins import hamming_pairs
 from curatrix.operators.windows import global_row_number
 
 
@@ -84,6 +85,19 @@ def components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return stars.join(numbers, "root").select("node", "root", "component_no", "size")
 
 
+def near_duplicate_components(df: DataFrame, threshold: int, key: str = "image_name", hash_col: str = "perceptual_hash", digits: int = 16) -> DataFrame:
+    """``node, root, component_no, size`` of near-duplicate records without listing pairs of copies.
+
+    Distinct hashes are linked, each by its smallest record, and every other record of a hash is linked to that one.
+    """
+    rows = df.where(F.col(hash_col).isNotNull()).select(key, hash_col)
+    least = rows.groupBy(hash_col).agg(F.min(key).alias("first"))
+    near = hamming_pairs(rows, hash_col, threshold, digits)
+    ends = near.join(least.toDF("left", "a"), "left").join(least.toDF("right", "b"), "right").select("a", "b")
+    copies = rows.join(least, hash_col).where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"))
+    return components(ends.union(copies), "a", "b")
+
+
 def component_survivors(members: DataFrame, label: str, ranking: list[Column], key: str = "node", component: str = "root", protected: Column | None = None) -> DataFrame:
     """Members with ``retained`` (or null) and ``reason`` for those that go.
 

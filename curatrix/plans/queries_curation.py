@@ -100,12 +100,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.functions.session import checkpointed
 
     m = checkpointed(manifest(spark, sf_dir).select("image_name", "perceptual_hash"))
-    # links between distinct hashes and from every copy to its hash's smallest record: no pair of copies is listed
-    least = m.groupBy("perceptual_hash").agg(F.min("image_name").alias("first"))
-    near = joins.hamming_pairs(m, "perceptual_hash", NEAR)
-    ends = near.join(least.toDF("left", "a"), "left").join(least.toDF("right", "b"), "right").select("a", "b")
-    copies = m.join(least, "perceptual_hash").where(F.col("image_name") != F.col("first")).select(F.col("first").alias("a"), F.col("image_name").alias("b"))
-    return dedup.components(ends.union(copies), "a", "b")
+    return dedup.near_duplicate_components(m, NEAR)
 
 
 _SURVIVORS = """, mm AS (SELECT stars.*, target, collection_id, length(collection_id) AS rank FROM stars JOIN b_hashed ON node = image_name),
