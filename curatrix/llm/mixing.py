@@ -77,14 +77,16 @@ def systematic_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``df`` with ``size, source_size, target, copies`` and ``taken`` (= copies * size)."""
     own = ("size", "source_size", "target", "copies", "taken")
     rows = df.withColumns({"_size": word_count(text_col), "_source": F.col(source_col).cast("string")}).drop(*own).withColumnRenamed("_size", "size")
-    return copies_of(rows, id_col, seed).drop("_source")
+    return copies_of(rows, id_col, seed, wide=True).drop("_source")
 
 
-def copies_of(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
+def copies_of(rows: DataFrame, id_col: str, seed: int, wide: bool = False) -> DataFrame:
     tie = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
     rows = rows.withColumns({"_key": F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")), "_bin": digits_bin(F.col("size")), "_tie": tie})
     rows = rows.withColumn("_part", F.substring("_tie", 1, 2))
     narrow = rows.select("_key", "_source", "size", "_bin", "_part")
+    if wide:  # two sums read these few bytes a row: texts are not read again for each
+        narrow = checkpointed(narrow)
     targets = source_targets(narrow).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))).drop("_source")
     blocks = narrow.groupBy("_key", "_bin", "_part").agg(F.count("*").alias("_rows"))
     before = W.partitionBy("_key").orderBy("_bin", "_part").rowsBetween(W.unboundedPreceding, -1)
