@@ -148,9 +148,13 @@ def long_keys(raw: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts equal rows together, and where each group of it begins."""
-    order = np.lexsort(columns[::-1])
+def _groups(*columns: np.ndarray, sorted_by: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts equal rows together, and where each group of it begins.
+
+    ``sorted_by`` names a column that alone tells almost all rows apart: sorting by it alone is faster, and rows that agree in it but not
+    in the others merely make more groups.
+    """
+    order = np.lexsort(columns[::-1]) if sorted_by is None and len(columns) > 1 else np.argsort(columns[sorted_by or 0])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
@@ -162,24 +166,35 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _ROW = "bucket int, ord long, hx long, blob binary"
 
 
-def _row(bucket: list, ord_: list, hx: list, blob: list, names: tuple[str, ...] = ("bucket", "ord", "hx", "blob")) -> pa.RecordBatch:
-    columns = [pa.array(bucket, pa.int32()), pa.array(ord_, pa.int64()), pa.array(hx, pa.int64()), pa.array(blob, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns[4 - len(names) :], list(names))
+def _row(bucket: list, blob: list) -> pa.RecordBatch:
+    """Rows for buckets; the document is left null."""
+    none = pa.nulls(len(bucket), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), none, none, pa.array(blob, pa.binary())], ["bucket", "ord", "hx", "blob"])
 
 
-def _by_document(ord_: np.ndarray, hx: np.ndarray, *columns: np.ndarray, most: int = 4096) -> Iterator[tuple[list, list, list]]:
-    """Rows (ord, hx, packed columns), a few thousand at a time."""
-    order, first = _groups(ord_, hx)
-    cuts = [*first.tolist(), len(order)]
-    for a in range(0, len(first), most):
-        rows = [order[x:y] for x, y in zip(cuts[a : a + most], cuts[a + 1 : a + most + 1])]
-        yield [int(ord_[r[0]]) for r in rows], [int(hx[r[0]]) for r in rows], [pack(*(c[r] for c in columns)) for r in rows]
+def by_document(ord_: np.ndarray, hx: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """One row (ord, hx, blob) a document: the plain bytes of its records, cut from one buffer."""
+    order, first = _groups(ord_, hx, sorted_by=1)
+    data = np.ascontiguousarray(records[order])
+    offsets = np.append(first, len(order)) * records.dtype.itemsize
+    if len(order) and offsets[-1] >= 1 << 31:
+        raise ValueError("too many records at once")
+    blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    head = order[first]
+    return pa.RecordBatch.from_arrays([pa.array(ord_[head], pa.int64()), pa.array(hx[head], pa.int64()), blob], ["ord", "hx", "blob"])
 
 
-def _passed(ord_: np.ndarray, hx: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _passed(ord_: np.ndarray, hx: np.ndarray, buckets: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Results that a task already knows: they go through the next shuffle as they are."""
-    for o, h, blobs in _by_document(ord_, hx, *columns):
-        yield _row([x % buckets for x in h], o, h, blobs)
+    if len(ord_):
+        rows = by_document(ord_, hx, records)
+        bucket = (rows.column("hx").to_numpy().view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), *rows.columns], ["bucket", "ord", "hx", "blob"])
+
+
+#: What a document's blobs hold: places of anchors; first windows and bit masks of runs.
+_PLACE = np.dtype(np.uint32)
+_RUN = np.dtype([("first", np.uint32), ("mask", np.uint32)])
 
 
 def _dealt(key: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -190,7 +205,7 @@ def _dealt(key: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.R
     for a in range(0, len(full), 256):
         some = full[a : a + 256]
         blobs = [pack(*(c[order[cuts[b] : cuts[b + 1]]] for c in columns)) for b in some]
-        yield _row(some.tolist(), [None] * len(some), [None] * len(some), blobs)
+        yield _row(some.tolist(), blobs)
 
 
 # ---- 1: anchors
@@ -227,7 +242,7 @@ def deal_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         for c in (o, h):
             lone &= np.minimum.reduceat(c, first) == np.maximum.reduceat(c, first) if len(first) else lone
         known = np.repeat(~lone, sizes)
-        yield from _passed(o[known], h[known], buckets, at[order][known])
+        yield from _passed(o[known], h[known], buckets, at[order][known].astype(_PLACE))
         sent = np.zeros(len(order), bool)  # a shared seed: one place speaks for it; another: all of its places
         sent[np.repeat(lone, sizes)] = True
         sent[first] = True
@@ -271,8 +286,8 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
             shared |= np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
         chosen = np.repeat(shared, sizes)
         at = low.astype(np.uint32) | high.astype(np.uint32) << 16
-        for row in _by_document(o[chosen], h[chosen], at[order][chosen]):
-            yield _row([], *row, names=("ord", "hx", "blob"))
+        if chosen.any():
+            yield by_document(o[chosen], h[chosen], at[order][chosen].astype(_PLACE))
 
     return dealt.mapInArrow(run, "ord long, hx long, blob binary")
 
@@ -282,12 +297,19 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
 _SENT = (_KEY, np.int64, np.int64, np.uint32, np.uint8, np.uint8, _CONTEXT)
 
 
-def context_hashes(key: np.ndarray, left: np.ndarray, windows: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(key), np.uint64)
-    up, _ = powers(_CONTEXT_SIZE + 4)
-    for i in range(_CONTEXT_SIZE):
-        sums += (bytes_[:, i].astype(np.uint64) + np.uint64(1)) * up[i]
-    return (sums + left * up[_CONTEXT_SIZE] + windows * up[_CONTEXT_SIZE + 1]) * _MIX ^ key
+def _words(bytes_: np.ndarray) -> np.ndarray:
+    """The bytes of each row as 64-bit words, padded."""
+    out = np.zeros((len(bytes_), -(-_CONTEXT_SIZE // 8) * 8), np.uint8)
+    out[:, :_CONTEXT_SIZE] = bytes_
+    return out.view(np.uint64)
+
+
+def context_hashes(key: np.ndarray, left: np.ndarray, windows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = (key ^ (left << np.uint64(8)) ^ windows) * _MIX
+    for i in range(words.shape[1]):
+        out = (out ^ words[:, i]) * _MIX
+        out ^= out >> np.uint64(31)
+    return out
 
 
 def contexts_of(raws: list[bytes], flagged: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -317,7 +339,7 @@ def deal_contexts(flagged: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", PIECE):
                 own, raws = own_texts(part)
-                places = [np.concatenate([unpack(b, np.uint32)[0] for b in x]) for x in part.column("blobs").take(pa.array(own)).to_pylist()]
+                places = [np.frombuffer(b"".join(x), _PLACE) for x in part.column("blobs").take(pa.array(own)).to_pylist()]
                 ord_, hx = (part.column(c).to_numpy()[own] for c in ("ord", "hx"))
                 doc, key, first, left, windows, bytes_ = contexts_of(raws, places)
                 key = key & np.uint64(2**64 - 2 ** (64 - 8 * KEY_BYTES))
@@ -332,25 +354,27 @@ def deal_contexts(flagged: DataFrame, buckets: int) -> DataFrame:
         key, ord_, hx, first, left, windows, bytes_ = (np.concatenate(x) for x in zip(*held))
         if not len(key):
             return
-        same, order, group = equal_contexts(key, left, windows, bytes_)
+        same, order, group = equal_contexts(key, left, windows, bytes_, by_key=False)
         least = np.minimum.reduceat(ord_[order], same)
         covered = np.empty(len(key), bool)
         covered[order] = ord_[order] > least[group]
-        full = (np.uint32(1) << windows.astype(np.uint32)) - np.uint32(1)
-        yield from _passed(ord_[covered], hx[covered], buckets, first[covered], full[covered])
+        runs = np.empty(len(key), _RUN)
+        runs["first"], runs["mask"] = first, (np.uint32(1) << windows.astype(np.uint32)) - np.uint32(1)
+        yield from _passed(ord_[covered], hx[covered], buckets, runs[covered])
         rest = np.flatnonzero(~covered)
         yield from _dealt(key[rest], buckets, short_keys(key[rest]), *(x[rest] for x in (ord_, hx, first, left, windows, bytes_)))
 
     return flagged.mapInArrow(run, _ROW)
 
 
-def equal_contexts(key: np.ndarray, left: np.ndarray, windows: np.ndarray, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def equal_contexts(key: np.ndarray, left: np.ndarray, windows: np.ndarray, bytes_: np.ndarray, by_key: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Groups of equal contexts, first by hash, then verified: beginnings, order, and each ordered row's group number."""
-    mark = context_hashes(key, left.astype(np.uint64), windows.astype(np.uint64), bytes_)
-    order, first = _groups(key, mark)
+    words = _words(bytes_)
+    mark = context_hashes(key, left.astype(np.uint64), windows.astype(np.uint64), words)
+    order, first = _groups(key, mark, sorted_by=None if by_key else 1)
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     head = order[first][group]
-    wrong = (bytes_[order] != bytes_[head]).any(axis=1) | (left[order] != left[head]) | (windows[order] != windows[head])
+    wrong = (words[order] != words[head]).any(axis=1) | (left[order] != left[head]) | (windows[order] != windows[head])
     if wrong.any():  # a collision: group these by their bytes
         columns = (key, left, windows, *(bytes_[:, i] for i in range(_CONTEXT_SIZE)))
         order, first = _groups(*columns)
@@ -502,9 +526,11 @@ def repeated_windows(dealt: DataFrame) -> DataFrame:
             inside = i < windows[order]
             found = by[group, np.minimum(column + i, _LEFT)]
             mask |= np.where(inside & (found < o), np.uint32(1 << i), np.uint32(0))
+        runs = np.empty(len(order), _RUN)
+        runs["first"], runs["mask"] = first[order], mask
         hit = mask > 0
-        for row in _by_document(o[hit], hx[order][hit], first[order][hit], mask[hit]):
-            yield _row([], *row, names=("ord", "hx", "blob"))
+        if hit.any():
+            yield by_document(o[hit], hx[order][hit], runs[hit])
 
     return dealt.mapInArrow(run, "ord long, hx long, blob binary")
 
@@ -512,14 +538,14 @@ def repeated_windows(dealt: DataFrame) -> DataFrame:
 # ---- 4: removal
 
 
-def covered(size: int, first: np.ndarray, mask: np.ndarray) -> np.ndarray:
+def covered(size: int, runs: np.ndarray) -> np.ndarray:
     """Which bytes the marked windows cover."""
-    edge = np.zeros(size + 1, np.int64)
-    for i in range(_LEFT + 1):
-        starts = first[(mask >> np.uint32(i)) & np.uint32(1) > 0].astype(np.int64) + i
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + WINDOW, -1)
-    return np.cumsum(edge[:-1]) > 0
+    bit = np.arange(_LEFT + 1, dtype=np.uint32)
+    row, column = np.nonzero((runs["mask"][:, None] >> bit) & np.uint32(1))
+    starts = runs["first"].astype(np.int64)[row] + column
+    edge = np.bincount(starts, minlength=size + 1)
+    edge[WINDOW:] -= edge[: size + 1 - WINDOW].copy()
+    return np.cumsum(edge[:size]) > 0
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -559,8 +585,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if copy and len(raw) >= WINDOW:
                         gone = np.ones(len(raw), bool)
                     elif blobs and not copy:
-                        firsts, masks = (np.concatenate(x) for x in zip(*(unpack(b, np.uint32, np.uint32) for b in blobs)))
-                        gone = covered(len(raw), firsts, masks)
+                        gone = covered(len(raw), np.frombuffer(b"".join(blobs), _RUN))
                     n_bytes.append(len(raw))
                     removed.append(0 if gone is None else int(gone.sum()))
                     spans.append(0 if gone is None else int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
