@@ -97,11 +97,11 @@ def text_anchors(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(r) for r in raws], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(raws), np.uint8)
-    edge = np.zeros(len(data) + 1, np.int32)
+    edge = np.zeros(len(data) + 1, np.int8)  # one document at a place: small sums, small memory for long texts
     whole = sizes >= WINDOW
     np.add.at(edge, (ends - sizes)[whole], 1)
     np.add.at(edge, (ends - WINDOW + 1)[whole], -1)
-    valid = np.cumsum(edge[:-1]) > 0
+    valid = np.cumsum(edge[:-1], dtype=np.int8) > 0
     parts = []
     for a in range(0, len(data), PIECE):
         key, at, first, last = anchors(data[a : a + PIECE + WINDOW - 1], valid[a : a + PIECE])
@@ -325,11 +325,14 @@ def contexts_of(raws: list[bytes], flagged: list[np.ndarray]) -> tuple[np.ndarra
     sizes = np.array([len(r) for r in raws], np.int64)
     begin = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(raws), np.uint8)
-    column = (first - at + _LEFT)[:, None] + 0
     spot = np.arange(_CONTEXT_SIZE)[None, :]
-    used = (spot >= column) & (spot < column + (last - first)[:, None] + WINDOW)
-    where = (begin[doc] + at - _LEFT)[:, None] + spot
-    bytes_ = np.where(used, data[np.clip(where, 0, max(0, len(data) - 1))], 0).astype(np.uint8) if len(doc) else np.empty((0, _CONTEXT_SIZE), np.uint8)
+    bytes_ = np.zeros((len(doc), _CONTEXT_SIZE), np.uint8)
+    for a in range(0, len(doc), 1 << 14):
+        some = slice(a, a + (1 << 14))
+        column = (first[some] - at[some] + _LEFT)[:, None]
+        used = (spot >= column) & (spot < column + (last - first)[some, None] + WINDOW)
+        where = (begin[doc[some]] + at[some] - _LEFT)[:, None] + spot
+        bytes_[some][used] = data[where[used]]
     return doc, key, first, (at - first).astype(np.uint8), (last - first + 1).astype(np.uint8), bytes_
 
 
@@ -542,10 +545,11 @@ def covered(size: int, runs: np.ndarray) -> np.ndarray:
     """Which bytes the marked windows cover."""
     bit = np.arange(_LEFT + 1, dtype=np.uint32)
     row, column = np.nonzero((runs["mask"][:, None] >> bit) & np.uint32(1))
-    starts = runs["first"].astype(np.int64)[row] + column
-    edge = np.bincount(starts, minlength=size + 1)
-    edge[WINDOW:] -= edge[: size + 1 - WINDOW].copy()
-    return np.cumsum(edge[:size]) > 0
+    begins = np.zeros(size, np.int8)
+    begins[runs["first"].astype(np.int64)[row] + column] = 1
+    open_ = begins.copy()  # windows that begin less those that end: at most WINDOW at a byte
+    open_[WINDOW:] -= begins[:-WINDOW]
+    return np.cumsum(open_, dtype=np.int8) > 0
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
