@@ -7,8 +7,8 @@ are prefix-summed, one pseudo-random offset of the source is added, and a docume
 interval of the sum crosses. The order is by size (in bins of at most a tenth), so the words taken stay near the target.
 
 Prefix sums never put a source into one task: a source is cut into blocks by size bin and 256 hash ranges, the blocks' row
-counts are summed (at most 138,000 small rows a source, whatever the input), and only ranks within a block are counted row by
-row. All of it is DataFrame code. The sums are integers in units of 2^-28 copies, exact up to 1.7e10 rows a source.
+counts are summed bin by bin and within a bin (a few hundred rows a window, whatever the input), and only ranks within a block are
+counted row by row. All of it is DataFrame code. The sums are integers in units of 2^-28 copies, exact up to 1.7e10 rows a source.
 
 Defined cases: null text has size 0; null source is a source of its own, after the others; a source without words has target 0
 and nothing is taken from it; sizes of 0 take part (their copies hold no words); null or repeated doc_ids are rows like others
@@ -89,8 +89,12 @@ def copies_of(rows: DataFrame, id_col: str, seed: int, wide: bool = False) -> Da
         narrow = checkpointed(narrow)
     targets = source_targets(narrow).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))).drop("_source")
     blocks = narrow.groupBy("_key", "_bin", "_part").agg(F.count("*").alias("_rows"))
-    before = W.partitionBy("_key").orderBy("_bin", "_part").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(targets, "_key")
+    # sums before a bin (a few hundred rows a source), and before a part within its bin
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = blocks.groupBy("_key", "_bin").agg(F.sum("_rows").alias("_in_bin"))
+    bins = bins.withColumn("_bin_base", sum_before("_in_bin", W.partitionBy("_key").orderBy("_bin"))).drop("_in_bin")
+    blocks = blocks.withColumn("_base", sum_before("_rows", W.partitionBy("_key", "_bin").orderBy("_part"))).join(bins, ["_key", "_bin"])
+    blocks = blocks.withColumn("_base", F.col("_base") + F.col("_bin_base")).drop("_bin_base").join(targets, "_key")
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"offset-{seed}"), "_key").cast("binary")), 1, 7), 16, 10).cast("long")
     unit = float(1 << UNIT_BITS)
     step = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * unit)).otherwise(0).cast("long")
