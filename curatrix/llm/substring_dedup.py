@@ -565,8 +565,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).withColumn("hx", F.xxhash64("text"))
     # who has a text first: copies, however many, meet as partial minima of a hash
     narrow = checkpointed(rows.select("ord", "hx", F.unhex(F.md5(F.col("text").cast("binary"))).alias("h")).distinct())
-    first = narrow.groupBy("h").agg(F.min("ord").alias("least"))
-    info = checkpointed(narrow.join(first, "h").select("ord", "hx", "least"))
+    first = checkpointed(narrow.groupBy("h").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    info = checkpointed(narrow.join(first, "h", "left").select("ord", "hx", F.coalesce("least", "ord").alias("least")))
     docs = rows.repartition(parts, "ord", "hx").join(info.hint("shuffle_hash"), ["ord", "hx"])
 
     def by_document(found: DataFrame) -> DataFrame:
