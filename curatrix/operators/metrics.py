@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.numeric import next_up, sigmoid
+from curatrix.functions.session import checkpointed
 from curatrix.operators.windows import running
 
 EPS = 2.220446049250313e-16
@@ -79,15 +80,36 @@ def log_loss(p: Column, target: Column) -> Column:
 
 
 def binary_metrics(df: DataFrame, *, target: str = "target", score: str = "p", threshold: float = 0.5, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """One row (a group): ranking, threshold and probability metrics, counts and rates."""
+    """One row (a group): ranking, threshold and probability metrics, counts and rates.
+
+    The rows are read once, into the table of distinct scores; all metrics are sums over that table, which is written to the
+    checkpoint folder because several of them read it.
+    """
+    if bins < 2:
+        raise ValueError("at least two bins")
     by = list(by)
-    ranks = ranking_metrics(score_table(df, target, score, by), by)
-    table = confusion(df, target, F.col(score) >= threshold, by)
-    y = F.col(target).cast("double")
-    plain = df.groupBy(*by).agg(F.avg(F.pow(F.col(score) - y, 2)).alias("brier_score"), F.avg(y).alias("prevalence"), F.count("*").alias("n"), F.sum(F.col(target)).cast("long").alias("positive_n"), F.avg(log_loss(F.col(score), F.col(target))).alias("log_loss"))
-    ece = calibration_error(df, target, score, bins, by)
+    table = checkpointed(score_table(df, target, score, by))
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    hit = s >= threshold
+    cell = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0)).cast("long")
+    labelled = F.sum(pos + neg)
+    q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), s))
+    sums = table.groupBy(*by).agg(
+        cell("pos", hit).alias("tp"),
+        cell("neg", hit).alias("fp"),
+        cell("pos", ~hit).alias("fn"),
+        cell("neg", ~hit).alias("tn"),
+        (F.sum(pos * F.pow(1 - s, 2) + neg * F.pow(s, 2)) / labelled).alias("brier_score"),
+        (F.sum(pos) / labelled).alias("prevalence"),
+        F.sum("n").cast("long").alias("n"),
+        F.sum("pos").cast("long").alias("positive_n"),
+        (-F.sum(pos * F.log(q) + neg * F.log(1 - q)) / labelled).alias("log_loss"),
+    )
+    number = F.least(F.floor(s * bins), F.lit(bins - 1))
+    binned = table.groupBy(*by, number.alias("_bin")).agg((F.sum(s * (pos + neg)) - F.sum("pos")).alias("_gap"), labelled.alias("_n"))
+    ece = binned.groupBy(*by).agg((F.sum(F.abs("_gap")) / F.sum("_n")).alias("expected_calibration_error"))
     join = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))
-    out = join(join(join(ranks, table), plain), ece)
+    out = join(join(ranking_metrics(table, by), sums), ece)
     return out.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
@@ -100,7 +122,7 @@ def threshold_for_sensitivity(df: DataFrame, minimum: float, *, target: str = "t
     """``by, threshold``: the highest score that keeps the sensitivity."""
     if not 0 < minimum <= 1:
         raise ValueError("the minimum must be in (0, 1]")
-    ranked = ranked_scores(score_table(df, target, score, by), by)
+    ranked = ranked_scores(checkpointed(score_table(df, target, score, by)), by)
     return ranked.where(F.col("run_pos") / F.col("tot_pos") >= minimum).groupBy(*by).agg(F.max("score").alias("threshold"))
 
 
@@ -108,7 +130,7 @@ def threshold_for_specificity(df: DataFrame, minimum: float, *, target: str = "t
     """``by, threshold``: the smallest of the scores and their next larger doubles that keeps the specificity."""
     if not 0 < minimum <= 1:
         raise ValueError("the minimum must be in (0, 1]")
-    table = score_table(df, target, score, by)
+    table = checkpointed(score_table(df, target, score, by))
     up = running(table, ["neg"], "score", partition=by)
     totals = table.groupBy(*by).agg(F.sum("neg").alias("tot_neg"))
     joined = up.join(totals, list(by)) if by else up.crossJoin(F.broadcast(totals))
@@ -155,6 +177,7 @@ def best_three_zone_thresholds(df: DataFrame, *, target: str = "target", score:
     """
     by = list(by)
     table = df.groupBy(*by, F.col(score).alias("score")).agg(F.count("*").alias("n"), *(F.sum((F.col(target) == t).cast("int")).cast("long").alias(f"c{t}") for t in range(3)))
+    table = checkpointed(table)
     ranked = running(table, ["n", "c0", "c1", "c2"], "score", partition=by)
     from pyspark.sql import Window as W
 

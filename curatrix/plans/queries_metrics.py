@@ -60,7 +60,7 @@ def binary_metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking metrics over a fact table with many distinct scores."""
     li = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("target"), (F.col("l_extendedprice") / 200000.0).alias("p"))
-    return rounded(metrics.ranking_metrics(metrics.score_table(li, "target", "p")))
+    return rounded(metrics.ranking_metrics(checkpointed(metrics.score_table(li, "target", "p"))))
 
 
 @query(with_views("b_pred") + ", " + _ranks("b_pred") + " SELECT round(max(s), 9) AS threshold FROM r WHERE rp / tp_ >= 0.9")
