@@ -89,8 +89,8 @@ def _descend(step, size: int, decay: float = 0.0) -> np.ndarray:
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled, from a classifier of the one against the other.
 
-    Two halves score each other, so that the classifier's overfitting doesn't count; each ratio is taken at the upper end of its
-    own standard error, so that the least of many noisy ratios isn't too small.
+    Two halves score each other, so that the classifier's overfitting doesn't count; ratios are taken where at least ``TAIL`` of the
+    positives stand above, so that they aren't noisy.
     """
     ratios, decay = [], DECAY + 1 / len(positive)
     for half in (0, 1):
@@ -102,9 +102,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         cuts = on_p[: max(1, int(len(q) * (1 - TAIL)))]
         above_p = 1 - np.searchsorted(on_p, cuts) / len(q)
         above_u = 1 - np.searchsorted(on_u, cuts) / len(v)
-        ratio = above_u / above_p
-        error = ratio * np.sqrt((1 - above_p) / (above_p * len(q)) + (1 - above_u) / (np.maximum(above_u, 1e-9) * len(v)))
-        ratios.append((ratio + error).min())
+        ratios.append((above_u / above_p).min())
     return float(np.clip(np.mean(ratios or [0.5]), 0.05, 0.95))
 
 
