@@ -3,9 +3,10 @@
 Base spans are the leftmost non-overlapping matches of four patterns, each kind for itself, less those that fail its test. The random
 field labels the other candidate tokens of a document (runs with a digit or an at sign). Its nodes are base spans, clamped to their
 kind, and candidates; neighbouring nodes share chain potentials; nodes that are repeated or similar anywhere in the document (same
-letters and digits, same last ten digits, or the local part of an address) share skip potentials. Loopy sum-product message passing
+letters and digits, same last ten digits, or the local part of an address) share skip potentials. Loopy sum-product message passing, until it settles,
 gives each candidate a label distribution, and a candidate whose label is sure enough becomes a span too. Skip links join each
-node to the next one of the same key, so a key with n nodes costs n - 1 links, not all pairs.
+candidate to known spans of its key, so other mentions, however many, neither pass the evidence on nor outvote it, and a key with n nodes costs
+at most 2n links, not all pairs.
 
 Potentials are trained here: naive Bayes features of nodes, label transitions of neighbours and agreement of linked nodes are counted
 over all documents, with the base patterns as distant labels. A candidate's own evidence is clipped, since its distant label only says
@@ -21,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,8 @@ LINKS_BEFORE = (150.0, 1.0)
 LINK_ODDS = (3.0, 7.0)
 #: Bounds of a neighbour's log odds: order says less than a shared key.
 CHAIN_ODDS = (-0.5, 0.5)
-ROUNDS = 12
+#: Messages are passed until none moves by more than SETTLED; the bound of rounds is for graphs that never settle.
+SETTLED, ROUNDS = 1e-4, 1000
 SHAPES, WORDS_BEFORE, COUNTS = 512, 256, 24
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,23 +129,52 @@ def features(text: str, node: Span) -> list[int]:
 FEATURES = SHAPES + 2 * COUNTS + WORDS_BEFORE
 
 
-def links(text: str, nodes: list[Span]) -> list[tuple[int, int]]:
-    """Skip links between each node and the next one that shares a key with it."""
-    last: dict[str, int] = {}
-    out = set()
-    for i, (kind, start, end) in enumerate(nodes):
+def links(text: str, nodes: list[Span]) -> list[tuple[int, int, int]]:
+    """Skip links ``left, right, steps``.
+
+    A candidate is linked to the known spans next before and after it under each of its keys. If only other candidates share its keys, and
+    those share keys with a known span, it is linked to a span of each kind so reached, keys as many steps away. Known spans of a key, and
+    candidates of a key that no known span reaches, are linked each to the next one.
+    """
+    keys: list[set[str]] = []
+    places: dict[str, list[int]] = {}
+    for i, (_, start, end) in enumerate(nodes):
         token = text[start:end].lower()
         digits = "".join(c for c in token if "0" <= c <= "9")
-        keys = {_LETTERS.sub("", token)}
+        own = {_LETTERS.sub("", token)}
         if len(digits) >= 10:
-            keys.add("digits " + digits[-10:])
+            own.add("digits " + digits[-10:])
         if "@" in token:
-            keys.add(_LETTERS.sub("", token.split("@")[0]))
-        for key in keys:
-            if len(key) >= 6:
-                if key in last:
-                    out.add((last[key], i))
-                last[key] = i
+            own.add(_LETTERS.sub("", token.split("@")[0]))
+        keys.append({k for k in own if len(k) >= 6})
+        for key in keys[i]:
+            places.setdefault(key, []).append(i)
+    out = set()
+    spans = {i: {node[0]: i} for i, node in enumerate(nodes) if node[0] != OTHER}  # by node reached: known span by kind
+    newest, steps = list(spans), 1
+    left = {key for key, at in places.items() if len(at) > 1}
+    while newest:
+        now = sorted({key for i in newest for key in keys[i]} & left)
+        left.difference_update(now)
+        new: dict[int, dict[int, int]] = {}
+        for key in now:
+            at = places[key]
+            for order in (at, at[::-1]):
+                last = None
+                for i in order:
+                    if i in spans:
+                        if steps == 1 and last is not None:
+                            out.add((min(last, i), max(last, i), 1))
+                        last = i
+                    elif last is not None:
+                        for kind, span in spans[last].items():
+                            first = new.setdefault(i, {}).setdefault(kind, span)
+                            if steps == 1 or first == span:
+                                out.add((min(span, i), max(span, i), steps))
+        spans |= new
+        newest, steps = list(new), steps + 1
+    for key in left:
+        out.update((a, b, 1) for a, b in zip(places[key], places[key][1:]))
     return sorted(out)
 
 
@@ -160,12 +192,12 @@ def count_evidence(df: DataFrame, text_col: str) -> DataFrame:
                 nodes = nodes_of(text, base_spans(text))
                 skips = links(text, nodes)
                 # a candidate that is linked to a known span may well be personal data: it trains nothing
-                unsure = {x for a, b in skips for x, y in ((a, b), (b, a)) if nodes[x][0] == OTHER != nodes[y][0]}
+                unsure = {x for a, b, _ in skips for x, y in ((a, b), (b, a)) if nodes[x][0] == OTHER != nodes[y][0]}
                 for i, node in enumerate(nodes):
                     if i not in unsure:
                         n.update((0, f, node[0]) for f in features(text, node))
                 n.update((1, a[0], b[0]) for i, (a, b) in enumerate(zip(nodes, nodes[1:])) if not {i, i + 1} & unsure)
-                n.update((2, nodes[a][0], nodes[b][0]) for a, b in skips)
+                n.update((2, nodes[a][0], nodes[b][0]) for a, b, _ in skips)
         keys = np.array(list(n), np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), pa.array(list(n.values()), pa.int64())], ["what", "a", "b", "n"])
 
@@ -196,12 +228,18 @@ class Field:
         self.chain = np.log(chain * total / chain.sum(axis=1, keepdims=True) / chain.sum(axis=0, keepdims=True)).clip(*CHAIN_ODDS)
         self.link = float(np.clip(np.log(agree / differ), *LINK_ODDS))
 
+    def links(self, steps: int) -> np.ndarray:
+        """Log potentials of links of 1 to ``steps`` steps: those of as many single links in a row, with nothing known of the nodes between."""
+        one = np.exp(np.where(np.eye(LABELS, dtype=bool), self.link, 0.0))
+        one /= one.sum(axis=1, keepdims=True)
+        return np.log(np.stack(list(accumulate([one] * steps, np.matmul))))
+
     def unary(self, kinds: np.ndarray, feats: np.ndarray) -> np.ndarray:
         """Log evidence of each node; base spans are clamped."""
         score = self.prior + self.own[feats].sum(axis=1)
         odds = (score - score[:, [OTHER]]).clip(*OWN_ODDS)
         odds[:, OTHER] = 0.0
-        clamped = np.where(np.arange(LABELS) == kinds[:, None], 0.0, -60.0)
+        clamped = np.where(np.arange(LABELS) == kinds[:, None], 0.0, -np.inf)
         return np.where((kinds == OTHER)[:, None], odds, clamped)
 
 
@@ -212,17 +250,24 @@ def beliefs(unary: np.ndarray, left: np.ndarray, right: np.ndarray, potentials:
     e = len(left)
     back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
     message = np.zeros((2 * e, LABELS))
-    for _ in range(ROUNDS if e else 0):
+    live = np.arange(2 * e)
+    for _ in range(ROUNDS):
+        if not len(live):
+            break
         total = unary.copy()
         np.add.at(total, target, message)
-        out = total[source] - message[back]
+        out = total[source[live]] - message[back[live]]
         out = np.exp(out - out.max(axis=1, keepdims=True))
-        new = np.log(np.einsum("ei,eij->ej", out, pair) + 1e-30)
+        new = np.log(np.einsum("ei,eij->ej", out, pair[live]) + 1e-30)
         new -= np.log(np.exp(new).sum(axis=1, keepdims=True))
-        moved = np.abs(new - message).max(initial=0.0)
-        message = 0.5 * message + 0.5 * new
-        if moved < 1e-4:
-            break
+        moved = live[np.abs(new - message[live]).max(axis=1) >= SETTLED]
+        message[live] = 0.5 * message[live] + 0.5 * new
+        # next: what still moves, and what leaves a node that a moving message reaches
+        stirred = np.zeros(len(unary), bool)
+        stirred[target[moved]] = True
+        again = stirred[source]
+        again[moved] = True
+        live = np.flatnonzero(again)
     total = unary.copy()
     if e:
         np.add.at(total, target, message)
@@ -236,7 +281,7 @@ def find_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Sp
     kinds: list[int] = []
     feats: list[list[int]] = []
     chain: list[tuple[int, int]] = []
-    skip: list[tuple[int, int]] = []
+    skip: list[tuple[int, int, int]] = []
     owners: list[tuple[int, Span]] = []
     for d, text in enumerate(texts):
         nodes = nodes_of(text, base[d])
@@ -247,15 +292,19 @@ def find_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Sp
         feats += [features(text, n) for n in nodes]
         owners += [(d, n) for n in nodes]
         chain += [(first + i, first + i + 1) for i in range(len(nodes) - 1)]
-        skip += [(first + a, first + b) for a, b in links(text, nodes)]
+        skip += [(first + a, first + b, steps) for a, b, steps in links(text, nodes)]
     found = [list(b) for b in base]
     if kinds:
-        edges = np.array(chain + skip, np.int64).reshape(-1, 2)
-        link = np.where(np.eye(LABELS, dtype=bool), field.link, 0.0)
-        potentials = np.concatenate([np.broadcast_to(field.chain, (len(chain), LABELS, LABELS)), np.broadcast_to(link, (len(skip), LABELS, LABELS))])
+        edges = np.array(chain + [s[:2] for s in skip], np.int64).reshape(-1, 2)
+        by_steps = field.links(max((s[2] for s in skip), default=1))
+        potentials = np.concatenate([np.broadcast_to(field.chain, (len(chain), LABELS, LABELS)), by_steps[[s[2] - 1 for s in skip]].reshape(-1, LABELS, LABELS)])
         share = beliefs(field.unary(np.array(kinds), np.array(feats)), edges[:, 0], edges[:, 1], potentials)
         best = share.argmax(axis=1)
-        for i in np.flatnonzero((np.array(kinds) == OTHER) & (best != OTHER) & (share.max(axis=1) >= SURE)):
+        known = np.array(kinds) != OTHER
+        tied = np.zeros(len(kinds), bool)  # to a known span: neighbours alone make no span, however often a candidate stands beside known ones
+        for near, far in (edges[len(chain) :].T, edges[len(chain) :, ::-1].T):
+            tied[near[known[far]]] = True
+        for i in np.flatnonzero(~known & tied & (best != OTHER) & (share.max(axis=1) >= SURE)):
             d, (_, start, end) = owners[i]
             found[d].append((int(best[i]), start, end))
     return [(b, sorted(f)) for b, f in zip(base, found)]

@@ -288,6 +288,37 @@ def test_repeated_tokens_get_their_spans_label():
     assert skip_chain_pii.find_spans([alone], field)[0][1] == []
 
 
+class Doubtful(skip_chain_pii.Field):
+    """All candidates' own evidence is the least there can be."""
+
+    def unary(self, kinds, feats):
+        out = super().unary(kinds, feats)
+        out[kinds == skip_chain_pii.OTHER] = [skip_chain_pii.OWN_ODDS[0]] * skip_chain_pii.OTHER + [0.0]
+        return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 40, 1000])
+def test_mentions_do_not_outvote_a_known_span(n):
+    for field in (skip_chain_pii.Field([]), Doubtful([])):
+        for text in ("Call +1 (988) 555-2485 now." + " Later (988) 555-2485 again." * n, "(988) 555-2485 or " * n + "+1 (988) 555-2485."):
+            base, spans = skip_chain_pii.find_spans([text], field)[0]
+            assert len(base) == 1 and len(spans) == n + 1
+
+
+@pytest.mark.parametrize("n", [1, 6, 40])
+def test_mentions_of_mentions(n):
+    text = "Mail bosbt.42@mail8.example.com, bosbt.42@work or " + "bosbt42work " * n
+    base, spans = skip_chain_pii.find_spans([text], Doubtful([]))[0]
+    assert len(base) == 1 and len(spans) == n + 2
+
+
+def test_neighbours_alone_make_no_span():
+    field = skip_chain_pii.Field([(1, 0, 0, 1000), (1, skip_chain_pii.OTHER, skip_chain_pii.OTHER, 1000)])
+    text = " ".join(f"write a{i}@b.com item 1234567" for i in range(60))
+    base, spans = skip_chain_pii.find_spans([text], field)[0]
+    assert len(base) == 60 and spans == base
+
+
 def test_addresses_with_very_many_zeros():
     text = "0" * 6000 + "1.2.3.4 and 1.2.3." + "9" * 6000
     assert skip_chain_pii.base_spans(text) == [(1, 0, 6007)]
