@@ -4,7 +4,9 @@ The words of all templates (base phrases and licence texts) build one suffix aut
 each word the automaton holds the longest run of words ending there that some template contains (the matching statistics).
 Whole base phrases are read off the automaton's states. Maximal runs of at least ``MIN_RUN`` words are chained template by
 template, in order in both text and template with at most ``MAX_GAP`` words between; a template whose chain covers at least
-``MIN_COVER`` of its words labels the text, and the chain's extent is its span.
+``MIN_COVER`` of its words labels the text, and the chain's extent is its span, unless templates of another label cover more words
+of the same place (sibling licences share most of their words). Of labels that cover equally many, in terms
+that licences share, those stand that cover most of the whole text.
 
 Defined cases: null and empty texts have no words, no labels and score 0; texts of any length stream through in one pass with
 memory for their words; repeated rows and null ids give a row each; an empty table gives an empty table; other columns are not
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import lru_cache
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +64,46 @@ TEMPLATES = {
     "cc-by-sa": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.""",
 }
 
+_GNU = """This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} Public License as
+    published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version. This {what} is
+    distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+    FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."""
+_CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+_BSD_3 = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+    this software without specific prior written permission."""
+
+#: Further texts of licences: sibling licences' notices, and what follows the openings above.
+MORE = [
+    ("gpl-2", _GNU.format(what="program", stop=";", comma=";", name="General", version=2)),
+    ("lgpl-2.1", _GNU.format(what="library", stop=";", comma=";", name="Lesser General", version="2.1")),
+    ("lgpl-3", _GNU.format(what="library", stop=":", comma=",", name="Lesser General", version=3)),
+    ("agpl-3", _GNU.format(what="program", stop=":", comma=",", name="Affero General", version=3)),
+    *((f"cc-by{label}", _CC.format(name)) for label, name in (("", ""), ("-nd", "-NoDerivatives"), ("-nc-sa", "-NonCommercial-ShareAlike"), ("-nc-nd", "-NonCommercial-NoDerivatives"))),
+    ("mit", """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+        ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", _BSD_3),
+    ("bsd", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+        NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+        COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+        DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+        TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("unlicense", """In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+        the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law."""),
+]
+
+#: Licences whose whole terms stand in ``licenses``; they are cut into templates of ``PART`` words, so that any part of them is found.
+BODIES = ("apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "mpl-2")
+PART = 100
+
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -186,10 +229,37 @@ class Automaton:
         return sorted(found)
 
 
+def bodies() -> list[tuple[str, bool, list[bytes]]]:
+    out = []
+    for label in BODIES:
+        tokens = words((files("curatrix.llm") / "licenses" / f"{label}.txt").read_bytes())
+        cuts = [*range(0, max(1, len(tokens) - PART // 2), PART), len(tokens)]
+        out += [(label, False, tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
 @lru_cache(maxsize=1)
 def automaton() -> Automaton:
     base = [(label, True, words(text.encode())) for text, label in PHRASES.items()]
-    return Automaton(base + [(label, False, words(text.encode())) for label, text in TEMPLATES.items()])
+    return Automaton(base + [(label, False, words(text.encode())) for label, text in [*TEMPLATES.items(), *MORE]] + bodies())
+
+
+Found = tuple[str, int, int, float, int]  # label, first word, end, covered share, covered words
+
+
+def best_labels(spans: list[Found]) -> list[Found]:
+    """The spans that cover ``MIN_COVER`` of their template, without those where another label covers more words of the place, or as many and more of the text."""
+    sure = [s for s in spans if s[3] >= MIN_COVER]
+    total = {label: sum(x[4] for x in sure if x[0] == label) for label in {x[0] for x in sure}}
+    out = []
+    for s in sure:
+        here = {label: 0.0 for label in total}  # covered words within the span's extent
+        for label, start, end, _, covered in spans:
+            if label in here and start < s[2] and s[1] < end:
+                here[label] += covered * (min(end, s[2]) - max(start, s[1])) / (end - start)
+        if all((round(here[x], 6), total[x]) <= (round(here[s[0]], 6), total[s[0]]) for x in total):
+            out.append(s)
+    return out
 
 
 def scan_text(raw: bytes) -> dict:
@@ -197,9 +267,12 @@ def scan_text(raw: bytes) -> dict:
     tokens = list(map(a.vocabulary.get, words(raw)))
     bases, runs = a.scan(tokens)
     spans = [(a.templates[t][0], first, first + len(a.templates[t][2]), 1.0) for t, first in bases]
+    chained = []
     for t, share, first, last in a.chains(runs):
-        spans.append((a.templates[t][0], first, last + 1, share))
-    kept = sorted({s for s in spans if s[3] >= MIN_COVER})
+        if not a.templates[t][1]:
+            chained.append((a.templates[t][0], first, last + 1, share, round(share * len(a.templates[t][2]))))
+    kept = sorted({*spans, *(s[:4] for s in best_labels(chained))})
+    spans += [s[:4] for s in chained]
     starts = [first for _, first in bases]
     return {
         "n_words": len(tokens),

@@ -2,6 +2,7 @@
 
 import base64
 import random
+from importlib.resources import files
 
 import numpy as np
 import pytest
@@ -177,6 +178,18 @@ def test_license_template_with_gaps():
     assert license_scan.scan_text(b"the software is provided to the public")["labels"] == []
 
 
+@pytest.mark.parametrize("label, text", license_scan.MORE + list(license_scan.TEMPLATES.items()))
+def test_sibling_licences_are_told_apart(label, text):
+    assert license_scan.scan_text(("Copyright 2020 someone. " + text + " More follows.").encode())["labels"] == [label]
+
+
+@pytest.mark.parametrize("label", license_scan.BODIES)
+def test_any_part_of_a_body_is_labelled(label):
+    tokens = license_scan.words((files("curatrix.llm") / "licenses" / f"{label}.txt").read_bytes())
+    got = [license_scan.scan_text(b" ".join(tokens[i : i + 250]))["labels"] for i in range(0, len(tokens) - 250, 250)]
+    assert all(label in x for x in got) and license_scan.scan_text(b" ".join(tokens))["labels"] == [label]
+
+
 def test_matching_statistics_equal_brute_force():
     r = random.Random(4)
     a = license_scan.automaton()
