@@ -213,15 +213,20 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class: that of the smallest id (of repeated ids, and where all ids are null, the least text).
 
-    Ids tell documents apart: rows that share an id count as one document.
+    Ids tell documents apart: of rows that share an id one stays at most, one of a class in which the id is the smallest.
     """
     columns = df.columns
     df, names = numbered(df)
     id_col, text_col = names[id_col], names[text_col]
     marked = simhash_components(df, id_col, text_col)
-    chosen = marked.where(F.col("component_id").isNotNull() & (F.col(id_col) == F.col("component_id"))).select(id_col).distinct()
     rest = [F.col(c) for c, kind in df.dtypes if c != id_col and not kind.startswith("map")]
-    known = df.where(F.col(id_col).isNotNull()).join(chosen, id_col, "left_semi")
+    ids = marked.where(F.col(id_col).isNotNull()).groupBy(id_col)
+    chosen = ids.agg(F.max(F.col(id_col) == F.col("component_id")).alias("_least"), (F.min("fingerprint") != F.max("fingerprint")).alias("_split")).where("_least")
+    known = df.join(chosen.where("not _split"), id_col, "left_semi")
+    # ids with several fingerprints: only rows of the classes that they were chosen for; these rows' fingerprints are made again
+    split = with_fingerprint(df.join(chosen.where("_split"), id_col, "left_semi"), text_col)
+    own = marked.where(F.col(id_col) == F.col("component_id")).select(id_col, "fingerprint").distinct()
+    known = known.unionByName(split.join(own, [id_col, "fingerprint"], "left_semi").select(*df.columns))
     known = known.withColumn("_place", F.row_number().over(W.partitionBy(id_col).orderBy(text_col, *rest))).where("_place = 1").drop("_place")
     # classes whose ids are all null: their fingerprints are made again, from these rows alone
     nameless = marked.where("component_id is null").select("fingerprint", "root").distinct()

@@ -129,6 +129,12 @@ def test_dense_groups_stay_linear():
     assert all(bin(int(fp[a] ^ fp[b])).count("1") <= 4 for a, b in links[:500])
 
 
+def test_a_repeated_id_keeps_its_own_class(spark):
+    copied, own = "a text that stands under two ids of the table", "unique words of one document that no other row has"
+    df = spark.createDataFrame([(3, copied), (5, copied), (5, own)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(3, copied), (5, own)]
+
+
 # ---- suffix sort
 
 
