@@ -12,7 +12,7 @@ Queries are a stated set; query and candidate blocks meet pairwise. What reaches
 the length cuts, and head rows, all bounded by parameters.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, neither as query nor as candidate;
-vectors of another dimension than the most frequent one raise an error; null ids are no query and no candidate; a candidate with
+vectors of more than one dimension raise an error, but empty ones, whose products are all 0; null ids are no query and no candidate; a candidate with
 the query's own id is left out, however often the id is repeated; repeated rows are candidates each, a repeated query is asked once;
 ties go to the smaller id; fewer than k candidates give fewer rows; an empty table gives an empty table. Other columns are not
 carried. Products are exact while |score| < 2^53.
@@ -141,16 +141,18 @@ def top_inner_products(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_i
     spark = df.sparkSession
     vectors = checkpointed(integer_vectors(df, id_col, vector_col, scale))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = vectors.groupBy("dim").count().orderBy(F.desc("count")).limit(2).collect()
+    dims = vectors.groupBy("dim").count().orderBy(F.desc("count")).limit(3).collect()
     if not dims:
         return empty
-    if len(dims) > 1:
+    sizes = [d["dim"] for d in dims if d["dim"]]
+    if len(sizes) > 1:
         raise ValueError("vectors of more than one dimension")
-    dim, total = dims[0]["dim"], dims[0]["count"]
-    if dim == 0:
-        dim, vectors = 1, vectors.withColumn("v", F.array(F.lit(0.0)))
-    turn, stops = rotation(gram(vectors, dim))
+    dim, total = (sizes or [1])[0], sum(d["count"] for d in dims)
     queries = vectors.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    if len(sizes) < len(dims):
+        filled = F.when(F.size("v") == 0, F.array_repeat(F.lit(0.0), dim)).otherwise(F.col("v"))
+        vectors, queries = vectors.withColumn("v", filled), queries.withColumn("v", filled)
+    turn, stops = rotation(gram(vectors, dim))
 
     # blocks by falling length: cuts at quantiles, and a hash within a cut where its length range holds many rows
     wanted = min(MAX_CUTS, -(-total // BLOCK))

@@ -235,6 +235,19 @@ def test_products_of_other_dimensions_are_an_error(spark):
         inner_products.top_inner_products(df, F.col("id") % 50 == 0)
 
 
+def test_products_with_empty_vectors_equal_sql(spark):
+    import duckdb
+
+    rows = [(0, [1.0, 2.0]), (50, []), (100, [-3.0, 1.0]), (100, []), (7, [-1.0, -1.0]), (8, []), (9, [2.0, 0.5]), (10, [0.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = inner_products.top_inner_products(df, F.col("id") % 50 == 0)
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+        want = db.execute(inner_products.OP6_SQL).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_mixture_takes_near_its_targets(spark):
     r = random.Random(6)
     rows = [(i, "w " * int(r.paretovariate(1.2) * 5), f"s{min(3, int(r.expovariate(1)))}") for i in range(4000)]
