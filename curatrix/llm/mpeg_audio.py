@@ -73,7 +73,9 @@ def header(four: bytes) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and not first else 1152
     size = (12000 * kbits // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // rate + padding
     side = 0 if layer < 3 else (17 if mono else 32) if first else (9 if mono else 17)
-    covered = side if layer == 3 else -1 if layer == 2 or four[3] >> 6 == 1 else 16 if mono else 32
+    # layer I: four allocation bits a subband and channel, those from the bound of joint stereo on for both channels at once
+    bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 0 if mono else 32
+    covered = side if layer == 3 else -1 if layer == 2 else 16 + bound // 2
     return Header(version, layer, not four[1] & 1, kbits, rate, mono, size, samples, side, covered)
 
 

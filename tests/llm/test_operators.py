@@ -104,6 +104,16 @@ def test_any_bytes_come_back(raw):
     assert mpeg_audio.stored_payload(media, s) == mpeg_audio.pad(raw) and s.bad == 0 and s.tags["TXXX:payload_bytes"] == str(len(raw))
 
 
+@pytest.mark.parametrize("mode, covered", [(0x00, 32), (0x40, 18), (0x50, 20), (0x60, 22), (0x70, 24), (0x80, 32), (0xC0, 16)])
+def test_layer_one_checksums(mode, covered):
+    head = bytes([0xFF, 0xFE, 0x50, mode])  # layer I, protected
+    size, body = mpeg_audio.header(head).size, bytes(range(1, covered + 1))
+    whole = (head + mpeg_audio.crc16(head[2:] + body).to_bytes(2, "big") + body).ljust(size, b"\x55")
+    broken = whole[: 5 + covered] + b"\0" + whole[6 + covered :]  # the last byte that is covered
+    s = mpeg_audio.read_stream(whole + broken + whole)
+    assert (len(s.offsets), s.checked, s.bad) == (3, 3, 1)
+
+
 # ---- fingerprints
 
 
