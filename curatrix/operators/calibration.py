@@ -111,12 +111,12 @@ def bootstrap_draws(df: DataFrame, samples: int, seed: int, group: str, target:
     multiplicity is Poisson(1) from a hash of (seed, replicate, group), which needs no list of groups anywhere.
     """
     groups = df.groupBy(F.col(group).cast("string").alias("_g")).agg(F.max(target).alias("_y"))
-    n = groups.count()
+    n, *strata = groups.agg(F.count("*"), F.count_if(F.col("_y") == 1), F.count_if(F.col("_y") == 0)).first()
+    if not all(strata):
+        raise ValueError("a bootstrap needs groups with and without positives")
     if n * samples <= MAX_DRIVER_DRAWS:
         rows = groups.orderBy("_g").collect()
         strata = [np.array([r["_g"] for r in rows if r["_y"] == y]) for y in (1, 0)]
-        if not all(map(len, strata)):
-            raise ValueError("a bootstrap needs groups with and without positives")
         draw = np.random.default_rng(seed)
         parts = []
         for i in range(samples):

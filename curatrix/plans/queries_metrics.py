@@ -231,9 +231,9 @@ def development_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of five metrics over 100 replicates that draw groups."""
+    """Intervals of five metrics over 2000 replicates that draw groups."""
     p = predictions(spark, sf_dir).withColumn("p", F.round("p", 3))
-    return rounded(calibration.bootstrap_intervals(p, threshold=0.5, samples=100))
+    return rounded(calibration.bootstrap_intervals(p, threshold=0.5))
 
 
 @query()

@@ -185,6 +185,22 @@ def test_bootstrap_equals_numpy(spark):
         assert got[name] == pytest.approx((np.quantile(column, 0.025), np.quantile(column, 0.975)))
 
 
+def test_bootstrap_by_hashes_needs_both_strata(spark, monkeypatch):
+    df = scores(spark, 60, 9, 20)[1].where("target = 1")
+    monkeypatch.setattr(calibration, "MAX_DRIVER_DRAWS", 0)
+    with pytest.raises(ValueError):
+        calibration.bootstrap_intervals(df, threshold=0.5, samples=100)
+
+
+def test_bootstrap_query_takes_the_default_replicates(spark, monkeypatch):
+    from curatrix.plans import queries_metrics
+
+    asked = []
+    draws = calibration.bootstrap_draws
+    monkeypatch.setattr(calibration, "bootstrap_draws", lambda df, samples, *rest: asked.append(samples) or draws(df, samples, *rest))
+    assert queries_metrics.bootstrap_intervals(spark, "/root/testdata/sf0.001").count() == 5 and asked == [2000]
+
+
 def test_stacker_places_settings(spark):
     r = random.Random(4)
     rows = [(i % 2, y, y + r.gauss(0, 1.0), r.gauss(0, 1.0)) for i in range(120) for y in [r.randrange(2)]]
