@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join on the edge table, so nothing but two numbers a round reaches the driver, and the number of
-rounds grows with the logarithm of the longest chain. Every round is cut off with a reliable checkpoint.
+Each step is a grouped minimum and a join on the edge table, both dealt by node and salt, so that a star's centre, however many neighbours
+it has, is never one task's work. Nothing but two numbers a round reaches the driver, and the number of rounds grows with the logarithm of
+the longest chain. Every round is cut off with a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -10,11 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.session import checkpointed
-
-
-def _starred(neighbours: DataFrame, least: DataFrame, keep) -> DataFrame:
-    joined = neighbours.join(least, "u").where(keep)
-    return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+from curatrix.operators.skew import spread_minimum
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,13 +20,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges, before = checkpointed(edges), None
     while True:
         # large star: all larger neighbours of a node go to the least one of its neighbourhood
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _starred(both, least, F.col("v") > F.col("u")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
+        rows, least = spread_minimum(both, "u", "v")
+        joined = rows.where("v > u").join(least, ["u", "_salt"]).withColumn("m", F.least("u", "_least"))
+        large = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the smaller neighbours of a node, and the node, go to the least of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _starred(large, down, F.lit(True)).union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = checkpointed(small.distinct())
+        rows, least = spread_minimum(large, "u", "v")
+        down = rows.join(least, ["u", "_salt"])
+        small = down.select(F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("_least").alias("b")), F.struct(F.col("u").alias("a"), F.col("_least").alias("b")))))
+        edges = checkpointed(small.where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
