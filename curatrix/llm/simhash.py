@@ -9,12 +9,13 @@ under a key go through the longer chains' budgets and then the full Hamming chec
 
 Copies never multiply: fingerprints are made distinct before the index, and under a key with many fingerprints links are not listed
 pairwise. There, pivots take what lies within the limit of them; only pivots that are not connected yet and lie within three limits of
-each other compare their groups, so a dense group of n costs n times its few pivots, and it gives at most n - 1 links.
+each other compare their groups, so a dense group of n costs n times its few pivots, and it gives at most n - 1 links. A key with more than
+``HOT_KEY`` fingerprints is dealt again: of five pieces of the bits outside of its two boxes linked fingerprints agree in one at least.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle; texts of any length are read whole; documents with null ids take part, and the component id of a class is
 its smallest id that is not null (null if there is none); repeated rows give a row each; an empty table gives an empty table; columns
-besides the named ones are not carried by ``simhash_components`` and all are carried by ``keep_one``.
+besides the named ones are not carried by ``simhash_components`` and all are carried by ``keep_one``, under any names.
 """
 
 from __future__ import annotations
@@ -31,12 +32,17 @@ from pyspark.sql import types as T
 
 from curatrix.llm._frames import checkpointed, map_slices, numbered, raw_texts, read
 from curatrix.operators.graph import connected_components
+from curatrix.operators.skew import spread_join
 
 LIMIT = 4
 SEED = 42
 SHINGLE = 4
 #: Boxes on the ring, from the highest bits: LIMIT + 1 of them, so that a budget of one box is 0 differences.
 BOXES = (13, 13, 13, 13, 12)
+#: Fingerprints under one key that are taken together; those of larger keys are dealt again by a piece of their other bits.
+HOT_KEY = 1 << 15
+#: Groups up to this size compare all pairs at once; larger ones go by pivots.
+SMALL_GROUP = 256
 
 
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
@@ -62,13 +68,13 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, fp``: fp is the fingerprint as a signed long."""
+    """``id_col, fp, spread``: fp is the fingerprint as a signed long, spread a number by which equal rows can be dealt."""
     narrow = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([narrow.schema[id_col], T.StructField("fp", T.LongType(), False)])
+    schema = T.StructType([narrow.schema[id_col], T.StructField("fp", T.LongType(), False), T.StructField("spread", T.IntegerType(), False)])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(r) for r in raw_texts(part, "_text")], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], schema.names)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(np.arange(len(fp), dtype=np.int32))], schema.names)
 
     return map_slices(narrow, "_text", work, schema)
 
@@ -110,11 +116,37 @@ def _near(x: np.ndarray, fp: np.uint64, start: int) -> np.ndarray:
     return rows
 
 
+def _pieces() -> list[list[tuple[int, int]]]:
+    """For each start: five (shift, bits) pieces of the three boxes that its two boxes leave."""
+    out = []
+    for i in range(5):
+        bits = [b for b in range(64) if not (MASKS[i] | MASKS[(i + 1) % 5]) >> b & 1]
+        cuts = [k * len(bits) // (LIMIT + 1) for k in range(LIMIT + 2)]
+        out.append([sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:])])
+    return out
+
+
+PIECES = _pieces()
+
+
+def piece_keys(key: np.ndarray, fp: np.ndarray, start: int) -> np.ndarray:
+    """Five keys (columns) for each fingerprint of a key: the key with a piece of the bits outside of its boxes."""
+    salt = [np.uint64(0xC2B2AE3D27D4EB4F * (k + 1) & (2**64 - 1)) for k in range(LIMIT + 1)]
+    return np.stack([(key ^ (fp & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) ^ salt[k]) * np.uint64(0xD6E8FEB86659FD93) for k, mask in enumerate(PIECES[start])], axis=1)
+
+
 def links_under_key(fp: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Links (positions) that connect exactly what links of distinct ``fp`` under one key connect."""
     n = len(fp)
     if n == 2:
         return [(0, 1)] if len(_near(fp[1:], fp[0], start)) else []
+    if n <= SMALL_GROUP:
+        a, b = np.triu_indices(n, 1)
+        for mask, budget in (*CHAINS[start], (2**64 - 1, LIMIT)):
+            near = np.bitwise_count((fp[a] ^ fp[b]) & np.uint64(mask)) <= budget
+            a, b = a[near], b[near]
+        if len(a) <= 2 * n:
+            return list(zip(a.tolist(), b.tolist()))
     left = np.arange(n)
     pivots: list[int] = []
     groups: list[np.ndarray] = []
@@ -161,16 +193,43 @@ def near_links(fps: DataFrame) -> DataFrame:
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(starts, len(part)).view(np.int8)), pa.array(np.repeat(part, keys.shape[1]).view(np.int64))], ["key", "start", "fp"]
                 )
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.uint64))
+    def join(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple[np.ndarray, ...]] = []  # rows of the last key so far, which may go on in the next batch
+        hot = False  # that key has gone on to the next deal already
+
+        def rows_of(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*parts)]
+
         for batch in batches:
-            new = (batch.column("key").to_numpy(), batch.column("start").to_numpy(), batch.column("fp").to_numpy().view(np.uint64))
-            key, start, fp = (np.concatenate(x) for x in zip(rest, new))
-            cut = np.flatnonzero(np.diff(key)) + 1
-            end = int(cut[-1]) if len(cut) else 0  # the last key may go on in the next batch
-            rest = key[end:], start[end:], fp[end:]
-            yield linked(key[:end], start[:end], fp[:end])
-        yield linked(*rest)
+            part = (batch.column("key").to_numpy(), batch.column("start").to_numpy(), batch.column("fp").to_numpy().view(np.uint64))
+            if not len(part[0]):
+                continue
+            cut = np.flatnonzero(np.diff(part[0])) + 1
+            if open_ and open_[0][0][0] == part[0][0]:
+                head = int(cut[0]) if len(cut) else len(part[0])
+                open_.append(tuple(x[:head] for x in part))
+                if hot or again and sum(len(x[0]) for x in open_) > HOT_KEY:
+                    yield dealt_again(*rows_of(open_[int(hot) :]))
+                    open_, hot = [tuple(x[:1] for x in part)], True
+                if not len(cut):
+                    continue
+                part, cut = tuple(x[head:] for x in part), cut[1:] - head
+            if open_ and not hot:
+                yield linked(*rows_of(open_))
+            end = int(cut[-1]) if len(cut) else 0
+            yield linked(*(x[:end] for x in part))
+            open_, hot = [tuple(x[end:] for x in part)], False
+        if open_ and not hot:
+            yield linked(*rows_of(open_))
+
+    names = ["a", "b", "key", "start"]
+
+    def dealt_again(key: np.ndarray, start: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        """The rows of one key under the five keys that their other bits give; ``b`` is null."""
+        keys = piece_keys(key, fp, int(start[0]))
+        n, k = keys.shape
+        rows = [pa.array(np.repeat(fp, k).view(np.int64)), pa.nulls(n * k, pa.int64()), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(start, k))]
+        return pa.RecordBatch.from_arrays(rows, names)
 
     def linked(key: np.ndarray, start: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         firsts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.empty(0, np.int64)
@@ -191,48 +250,60 @@ def near_links(fps: DataFrame) -> DataFrame:
             found = np.array(links_under_key(group, int(start[a])), np.int64).reshape(-1, 2)
             left.append(group[found[:, 0]])
             right.append(group[found[:, 1]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64)) for x in (left, right)], ["a", "b"])
+        found = [pa.array(np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64)) for x in (left, right)]
+        return pa.RecordBatch.from_arrays([*found, pa.nulls(len(found[0]), pa.int64()), pa.nulls(len(found[0]), pa.int8())], names)
 
-    keyed = fps.select("fp").mapInArrow(index, "key long, start byte, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
+    def solved(keyed: DataFrame, again: bool) -> DataFrame:
+        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: join(batches, again), "a long, b long, key long, start byte")
+
+    first = checkpointed(solved(fps.select("fp").mapInArrow(index, "key long, start byte, fp long"), True))
+    rest = first.where("b is null").select("key", "start", F.col("a").alias("fp"))
+    return first.where("b is not null").select("a", "b").union(solved(rest, False).select("a", "b")).distinct()
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint`` (16 hex digits) and ``component_id``, and ``root``, a name for classes even of null ids."""
-    marked = checkpointed(fingerprints(df, id_col, text_col))
-    classes = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    df, names = numbered(df.select(id_col, text_col))
+    key = names[id_col]
+    marked = checkpointed(fingerprints(df, key, names[text_col]))
+    classes = marked.groupBy("fp").agg(F.min(key).alias("_least"))
     # the fingerprints are few numbers; as many partitions as the input has, since each becomes 64 index rows
     roots = connected_components(near_links(classes.repartition("fp")))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root")
-    out = marked.join(named, "fp")
-    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
+    # one class may hold very many fingerprints, and one fingerprint very many rows
+    named = spread_join(rooted.select("fp", "root"), least, "root", "fp")
+    out = spread_join(marked, named, "fp", key, "spread")
+    return out.select(F.col(key).alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class: that of the smallest id (of repeated ids, and where all ids are null, the least text).
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distinct_ids: bool = False) -> DataFrame:
+    """One document of each class: of the rows of its smallest id (of all its rows, where all ids are null) the one of least text.
 
-    Ids tell documents apart: of rows that share an id one stays at most, one of a class in which the id is the smallest.
+    A document is a row here, not an id: where an id that stands on several texts is the smallest of several classes, each of these classes
+    keeps its own row. With ``distinct_ids`` an id that would stay more than once keeps the row of least text only, whatever is lost by that.
     """
     columns = df.columns
     df, names = numbered(df)
     id_col, text_col = names[id_col], names[text_col]
     marked = simhash_components(df, id_col, text_col)
     rest = [F.col(c) for c, kind in df.dtypes if c != id_col and not kind.startswith("map")]
+
+    def least_of(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("_place", F.row_number().over(W.partitionBy(*by).orderBy(text_col, *rest))).where("_place = 1").drop("_place")
+
     ids = marked.where(F.col(id_col).isNotNull()).groupBy(id_col)
     chosen = ids.agg(F.max(F.col(id_col) == F.col("component_id")).alias("_least"), (F.min("fingerprint") != F.max("fingerprint")).alias("_split")).where("_least")
-    known = df.join(chosen.where("not _split"), id_col, "left_semi")
+    known = least_of(df.join(chosen.where("not _split"), id_col, "left_semi"), id_col)
     # ids with several fingerprints: only rows of the classes that they were chosen for; these rows' fingerprints are made again
     split = with_fingerprint(df.join(chosen.where("_split"), id_col, "left_semi"), text_col)
-    own = marked.where(F.col(id_col) == F.col("component_id")).select(id_col, "fingerprint").distinct()
-    known = known.unionByName(split.join(own, [id_col, "fingerprint"], "left_semi").select(*df.columns))
-    known = known.withColumn("_place", F.row_number().over(W.partitionBy(id_col).orderBy(text_col, *rest))).where("_place = 1").drop("_place")
+    own = marked.where(F.col(id_col) == F.col("component_id")).select(id_col, "fingerprint", "root").distinct()
+    split = split.join(own, [id_col, "fingerprint"])
+    split = least_of(split, id_col) if distinct_ids else least_of(split, id_col, "root")
     # classes whose ids are all null: their fingerprints are made again, from these rows alone
     nameless = marked.where("component_id is null").select("fingerprint", "root").distinct()
-    one = with_fingerprint(df.where(F.col(id_col).isNull()), text_col).join(nameless, "fingerprint")
-    one = one.withColumn("_place", F.row_number().over(W.partitionBy("root").orderBy(text_col, *rest))).where("_place = 1")
-    return known.unionByName(one.select(*df.columns)).toDF(*columns)
+    one = least_of(with_fingerprint(df.where(F.col(id_col).isNull()), text_col).join(nameless, "fingerprint"), "root")
+    return known.unionByName(split.select(*df.columns)).unionByName(one.select(*df.columns)).toDF(*columns)
 
 
 def with_fingerprint(df: DataFrame, text_col: str) -> DataFrame:
