@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from curatrix.llm import simhash
+from curatrix.llm import inner_products, simhash
 from tests.llm.test_queries import classes, fingerprint
 
 
@@ -64,3 +66,42 @@ def test_every_class_keeps_a_row_of_its_own(spark):
     one = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), distinct_ids=True).where("doc_id is not null")
     ids = [x["doc_id"] for x in one.collect()]
     assert len(ids) == len(set(ids)) and set(ids) == {i for i, _ in kept(rows) if i is not None}
+
+
+def vectors_of(r, n, dim=8):
+    return [(i, [round(r.gauss(0, 1) * r.choice([0.2, 1, 3]), 3) for _ in range(dim)]) for i in range(n)]
+
+
+def by_sql(rows):
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+        return sorted(db.execute(inner_products.OP6_SQL).fetchall())
+
+
+def test_products_in_rounds_and_of_mixed_lengths_equal_sql(spark, monkeypatch):
+    monkeypatch.setattr(inner_products, "BLOCK", (7, 7))
+    monkeypatch.setattr(inner_products, "FIRST_ROUND", 2)
+    monkeypatch.setattr(inner_products, "HEAD", 6)
+    rows = vectors_of(random.Random(3), 400)
+    rows[100] = (100, rows[100][1][:3])
+    rows += [(700, rows[0][1] + [5.0, -1.0]), (701, [2.0]), (702, []), (703, rows[5][1]), (703, rows[5][1]), (750, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = inner_products.top_inner_products(df, F.col("id") % 50 == 0, mixed=True)
+    assert sorted(map(tuple, got.collect())) == by_sql(rows)
+
+
+def test_candidates_are_shuffled_once(spark):
+    for n in (3_000, 12_000):
+        df = spark.createDataFrame(vectors_of(random.Random(n), n, 3), "vec_id long, embedding array<float>")
+        vectors = inner_products.integer_vectors(df, "vec_id", "embedding", 256.0)
+        layout = inner_products.layout_of(vectors, n)
+        blocks = [x["count"] for x in inner_products.held(vectors, layout).groupBy("block").count().collect()]
+        assert sum(blocks) == n and layout.blocks == len(blocks) <= 2 * n / inner_products.BLOCK[0] + 1
+
+
+def test_copies_do_not_make_a_large_block(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9_000)] + [(9_000 + i, [float(i), 0.0]) for i in range(500)], "vec_id long, embedding array<float>")
+    vectors = inner_products.integer_vectors(df, "vec_id", "embedding", 256.0)
+    layout = inner_products.layout_of(vectors, 9_500)
+    assert inner_products.held(vectors, layout).groupBy("block").count().agg(F.max("count")).first()[0] < 1.3 * inner_products.BLOCK[0]
