@@ -1,24 +1,26 @@
 """Removal of long repeated substrings by a hash-compared suffix sort.
 
 Every byte that a ``WINDOW``-byte string covers is removed if the string also starts in a document of smaller id. Documents with equal
-texts are settled by the text's hash: all but the smallest id lose what windows cover. For the others:
+texts are settled by the text's SHA-256: all but the smallest id lose what windows cover. For the others:
 
 1. Anchors. Of the seeds (``SEED`` bytes) inside a window the one of least hash is its anchor; equal windows have equal anchors at equal
    places. Runs of windows share an anchor, so there are about 2 / (WINDOW - SEED + 2) anchors a byte. Anchors are dealt by seed hash, as
    packed columns, and those whose seed is in one document only are dropped.
 2. Contexts. The other anchors go back to their documents and fetch their context, the bytes of all windows that hold the anchor there.
    Contexts are dealt by seed hash. Equal contexts are gathered before the shuffle (only the smallest id of a context can help others;
-   the rest are covered), so a passage that very many documents share is sent once a task.
+   the rest are covered), so a passage that very many documents share is sent once a task. Seeds that are anchors very often (a run of
+   blanks, a phrase) are found by a count over all texts; their windows are told apart by a second anchor too, the least of the window's
+   other seeds, so that their contexts go to many tasks.
 3. Suffix sort. Contexts are strings with prefix polynomial hashes. They are mergesorted by suffix within a seed: two suffixes are
    compared by binary search for their common extension over the hashes (logarithmically many steps), then by the next byte. Equal
    contexts become one; where different contexts share a seed, the suffixes that begin their windows are sorted in the same way, and
-   neighbours with a common extension of a window are one string. Neighbours taken as equal by hash are verified byte by byte; where that
-   fails, the seed's suffixes are sorted by their bytes.
+   neighbours with a common extension of a window are one string. Neighbours are verified byte by byte: those taken as equal, and the order
+   of all; where that fails, the seed's suffixes are sorted by their bytes.
 4. Windows of a string whose smallest document is another one are marked, and each document drops the bytes that marked windows cover.
 
 Defined cases: null and empty texts, and those shorter than a window, lose nothing; very long texts are taken whole; documents of equal
 id and equal text lose nothing to each other (no smaller id), documents of equal id and different texts neither; null ids are larger
-than all others and lose nothing to each other; an empty table gives an empty table; columns besides the named ones are not carried.
+than all others (but 2^63 - 1, to which they count as equal) and lose nothing to each other; an empty table gives an empty table; columns besides the named ones are not carried.
 """
 
 from __future__ import annotations
@@ -336,7 +338,90 @@ def contexts_of(raws: list[bytes], flagged: list[np.ndarray]) -> tuple[np.ndarra
     return doc, key, first, (at - first).astype(np.uint8), (last - first + 1).astype(np.uint8), bytes_
 
 
-def deal_contexts(flagged: DataFrame, buckets: int) -> DataFrame:
+#: A seed is hot if it is more than this part of a partition's even share of all anchors, and one of this many at least.
+HOT_SHARE, HOT_LEAST = 32, 1024
+#: Seeds that a task reports, and those it counts before it forgets the rarest.
+REPORTED, COUNTED = 4096, 1 << 22
+
+
+def hot_seeds(rows: DataFrame, parts: int) -> np.ndarray:
+    """Keys of hot seeds in order: ``HOT_SHARE * parts`` at most. They decide where contexts go, never what is equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        new: list[np.ndarray] = []
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([key, *new])
+            values, place = np.unique(every, return_inverse=True)
+            sums = np.bincount(place, weights=np.concatenate([n, np.ones(len(every) - len(n))]), minlength=len(values)).astype(np.int64)
+            if len(values) > COUNTED // 2:
+                some = np.sort(np.argpartition(-sums, COUNTED // 2)[: COUNTED // 2])
+                values, sums = values[some], sums[some]
+            return values, sums
+
+        for batch in batches:
+            for part in slices(batch, "text", PIECE):
+                new.append(text_anchors(raw_texts(part, "text"))[1] & np.uint64(2**64 - 2 ** (64 - 8 * KEY_BYTES)))
+                total += len(new[-1])
+            if len(key) + sum(map(len, new)) > COUNTED:
+                (key, n), new = counted(), []
+        key, n = counted()
+        most = np.argsort(-n, kind="stable")[:REPORTED]
+        most = most[n[most] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *key[most].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[most].tolist()], pa.int64())], ["key", "n"])
+
+    counts = checkpointed(rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.where("key is null").first()
+    least = max(HOT_LEAST, (total["n"] if total else 0) // (HOT_SHARE * parts))
+    hot = counts.where(F.col("key").isNotNull() & (F.col("n") > least)).select("key").toArrow()
+    return np.sort(hot.column("key").to_numpy().view(np.uint64))
+
+
+def told_apart(hot: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts (row, key, first, left, windows, bytes) with those of hot seeds cut into runs of windows that share a second anchor.
+
+    The second anchor is the least of the window's seeds that differ from the first; key and second anchor make the run's key.
+    """
+    row, key, first, left, windows, bytes_ = columns
+    if not len(hot) or not len(key):
+        return columns
+    is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+    parts = [tuple(c[~is_hot] for c in columns)]
+    picked = np.flatnonzero(is_hot)
+    up, down = powers(_CONTEXT_SIZE + 1)
+    spot = np.arange(_CONTEXT_SIZE)
+    for a in range(0, len(picked), 4096):
+        i = picked[a : a + 4096]
+        sums = np.zeros((len(i), _CONTEXT_SIZE + 1), np.uint64)
+        np.cumsum((bytes_[i].astype(np.uint64) + np.uint64(1)) * up[:_CONTEXT_SIZE], axis=1, out=sums[:, 1:])
+        seeds = (sums[:, SEED:] - sums[:, :-SEED]) * down[: _CONTEXT_SIZE - SEED + 1]
+        seeds *= _MIX
+        seeds ^= seeds >> np.uint64(32)
+        seeds *= _MIX
+        top = np.uint64(2**64 - 256)
+        value = np.where(seeds == seeds[:, [_LEFT]], top, seeds & top) | np.arange(seeds.shape[1], dtype=np.uint64)
+        second = np.lib.stride_tricks.sliding_window_view(value, _LEFT + 1, axis=1).min(axis=2)  # by the window's first column
+        second = np.where(second & top == top, top, second)  # all seeds of the window are the same
+        begin = _LEFT - left[i].astype(np.int64)
+        end = begin + windows[i]
+        columns_ = np.arange(_LEFT + 1)
+        inside = (columns_ >= begin[:, None]) & (columns_ < end[:, None])
+        new = inside & (columns_ == begin[:, None])
+        new[:, 1:] |= inside[:, 1:] & (second[:, 1:] != second[:, :-1])
+        r, c = np.nonzero(new)
+        stop = np.append(c[1:], 0)
+        last = np.append(r[1:] != r[:-1], True)
+        stop = np.where(last, end[r], stop)
+        mark = (key[i][r] ^ second[r, c] * np.uint64(BASE)) * _MIX & np.uint64(2**64 - 2 ** (64 - 8 * KEY_BYTES))
+        kept = np.where((spot >= c[:, None]) & (spot < (stop + WINDOW - 1)[:, None]), bytes_[i][r], 0).astype(np.uint8)
+        parts.append((row[i][r], mark, first[i][r] + (c - begin[r]), (_LEFT - c).astype(np.uint8), (stop - c).astype(np.uint8), kept))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def deal_contexts(flagged: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    shared = flagged.sparkSession.sparkContext.broadcast(hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
@@ -346,6 +431,7 @@ def deal_contexts(flagged: DataFrame, buckets: int) -> DataFrame:
                 ord_, hx = (part.column(c).to_numpy()[own] for c in ("ord", "hx"))
                 doc, key, first, left, windows, bytes_ = contexts_of(raws, places)
                 key = key & np.uint64(2**64 - 2 ** (64 - 8 * KEY_BYTES))
+                doc, key, first, left, windows, bytes_ = told_apart(shared.value, doc, key, first, left, windows, bytes_)
                 held.append((key, ord_[doc], hx[doc], first.astype(np.uint32), left, windows, bytes_))
             if sum(len(h[0]) for h in held) >= HELD // 16:
                 yield from send(held)
@@ -479,9 +565,14 @@ def least_by_window(key: np.ndarray, left: np.ndarray, windows: np.ndarray, byte
     same[1:] = together & (suffixes.common(rows[1:], rows[:-1], columns[1:]) == WINDOW)
     spot = np.arange(WINDOW)
     failed = False
-    for a in range(0, len(rows), 1 << 16):  # verify what hashes call equal
-        i = np.flatnonzero(same[a : a + (1 << 16)]) + a
-        failed |= bool((bytes_[rows[i][:, None], columns[i][:, None] + spot] != bytes_[rows[i - 1][:, None], columns[i][:, None] + spot]).any())
+    pairs = np.flatnonzero(together) + 1
+    for a in range(0, len(pairs), 1 << 16):  # verify what hashes call equal, and the order of the others
+        i = pairs[a : a + (1 << 16)]
+        before, after = (bytes_[rows[k][:, None], columns[i][:, None] + spot] for k in (i - 1, i))
+        differ = before != after
+        at = differ.argmax(axis=1)
+        n = np.arange(len(i))
+        failed |= bool((differ[n, at] & (same[i] | (before[n, at] > after[n, at]))).any())
     if failed:
         strings = [bytes_[r, c : c + WINDOW].tobytes() for r, c in zip(rows, columns)]
         order = np.array(sorted(range(len(rows)), key=lambda i: (group[i], strings[i])))
@@ -552,11 +643,13 @@ def covered(size: int, runs: np.ndarray) -> np.ndarray:
     return np.cumsum(open_, dtype=np.int8) > 0
 
 
+#: Text bytes that a shuffle partition stands for at most; its anchors and contexts take about as much.
+PARTITION_BYTES = 128 << 20
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans`` and ``kept`` (binary) of every row."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
     none = (1 << 63) - 1
     rows = df.select(
         F.col(id_col).alias("_id"),
@@ -564,7 +657,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).withColumn("hx", F.xxhash64("text"))
     # who has a text first: copies, however many, meet as partial minima of a hash
-    narrow = checkpointed(rows.select("ord", "hx", F.unhex(F.md5(F.col("text").cast("binary"))).alias("h")).distinct())
+    narrow = checkpointed(rows.select("ord", "hx", F.octet_length("text").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h")).distinct())
+    total = narrow.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    buckets = 2 * parts
+    hot = hot_seeds(rows.where(F.octet_length("text") >= WINDOW), parts)
     first = checkpointed(narrow.groupBy("h").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
     info = checkpointed(narrow.join(first, "h", "left").select("ord", "hx", F.coalesce("least", "ord").alias("least")))
     docs = rows.repartition(parts, "ord", "hx").join(info.hint("shuffle_hash"), ["ord", "hx"])
@@ -575,7 +672,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the same columns in each of the three uses of the texts, so that their one shuffle serves all
     texts = docs.select("_id", "ord", "hx", "text", "least")
     flagged = by_document(shared_anchors(deal_anchors(texts, buckets).repartition(parts, "bucket")))
-    dealt = deal_contexts(texts.join(flagged, ["ord", "hx"]).select("_id", "ord", "hx", "text", "least", "blobs"), buckets)
+    dealt = deal_contexts(texts.join(flagged, ["ord", "hx"]).select("_id", "ord", "hx", "text", "least", "blobs"), buckets, hot)
     marks = by_document(repeated_windows(dealt.repartition(parts, "bucket")))
     marked = docs.join(marks, ["ord", "hx"], "left").select("_id", "ord", "hx", "text", "least", "blobs")
 

@@ -3,11 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import inner_products, simhash
-from tests.llm.test_queries import classes, fingerprint
+from curatrix.llm import inner_products, simhash, substring_dedup
+from tests.llm.test_queries import classes, fingerprint, removed
 
 
 def near_copies(r, n):
@@ -105,3 +106,46 @@ def test_copies_do_not_make_a_large_block(spark):
     vectors = inner_products.integer_vectors(df, "vec_id", "embedding", 256.0)
     layout = inner_products.layout_of(vectors, 9_500)
     assert inner_products.held(vectors, layout).groupBy("block").count().agg(F.max("count")).first()[0] < 1.3 * inner_products.BLOCK[0]
+
+
+def spaced(r, n):
+    """Texts in which one run of blanks stands in many different contexts, some of them shared."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
+    pieces = [" ".join(word() for _ in range(6)) for _ in range(n // 3)]
+    return [(i, " ".join(word() for _ in range(4)).join(["", " " * r.choice([24, 25, 40, 90]) + r.choice(pieces) + " " * 30, word()])) for i in range(n)]
+
+
+@pytest.mark.parametrize("least", [2, 1 << 20])
+def test_hot_seeds_change_nothing(spark, monkeypatch, least):
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 1000)
+    rows = spaced(random.Random(8), 300) + [(1000, "ab" * 200), (1001, "ab" * 150 + "c" + "ab" * 90), (None, "ab" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot = substring_dedup.hot_seeds(df, 4)
+    assert (len(hot) > 0) == (least == 2)
+    got = substring_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(removed(rows), key=repr)
+
+
+def test_a_hot_seed_goes_to_many_buckets(spark):
+    r = random.Random(9)
+    raws = ["".join(r.choice("abcdefghijklmnop") for _ in range(40)).encode() + b" " * 24 + "".join(r.choice("abcdefghijklmnop") for _ in range(40)).encode() for _ in range(4000)]
+    blank = substring_dedup.text_anchors([b" " * 200])[1][:1]
+    columns = substring_dedup.contexts_of(raws, [np.array([40], np.uint32)] * len(raws))
+    chosen = columns[1] == blank[0]
+    assert chosen.sum() > 1000  # windows whose anchor is the run of blanks
+    columns = [c[chosen] for c in columns]
+    columns[1] = columns[1] & np.uint64(2**64 - 2**16)
+    split = substring_dedup.told_apart(columns[1][:1], *columns)
+    assert len(np.unique(split[1])) > 0.9 * chosen.sum() and split[4].sum() == columns[4].sum()
+    for row, key, first, left, windows, bytes_ in list(zip(*split))[:500]:
+        column = substring_dedup._LEFT - left
+        assert raws[row][first : first + windows + 49] == bytes(bytes_[column : column + windows + 49])
+
+
+def test_wrong_order_is_found(monkeypatch):
+    bytes_ = np.array([[100] * 76, [97] * 76, [100] * 76], np.uint8)
+    one = np.ones(3, np.uint8)
+    monkeypatch.setattr(substring_dedup.Suffixes, "sort", lambda self, group, row, column: np.arange(len(group)))
+    got = substring_dedup.least_by_window(np.full(3, 7, np.uint64), one * 26, one, bytes_, np.array([5, 9, 3]))
+    assert got[:, 0].tolist() == [3, 9, 3]
