@@ -352,9 +352,11 @@ def hot_seeds(rows: DataFrame, parts: int) -> np.ndarray:
         new: list[np.ndarray] = []
 
         def counted() -> tuple[np.ndarray, np.ndarray]:
-            every = np.concatenate([key, *new])
-            values, place = np.unique(every, return_inverse=True)
-            sums = np.bincount(place, weights=np.concatenate([n, np.ones(len(every) - len(n))]), minlength=len(values)).astype(np.int64)
+            values, sums = np.unique(np.concatenate([np.empty(0, np.uint64), *new]), return_counts=True)
+            if len(key):
+                every, weight = np.concatenate([key, values]), np.concatenate([n, sums])
+                order, first = _groups(every)
+                values, sums = every[order][first], np.add.reduceat(weight[order], first)
             if len(values) > COUNTED // 2:
                 some = np.sort(np.argpartition(-sums, COUNTED // 2)[: COUNTED // 2])
                 values, sums = values[some], sums[some]
@@ -586,6 +588,8 @@ def least_by_window(key: np.ndarray, left: np.ndarray, windows: np.ndarray, byte
 
 #: Contexts sorted at once; a seed's contexts are never parted.
 SORTED = 1 << 14
+#: Seeds with more contexts than this are told apart by second anchors before they are sorted.
+MANY = 256
 
 
 def repeated_windows(dealt: DataFrame) -> DataFrame:
@@ -609,6 +613,9 @@ def repeated_windows(dealt: DataFrame) -> DataFrame:
             a = b
 
     def solve(key, ord_, hx, first, left, windows, bytes_) -> Iterator[pa.RecordBatch]:
+        seeds, n = np.unique(key, return_counts=True)
+        row, key, first, left, windows, bytes_ = told_apart(seeds[n > MANY], np.arange(len(key)), key, first, left, windows, bytes_)
+        ord_, hx = ord_[row], hx[row]
         begin, order, group = equal_contexts(key, left, windows, bytes_)
         head = order[begin]
         least = np.minimum.reduceat(ord_[order], begin)
