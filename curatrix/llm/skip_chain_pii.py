@@ -3,13 +3,15 @@
 Base spans are the leftmost non-overlapping matches of four patterns, each kind for itself, less those that fail its test. The random
 field labels the other candidate tokens of a document (runs with a digit or an at sign). Its nodes are base spans, clamped to their
 kind, and candidates; neighbouring nodes share chain potentials; nodes that are repeated or similar anywhere in the document (same
-letters and digits, same last ten digits, or the local part of an address) share skip potentials. Loopy sum-product message passing, until it settles,
-gives each candidate a label distribution, and a candidate whose label is sure enough becomes a span too. Skip links join each
-candidate to known spans of its key, so other mentions, however many, neither pass the evidence on nor outvote it, and a key with n nodes costs
-at most 2n links, not all pairs.
-
-Potentials are trained here: naive Bayes features of nodes, label transitions of neighbours and agreement of linked nodes are counted
-over all documents, with the base patterns as distant labels. A candidate's own evidence is clipped, since its distant label only says
+letters and digits, same groups of digits, same last ten digits, or the local part of an address) share skip potentials. Loopy sum-product
+message passing, until it settles, gives each candidate a label distribution, and a candidate whose label is sure enough becomes a span too.
+Skip links join each candidate to known spans of its key, so other mentions, however many, neither pass the evidence on nor outvote it, and a
+key with n nodes costs at most 2n links, not all pairs.
+
+Potentials are trained here, over all documents, with the base patterns as distant labels. Chain and skip weights maximise the
+pseudo-likelihood: of every node whose label is certain, the probability of its label given those of its neighbours and of the nodes linked to
+it, with a Gaussian prior (L2) around a moderate link weight. Its counts are sufficient statistics of a few thousand numbers, whatever the
+corpus. A node's own evidence is naive Bayes over its features, clipped, since a candidate's distant label only says
 that no pattern matched; it takes a link to a known span to be labelled.
 
 Defined cases: null and empty texts have no spans; texts are scanned whole in linear time; repeated rows and null ids give a row each;
@@ -39,14 +41,13 @@ LABELS = OTHER + 1
 SURE = 0.9
 #: Bounds of a candidate's own log odds against OTHER: never for a kind, since no pattern matched it.
 OWN_ODDS = (-0.5, 0.0)
-#: Links between equal and between unequal kinds that are counted from the start, and bounds of a link's log odds.
-LINKS_BEFORE = (150.0, 1.0)
-LINK_ODDS = (3.0, 7.0)
-#: Bounds of a neighbour's log odds: order says less than a shared key.
-CHAIN_ODDS = (-0.5, 0.5)
+#: Prior mean of a link's weight, and the prior's precision for all weights.
+LINK_BEFORE, PRECISION = 5.0, 1.0
 #: Messages are passed until none moves by more than SETTLED; the bound of rounds is for graphs that never settle.
 SETTLED, ROUNDS = 1e-4, 1000
-SHAPES, WORDS_BEFORE, COUNTS = 512, 256, 24
+SHAPES, WORDS_BEFORE, COUNTS = 512, 256, 48
+#: A neighbour's label where there is none.
+NONE = LABELS
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -57,6 +58,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBERS = r"\(?[0-9]{1,4}\)?[\x20.-]?[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{1,4}){0,4}(?![0-9A-Za-z])"
 _NODE = re.compile(_NUMBERS + r"|([0-9@][A-Za-z0-9._%+@-]*)")
 _LETTERS = re.compile(r"[^0-9a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -107,7 +109,8 @@ def nodes_of(text: str, base: list[Span]) -> list[Span]:
         if m.group(1):  # a token: from its first digit or at sign back to its beginning
             while start > done and _LOCAL.match(text[start - 1]):
                 start -= 1
-        done = end
+            end = m.start() + max(1, len(m.group().rstrip("._%+@-")))  # a full stop ends the sentence
+        done = m.end()
         while k < len(taken) and taken[k][2] <= start:
             k += 1
         # spans of different kinds may overlap, a few at a place
@@ -116,14 +119,19 @@ def nodes_of(text: str, base: list[Span]) -> list[Span]:
     return sorted(out + taken, key=lambda s: (s[1], s[2], s[0]))
 
 
+def _size(n: int) -> int:
+    """Small numbers as they are, larger ones by their order of magnitude."""
+    return n if n < 16 else min(COUNTS - 1, 11 + n.bit_length())
+
+
 def features(text: str, node: Span) -> list[int]:
     """Feature numbers: shape, digits, length, word before."""
     token = text[node[1] : node[2]]
-    shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", token))[:16]
+    shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", token))
     digits = sum(map(str.isdigit, token))
     before = text[max(0, node[1] - 24) : node[1]].lower().split()
     word = zlib.crc32(before[-1].encode()) % WORDS_BEFORE if before else 0
-    return [zlib.crc32(shape.encode()) % SHAPES, SHAPES + min(digits, COUNTS - 1), SHAPES + COUNTS + min(len(token), COUNTS - 1), SHAPES + 2 * COUNTS + word]
+    return [zlib.crc32(shape.encode()) % SHAPES, SHAPES + _size(digits), SHAPES + COUNTS + _size(len(token)), SHAPES + 2 * COUNTS + word]
 
 
 FEATURES = SHAPES + 2 * COUNTS + WORDS_BEFORE
@@ -146,7 +154,11 @@ def links(text: str, nodes: list[Span]) -> list[tuple[int, int, int]]:
             own.add("digits " + digits[-10:])
         if "@" in token:
             own.add(_LETTERS.sub("", token.split("@")[0]))
-        keys.append({k for k in own if len(k) >= 6})
+        own = {k for k in own if len(k) >= 6}
+        parts = _DIGITS.findall(token)
+        if len(parts) > 2:  # however short: 10.1.2.3 and 10-1-2-3, but not 10123
+            own.add("groups " + " ".join(parts))
+        keys.append(own)
         for key in keys[i]:
             places.setdefault(key, []).append(i)
     out = set()
@@ -181,52 +193,116 @@ def links(text: str, nodes: list[Span]) -> list[tuple[int, int, int]]:
 # ---- training: counts over all documents
 
 
+def surroundings(nodes: list[Span], skips: list[tuple[int, int, int]]) -> tuple[set[int], list[int]]:
+    """Nodes of certain label, and for every node a number for its neighbours' labels and the set of labels linked to it, certain ones only.
+
+    A candidate that is linked to a known span may well be personal data: its label is not certain.
+    """
+    unsure = {x for a, b, _ in skips for x, y in ((a, b), (b, a)) if nodes[x][0] == OTHER != nodes[y][0]}
+    sure = set(range(len(nodes))) - unsure
+    linked = [0] * len(nodes)
+    for a, b, _ in skips:
+        for x, y in ((a, b), (b, a)):
+            if y in sure:
+                linked[x] |= 1 << nodes[y][0]
+    label = [n[0] if i in sure else NONE for i, n in enumerate(nodes)]
+    return sure, [((left * (NONE + 1) + right) << LABELS) | links_ for left, right, links_ in zip([NONE, *label], [*label[1:], NONE], linked)]
+
+
 def count_evidence(df: DataFrame, text_col: str) -> DataFrame:
-    """``what, a, b, n``: features (0) by label, neighbours (1) and links (2) by labels. A few thousand rows, whatever the corpus."""
+    """``what, a, b, n``: features (0) and surroundings (1) by the node's label. A few thousand rows, whatever the corpus."""
     narrow = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for batch in batches:
-            for text in batch.column("_text").to_pylist():
-                nodes = nodes_of(text, base_spans(text))
-                skips = links(text, nodes)
-                # a candidate that is linked to a known span may well be personal data: it trains nothing
-                unsure = {x for a, b, _ in skips for x, y in ((a, b), (b, a)) if nodes[x][0] == OTHER != nodes[y][0]}
-                for i, node in enumerate(nodes):
-                    if i not in unsure:
-                        n.update((0, f, node[0]) for f in features(text, node))
-                n.update((1, a[0], b[0]) for i, (a, b) in enumerate(zip(nodes, nodes[1:])) if not {i, i + 1} & unsure)
-                n.update((2, nodes[a][0], nodes[b][0]) for a, b, _ in skips)
+            for part in slices(batch, "_text"):
+                for text in part.column("_text").to_pylist():
+                    nodes = nodes_of(text, base_spans(text))
+                    if not nodes:
+                        continue
+                    sure, around = surroundings(nodes, links(text, nodes))
+                    for i in sure:
+                        n.update((0, f, nodes[i][0]) for f in features(text, nodes[i]))
+                        n[1, around[i], nodes[i][0]] += 1
         keys = np.array(list(n), np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), pa.array(list(n.values()), pa.int64())], ["what", "a", "b", "n"])
 
     return narrow.mapInArrow(run, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
 
 
+#: Weights: a bias of each label, one for each two neighbouring labels, and the link's.
+WEIGHTS = LABELS + LABELS * LABELS + 1
+
+
+def weight_design(around: np.ndarray) -> np.ndarray:
+    """How often each weight counts for each label in these surroundings: (surroundings, labels, weights)."""
+    left, right, linked = around >> LABELS, around >> LABELS, around & ((1 << LABELS) - 1)
+    left, right = left // (NONE + 1), right % (NONE + 1)
+    out = np.zeros((len(around), LABELS, WEIGHTS))
+    n = np.arange(len(around))
+    for y in range(LABELS):
+        out[:, y, y] = 1
+        some = left != NONE
+        out[n[some], y, LABELS + left[some] * LABELS + y] += 1
+        some = right != NONE
+        out[n[some], y, LABELS + y * LABELS + right[some]] += 1
+        out[:, y, -1] = linked >> y & 1
+    return out
+
+
+def pseudo_likelihood(design: np.ndarray, counts: np.ndarray, w: np.ndarray, before: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log pseudo-likelihood less the prior's penalty, with its gradient and Hessian; counts are (surroundings, labels)."""
+    score = design @ w
+    score -= score.max(axis=1, keepdims=True)
+    p = np.exp(score)
+    p /= p.sum(axis=1, keepdims=True)
+    total = counts.sum(axis=1)
+    value = float((counts * np.log(p + 1e-300)).sum()) - PRECISION / 2 * float(((w - before) ** 2).sum())
+    gradient = np.einsum("cy,cyk->k", counts - total[:, None] * p, design) - PRECISION * (w - before)
+    mean = np.einsum("cy,cyk->ck", p, design)
+    hessian = -np.einsum("cy,cyk,cyl->kl", total[:, None] * p, design, design, optimize=True) + np.einsum("c,ck,cl->kl", total, mean, mean, optimize=True)
+    return value, gradient, hessian - PRECISION * np.eye(WEIGHTS)
+
+
+def fit_weights(around: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weights of greatest penalised pseudo-likelihood by damped Newton steps (it is concave, so there is one)."""
+    before = np.zeros(WEIGHTS)
+    before[-1] = LINK_BEFORE
+    w = before.copy()
+    if not len(around):
+        return w
+    design = weight_design(around)
+    value, gradient, hessian = pseudo_likelihood(design, counts, w, before)
+    while np.abs(gradient).max() > 1e-6 * max(1.0, counts.sum()):
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while (new := pseudo_likelihood(design, counts, w - size * step, before))[0] <= value and size > 1e-9:
+            size /= 2
+        if size <= 1e-9:
+            break
+        w, (value, gradient, hessian) = w - size * step, new
+    return w
+
+
 class Field:
     """Log potentials: ``own`` (features, labels), ``chain`` (labels, labels) and the link's log odds of agreement."""
 
     def __init__(self, counts: list[tuple[int, int, int, int]]):
         own = np.full((FEATURES, LABELS), 0.1)
-        chain = np.full((LABELS, LABELS), 1.0)
-        agree, differ = LINKS_BEFORE
+        around: dict[int, np.ndarray] = {}
         for what, a, b, n in counts:
             if what == 0:
                 own[a, b] += n
             elif what == 1:
-                chain[a, b] += n
-            elif a == b:
-                agree += n
-            elif OTHER not in (a, b):  # a link to a candidate says nothing: its distant label is only that no pattern matched
-                differ += n
+                around.setdefault(a, np.zeros(LABELS))[b] += n
         prior = own[:SHAPES].sum(axis=0)
         self.prior = np.log(prior / prior.sum())
         groups = np.split(own, np.cumsum([SHAPES, COUNTS, COUNTS]))
         self.own = np.concatenate([np.log(g / g.sum(axis=0)) for g in groups])
-        total = chain.sum()
-        self.chain = np.log(chain * total / chain.sum(axis=1, keepdims=True) / chain.sum(axis=0, keepdims=True)).clip(*CHAIN_ODDS)
-        self.link = float(np.clip(np.log(agree / differ), *LINK_ODDS))
+        order = sorted(around)
+        weights = fit_weights(np.array(order, np.int64), np.array([around[x] for x in order]).reshape(-1, LABELS))
+        self.chain = weights[LABELS:-1].reshape(LABELS, LABELS)
+        self.link = float(weights[-1])
 
     def links(self, steps: int) -> np.ndarray:
         """Log potentials of links of 1 to ``steps`` steps: those of as many single links in a row, with nothing known of the nodes between."""

@@ -1,5 +1,6 @@
 """Operators against plain versions of what they compute, where test_queries.py does not do so."""
 
+import itertools
 import random
 
 import duckdb
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import inner_products, simhash, substring_dedup
+from curatrix.llm import inner_products, simhash, skip_chain_pii, substring_dedup
 from tests.llm.test_queries import classes, fingerprint, removed
 
 
@@ -152,3 +153,79 @@ def test_wrong_order_is_found(monkeypatch):
     monkeypatch.setattr(substring_dedup.Suffixes, "sort", lambda self, group, row, column: np.arange(len(group)))
     got = substring_dedup.least_by_window(np.full(3, 7, np.uint64), one * 26, one, bytes_, np.array([5, 9, 3]))
     assert got[:, 0].tolist() == [3, 9, 3]
+
+
+def marginals(text, field):
+    """Label distributions of a small text's nodes by enumerating all labellings."""
+    P = skip_chain_pii
+    nodes = P.nodes_of(text, P.base_spans(text))
+    unary = field.unary(np.array([n[0] for n in nodes]), np.array([P.features(text, n) for n in nodes]))
+    skips = P.links(text, nodes)
+    by_steps = field.links(max((s for *_, s in skips), default=1))
+    edges = [(i, i + 1, field.chain) for i in range(len(nodes) - 1)] + [(a, b, by_steps[s - 1]) for a, b, s in skips]
+    total = np.zeros((len(nodes), P.LABELS))
+    for labels in itertools.product(*([n[0]] if n[0] != P.OTHER else range(P.LABELS) for n in nodes)):
+        weight = np.exp(sum(unary[i, y] for i, y in enumerate(labels)) + sum(pair[labels[a], labels[b]] for a, b, pair in edges))
+        for i, y in enumerate(labels):
+            total[i, y] += weight
+    return nodes, skips, total / total.sum(axis=1, keepdims=True)
+
+
+TEXTS = [
+    "Call +1 (988) 555-2485 at 10:30 or (988) 555-2485, not (988) 555-2486.",
+    "From 10.1.2.3 and later 10-1-2-3, or 10123, version 1.2.3, again 10-1-2-3.",
+    "Mail jane.doe@mail.example.com; jane.doe or jane.doe9 answers, card 4111 1111 1111 1111 as 4111.1111.1111.1111",
+    "Order 1234567 twice: 1234567, room 12.",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_added_spans_equal_enumeration(spark, text):
+    P = skip_chain_pii
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for field in (P.Field([]), P.train(docs)):
+        nodes, skips, share = marginals(text, field)
+        known = {i for i, n in enumerate(nodes) if n[0] != P.OTHER}
+        tied = {x for a, b, _ in skips for x, y in ((a, b), (b, a)) if y in known}
+        want = sorted(P.base_spans(text) + [(int(share[i].argmax()), *nodes[i][1:]) for i in tied - known if share[i].argmax() != P.OTHER and share[i].max() >= P.SURE])
+        assert P.find_spans([text], field)[0][1] == want
+
+
+def test_short_numbers_are_linked_by_their_groups():
+    base, spans = skip_chain_pii.find_spans([TEXTS[1]], skip_chain_pii.Field([]))[0]
+    assert {TEXTS[1][a:b] for _, a, b in spans} == {"10.1.2.3", "10-1-2-3"} and len(spans) == 3
+
+
+def test_spans_do_not_depend_on_the_texts_beside(spark):
+    field = skip_chain_pii.Field([])
+    texts = TEXTS + ["Call +1 (988) 555-2485." + " Or (988) 555-2485" * n for n in (1, 20, 80)]
+    together = skip_chain_pii.find_spans(texts, field)
+    assert together == [skip_chain_pii.find_spans([t], field)[0] for t in texts] and len(together[-1][1]) == 81
+
+
+def test_weights_are_where_the_pseudo_likelihood_is_greatest():
+    P = skip_chain_pii
+    r = np.random.default_rng(4)
+    around = np.unique(np.concatenate([((r.integers(0, 6, 30) * 6 + r.integers(0, 6, 30)) << P.LABELS) | r.integers(0, 32, 30)]))
+    counts = r.integers(0, 40, (len(around), P.LABELS)).astype(float)
+    w = P.fit_weights(around, counts)
+    before = np.zeros(P.WEIGHTS)
+    before[-1] = P.LINK_BEFORE
+
+    def value(w):  # one node at a time
+        out = -P.PRECISION / 2 * ((w - before) ** 2).sum()
+        for code, row in zip(around, counts):
+            left, right, linked = (code >> P.LABELS) // 6, (code >> P.LABELS) % 6, code & 31
+            score = np.zeros(P.LABELS)
+            for y in range(P.LABELS):
+                score[y] = w[y] + (w[P.LABELS + left * 5 + y] if left < 5 else 0) + (w[P.LABELS + y * 5 + right] if right < 5 else 0) + w[-1] * (linked >> y & 1)
+            out += (row * (score - np.log(np.exp(score).sum()))).sum()
+        return out
+
+    best = value(w)
+    assert best == pytest.approx(P.pseudo_likelihood(P.weight_design(around), counts, w, before)[0])
+    for k in range(P.WEIGHTS):
+        for d in (-1e-3, 1e-3):
+            moved = w.copy()
+            moved[k] += d
+            assert value(moved) < best
