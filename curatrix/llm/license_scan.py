@@ -3,8 +3,9 @@
 The words of all templates (base phrases and licence texts) build one suffix automaton. The words of a text stream through it: at
 each word the automaton holds the longest run of words ending there that some template contains (the matching statistics).
 Whole base phrases are read off the automaton's states. Maximal runs of at least ``MIN_RUN`` words are chained template by
-template, in order in both text and template with at most ``MAX_GAP`` words between; a template whose chain covers at least
-``MIN_COVER`` of its words labels the text, and the chain's extent is its span, unless templates of another label cover more words
+template, in order in both text and template with at most ``MAX_GAP`` words between; every chain that covers at least
+``MIN_COVER`` of its template's words labels the text, and its extent is a span (each copy of a licence has its own; of chains of one
+template that overlap the one that covers more stands), unless templates of another label cover more words
 of the same place (sibling licences share most of their words). Of labels that cover equally many, in terms
 that licences share, those stand that cover most of the whole text.
 
@@ -15,7 +16,8 @@ carried. A label that both ways find appears once.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from bisect import bisect, bisect_left
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from importlib.resources import files
 
@@ -204,15 +206,18 @@ class Automaton:
             runs.append((before, size, state))
         return bases, runs
 
-    def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, float, int, int]]:
-        """(template, covered share, first word, last word) of the best chain of each template."""
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
+    def pieces(self, runs: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """By template: (last word, last template word, words) of every place of every run, in order."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
         for end, size, state in runs:
             for t, place in self.ends[state]:
-                pieces.setdefault(t, []).append((end, place, min(size, place + 1)))
+                out.setdefault(t, []).append((end, place, min(size, place + 1)))
+        return {t: sorted(parts) for t, parts in out.items()}
+
+    def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, float, int, int]]:
+        """(template, covered share, first word, last word) of the chains of each template that do not overlap, the best ones first taken."""
         found = []
-        for t, parts in pieces.items():
-            parts.sort()
+        for t, parts in self.pieces(runs).items():
             best: list[tuple[int, int]] = []  # covered words and first word of the best chain that ends with each part
             for i, (end, place, size) in enumerate(parts):
                 score, first = size, end - size + 1
@@ -224,8 +229,13 @@ class Automaton:
                         score, first = best[j][0] + size - overlap, best[j][1]
                     j -= 1
                 best.append((score, first))
-            k = max(range(len(parts)), key=lambda i: (best[i][0], -best[i][1]))
-            found.append((t, min(1.0, best[k][0] / len(self.templates[t][2])), best[k][1], parts[k][0]))
+            taken: list[tuple[int, int]] = []  # extents, in order
+            for k in sorted(range(len(parts)), key=lambda i: (-best[i][0], i)):
+                first, last = best[k][1], parts[k][0]
+                at = bisect(taken, (first, last))
+                if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+                    taken.insert(at, (first, last))
+                    found.append((t, min(1.0, best[k][0] / len(self.templates[t][2])), first, last))
         return sorted(found)
 
 
@@ -238,9 +248,15 @@ def bodies() -> list[tuple[str, bool, list[bytes]]]:
     return out
 
 
-@lru_cache(maxsize=1)
-def automaton() -> Automaton:
+Templates = tuple[tuple[str, str], ...]  # label, text
+
+
+@lru_cache(maxsize=4)
+def automaton(templates: Templates | None = None) -> Automaton:
+    """Of the base phrases and the given templates, or the public licences above."""
     base = [(label, True, words(text.encode())) for text, label in PHRASES.items()]
+    if templates is not None:
+        return Automaton(base + [(label, False, words(text.encode())) for label, text in templates])
     return Automaton(base + [(label, False, words(text.encode())) for label, text in [*TEMPLATES.items(), *MORE]] + bodies())
 
 
@@ -251,19 +267,22 @@ def best_labels(spans: list[Found]) -> list[Found]:
     """The spans that cover ``MIN_COVER`` of their template, without those where another label covers more words of the place, or as many and more of the text."""
     sure = [s for s in spans if s[3] >= MIN_COVER]
     total = {label: sum(x[4] for x in sure if x[0] == label) for label in {x[0] for x in sure}}
+    order = sorted((x for x in spans if x[0] in total), key=lambda x: x[1])
+    starts = [x[1] for x in order]
+    longest = max((x[2] - x[1] for x in order), default=0)
     out = []
     for s in sure:
-        here = {label: 0.0 for label in total}  # covered words within the span's extent
-        for label, start, end, _, covered in spans:
-            if label in here and start < s[2] and s[1] < end:
-                here[label] += covered * (min(end, s[2]) - max(start, s[1])) / (end - start)
-        if all((round(here[x], 6), total[x]) <= (round(here[s[0]], 6), total[s[0]]) for x in total):
+        here = {s[0]: 0.0}  # covered words within the span's extent
+        for label, start, end, _, covered in order[bisect(starts, s[1] - longest) : bisect_left(starts, s[2])]:
+            if s[1] < end:
+                here[label] = here.get(label, 0.0) + covered * (min(end, s[2]) - max(start, s[1])) / (end - start)
+        if all((round(n, 6), total[x]) <= (round(here[s[0]], 6), total[s[0]]) for x, n in here.items()):
             out.append(s)
     return out
 
 
-def scan_text(raw: bytes) -> dict:
-    a = automaton()
+def scan_text(raw: bytes, templates: Templates | None = None) -> dict:
+    a = automaton(templates)
     tokens = list(map(a.vocabulary.get, words(raw)))
     bases, runs = a.scan(tokens)
     spans = [(a.templates[t][0], first, first + len(a.templates[t][2]), 1.0) for t, first in bases]
@@ -297,13 +316,17 @@ _ARROW = [
 ]
 
 
-def license_scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, then counts, label lists, covered spans (in words, end exclusive) and the best covered share."""
+def license_scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """``keep`` columns, then counts, label lists, covered spans (in words, end exclusive) and the best covered share.
+
+    ``templates`` are (label, text) pairs in place of the public licences; every worker builds its automaton from them once.
+    """
+    given = None if templates is None else tuple(map(tuple, templates))
     narrow = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([*narrow.drop("_text").schema, *(T.StructField(n, t) for n, t in _RESULT)])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [scan_text(raw) for raw in raw_texts(part, "_text")]
+        rows = [scan_text(raw, given) for raw in raw_texts(part, "_text")]
         columns = [pa.array([r[n] for r in rows], t) for (n, _), t in zip(_RESULT, _ARROW)]
         return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], schema.names)
 

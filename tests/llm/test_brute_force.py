@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import inner_products, simhash, skip_chain_pii, substring_dedup
+from curatrix.llm import inner_products, license_scan, simhash, skip_chain_pii, substring_dedup
 from tests.llm.test_queries import classes, fingerprint, removed
 
 
@@ -229,3 +229,59 @@ def test_weights_are_where_the_pseudo_likelihood_is_greatest():
             moved = w.copy()
             moved[k] += d
             assert value(moved) < best
+
+
+def best_chain(parts):
+    """Most words that any chain of these parts covers, by trying all chains."""
+    gap = license_scan.MAX_GAP
+
+    def longest(i):  # chains that end with part i
+        end, place, size = parts[i]
+        out = size
+        for j in range(i):
+            e, p, _ = parts[j]
+            overlap = max(0, e - (end - size), p - (place - size))
+            if place > p and end - size - e <= gap and place - size - p <= gap and overlap < size:
+                out = max(out, longest(j) + size - overlap)
+        return out
+
+    return max(map(longest, range(len(parts))))
+
+
+def test_chains_equal_brute_force():
+    r = random.Random(12)
+    letters = [chr(97 + i) * 2 for i in range(14)]
+    for _ in range(60):
+        templates = tuple((f"t{k}", " ".join(r.choice(letters) for _ in range(30))) for k in range(2))
+        a = license_scan.automaton(templates)
+        tokens = []
+        while len(tokens) < 70:
+            t = r.choice(templates)[1].split()
+            i = r.randrange(len(t))
+            tokens += t[i : i + r.randint(5, 14)] + ["zz"] * r.randint(0, 10)
+        runs = a.scan([a.vocabulary.get(t.encode()) for t in tokens])[1]
+        found = a.chains(runs)
+        for t, parts in a.pieces(runs).items():
+            mine = [x for x in found if x[0] == t]
+            assert max(x[1] for x in mine) == min(1.0, best_chain(parts) / 30)
+            extents = sorted(x[2:] for x in mine)
+            assert all(b < c for (_, b), (c, _) in zip(extents, extents[1:]))
+            assert all(any(x <= end <= y or x <= end - size + 1 <= y for x, y in extents) for end, _, size in parts)
+
+
+def test_every_copy_of_a_licence_has_a_span(spark):
+    mit = license_scan.TEMPLATES["mit"]
+    n = len(license_scan.words(mit.encode()))
+    got = license_scan.scan_text(f"{mit} some other words {mit}".encode())
+    assert [(s["label"], s["start"], s["end"]) for s in got["spans"]] == [("mit", 0, n), ("mit", n + 3, 2 * n + 3)]
+    df = spark.createDataFrame([(1, "one two three four five six seven"), (2, mit), (3, "cc by nc")], "doc_id long, text string")
+    got = license_scan.license_scan(df, templates=[("own", "two three four five six seven eight")]).orderBy("doc_id").collect()
+    assert [x["labels"] for x in got] == [["own"], [], ["cc-by-nc"]]
+
+
+def test_many_copies_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    got = license_scan.scan_text((license_scan.TEMPLATES["isc"] + " and more. ").encode() * 3000)
+    assert len(got["spans"]) == 3000 and time.perf_counter() - began < 20
