@@ -2,7 +2,8 @@
 
 Training counts byte trigrams of words (lower case, with word ends) for every language, over all training rows. A document is a
 mixture: each of its words comes from one language, with the likelihood that the language's trigrams give it. Expectation-maximisation
-estimates the document's language proportions; the language set is the nested one (languages by falling proportion) of the highest
+estimates the document's language proportions, document by document until the log likelihood is within ``GAP`` of its greatest value (it is
+concave, so its slopes bound what is left to gain); the language set is the nested one (languages by falling proportion) of the highest
 log likelihood less ``PENALTY`` for each further language and log of the word count. The prediction is the set's largest
 proportion and the score is that proportion.
 
@@ -29,7 +30,8 @@ from curatrix.llm._frames import map_slices, read, slices, with_text
 
 SPACE = 1 << 18
 SMOOTHING = 0.5
-ROUNDS = 12
+#: Log-likelihood units that the proportions may lack.
+GAP = 0.01
 #: Log-likelihood units for each language beyond the first, times log of the number of words.
 PENALTY = 1.5
 #: Languages that a model may have; more than these need a coarser trigram space. A model takes 1 MB a language.
@@ -115,14 +117,30 @@ def _word_scores(ids: np.ndarray, firsts: np.ndarray, logs: np.ndarray, block: i
     return np.concatenate(parts)
 
 
-def _em(like: np.ndarray, text: np.ndarray, starts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after ``ROUNDS`` steps and each text's log likelihood (less the words' own scale)."""
-    sizes = np.diff(np.append(starts, len(like)))[:, None]
-    for _ in range(ROUNDS):
-        weight = like * share[text]
-        weight /= weight.sum(axis=1, keepdims=True)
-        share = _grouped(weight, starts) / sizes
-    return share, _grouped(np.log((like * share[text]).sum(axis=1)), starts)
+def _em(like: np.ndarray, text: np.ndarray, starts: np.ndarray, share: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions over each text's ``usable`` languages, its log likelihood (less the words' own scale) and a bound of what that may lack.
+
+    A round multiplies a proportion by its slope over the word count. The log likelihood is concave in the proportions, so the steepest
+    slope less the word count bounds what any further round can gain; a text is done when this is at most ``GAP``.
+    """
+    share = np.where(usable, share, 0.0)
+    share /= share.sum(axis=1, keepdims=True)
+    value, gap = np.empty(len(share)), np.full(len(share), np.inf)
+    live = np.arange(len(share))
+    while len(live):
+        ends = np.append(starts, len(like))[1:]
+        size = (ends - starts)[:, None]
+        mix = (like * share[live][text]).sum(axis=1)
+        slope = np.where(usable[live], _grouped(like / mix[:, None], starts), 0.0)
+        value[live], gap[live] = _grouped(np.log(mix), starts), slope.max(axis=1) - size[:, 0]
+        open_ = gap[live] > GAP
+        share[live[open_]] *= (slope / size)[open_]
+        if 2 * open_.sum() <= len(live):  # what is done leaves
+            rows = open_[text]
+            like, live = like[rows], live[open_]
+            text = np.searchsorted(np.flatnonzero(open_), text[rows])
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+    return share, value, np.maximum(gap, 0)
 
 
 def infer(texts: list[str | None], names: list[str], logs: np.ndarray) -> list[tuple[str, float, list[float]]]:
@@ -137,7 +155,7 @@ def infer(texts: list[str | None], names: list[str], logs: np.ndarray) -> list[t
     like = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -60.0))
     starts = np.flatnonzero(np.diff(text, prepend=-1))
     k = len(names)
-    share, full = _em(like, text, starts, np.full((len(asked), k), 1.0 / k))
+    share, full, gap = _em(like, text, starts, np.full((len(asked), k), 1.0 / k), np.ones((len(asked), k), bool))
     order = np.argsort(-share, axis=1, kind="stable")
     single = _grouped(np.log(like), starts)
     step = PENALTY * np.log(np.maximum(n_words, 2))
@@ -147,15 +165,14 @@ def infer(texts: list[str | None], names: list[str], logs: np.ndarray) -> list[t
     chosen[np.arange(len(asked)), top] = 1.0
     for m in range(2, k + 1):
         # no set of m or more can beat the best one if even the full mixture can't at m's price
-        open_ = np.flatnonzero(full + 1e-6 - (m - 1) * step > best)
+        open_ = np.flatnonzero(full + gap - (m - 1) * step > best)
         if not len(open_):
             break
         rows = np.isin(text, open_)
         sub = np.searchsorted(open_, text[rows])
-        begin = np.full((len(open_), k), 1e-300)
-        np.put_along_axis(begin, order[open_, :m], np.maximum(np.take_along_axis(share[open_], order[open_, :m], 1), 1e-6), 1)
-        begin /= begin.sum(axis=1, keepdims=True)
-        got, value = _em(like[rows], sub, np.flatnonzero(np.diff(sub, prepend=-1)), begin)
+        usable = np.zeros((len(open_), k), bool)
+        np.put_along_axis(usable, order[open_, :m], True, 1)
+        got, value, _ = _em(like[rows], sub, np.flatnonzero(np.diff(sub, prepend=-1)), np.maximum(share[open_], 1e-3), usable)
         better = value - (m - 1) * step[open_] > best[open_]
         best[open_[better]] = (value - (m - 1) * step[open_])[better]
         chosen[open_[better]] = np.where(got[better] < 1e-9, 0.0, got[better])

@@ -2,14 +2,15 @@
 
 import itertools
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import inner_products, license_scan, simhash, skip_chain_pii, substring_dedup
-from tests.llm.test_queries import classes, fingerprint, removed
+from curatrix.llm import inner_products, language_mixture, license_scan, simhash, skip_chain_pii, substring_dedup
+from tests.llm.test_queries import classes, fingerprint, held_out, removed
 
 
 def near_copies(r, n):
@@ -285,3 +286,90 @@ def test_many_copies_take_linear_time():
     began = time.perf_counter()
     got = license_scan.scan_text((license_scan.TEMPLATES["isc"] + " and more. ").encode() * 3000)
     assert len(got["spans"]) == 3000 and time.perf_counter() - began < 20
+
+
+def plain_languages(rows):
+    """Language and share of every text: trigrams counted in dictionaries, proportions by many rounds on one text at a time, every nested set tried."""
+
+    def word_grams(text):
+        code = [0]
+        for b in (text or "").lower().encode():
+            code.append(b - 96 if 97 <= b <= 122 else 32 + (b & 31) if b >= 128 else 0)
+        code.append(0)
+        out, word = [], []
+        for a, b, c in zip(code, code[1:], code[2:]):
+            if b:
+                word.append((a, b, c))
+            elif word:
+                out.append(word)
+                word = []
+        return out + ([word] if word else [])
+
+    counts = {}
+    for i, t, lang, _ in rows:
+        if not held_out(i) and lang is not None and t is not None:
+            n = counts.setdefault(lang, Counter())
+            for word in word_grams(t):
+                n.update(word)
+    names = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.5 * 2**18 for x in names}
+    out = []
+    for _, t, *_ in rows:
+        words = word_grams(t)
+        if not any(map(str.isalpha, t or "")):
+            out.append(("und", 0.0))
+            continue
+        log = np.array([[sum(np.log((counts[x][g] + 0.5) / total[x]) for g in w) for x in names] for w in words])
+        like = np.exp(np.maximum(log - log.max(axis=1, keepdims=True), -60))
+
+        def mixed(some):
+            s = np.full(len(some), 1 / len(some))
+            for _ in range(3000):
+                p = like[:, some] * s
+                s = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+            return s, np.log((like[:, some] * s).sum(axis=1)).sum()
+
+        order = np.argsort(-mixed(range(len(names)))[0], kind="stable")
+        single = np.log(like).sum(axis=0)
+        best, got = single.max(), (names[int(single.argmax())], 1.0)
+        for m in range(2, len(names) + 1):
+            s, value = mixed(order[:m])
+            value -= (m - 1) * language_mixture.PENALTY * np.log(max(2, len(words)))
+            if value > best + 1e-6:
+                lead = min(range(m), key=lambda i: (-s[i], names[order[i]]))
+                best, got = value, (names[order[lead]], s[lead])
+        out.append(got)
+    return out
+
+
+def test_languages_equal_brute_force(spark, awkward, rows):
+    from curatrix.llm import queries
+
+    r = random.Random(6)
+    some = [x for x in rows if len(x[1] or "") < 3000]
+    mixed = [(1000 + i, " ".join(w for _ in range(2) for w in (r.choice(some)[1] or "").split()[:30]), None, None) for i in range(40)]
+    names, logs = language_mixture.fit(spark.read.parquet(f"{awkward}/documents.parquet").where(~language_mixture.held_out("doc_id")))
+    want = plain_languages(rows + mixed)
+    got = language_mixture.infer([x[1] for x in rows + mixed], names, logs)
+    for (lang, share, _), (name, part) in zip(got, want):
+        assert lang == name and share == pytest.approx(part, abs=0.02)
+    answers = {(x["doc_id"], x["lang_pred"], round(x["score"], 6)) for x in queries.QUERIES["op5_language_mixture"](spark, awkward).collect()}
+    assert answers == {(x[0], lang, round(share, 6)) for x, (lang, share, _) in zip(rows, got)}
+
+
+def test_no_proportions_beat_those_found():
+    r = np.random.default_rng(3)
+    sizes = [1, 2, 7, 40, 400]
+    like = np.exp(-r.exponential(2.0, (sum(sizes), 4)))
+    like /= like.max(axis=1, keepdims=True)
+    text = np.repeat(np.arange(5), sizes)
+    starts = np.flatnonzero(np.diff(text, prepend=-1))
+    usable = np.ones((5, 4), bool)
+    usable[3, 1] = False
+    share, value, gap = language_mixture._em(like, text, starts, np.full((5, 4), 0.25), usable)
+    assert (gap <= language_mixture.GAP).all() and share[3, 1] == 0 and np.allclose(share.sum(axis=1), 1)
+    for d in range(5):
+        rows = like[text == d]
+        assert value[d] == pytest.approx(np.log(rows @ share[d]).sum())
+        for s in r.dirichlet(np.ones(4) * 0.5, 2000) * usable[d]:
+            assert np.log(rows @ (s / s.sum()) + 1e-300).sum() <= value[d] + gap[d] + 1e-9
