@@ -10,7 +10,7 @@ Inputs of a score are the text alone: byte frequencies, character classes, word
 
 Fitting uses a bounded sample, ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` training documents of smallest hash; the documents scored are all.
 
-Defined cases: null and empty texts have all-zero statistics and get the score these give; without positives or without unlabelled
+Defined cases: null and empty texts have no statistics but the constant, in training as in scoring, and get the score it gives; without positives or without unlabelled
 documents every score is 0.5; label rows that are null are ignored, conflicting ones make a document no trusted positive; a null id counts
 as held out; repeated rows give a row each; an empty table gives an empty table; columns besides the named ones are not carried.
 """
@@ -33,6 +33,8 @@ RATE = 0.05
 DECAY = 1e-3
 #: Share of the positives that must stand above a threshold for it to bear on the prior.
 TAIL = 0.3
+#: Standard errors added to a ratio before the least one is taken; chosen by cross-validation within training rows (README).
+MARGIN = 0.0
 
 _KEPT = np.arange(32, 127)  # printable ASCII; all bytes above count together
 
@@ -40,6 +42,7 @@ _KEPT = np.arange(32, 127)  # printable ASCII; all bytes above count together
 def statistics(raw: bytes) -> np.ndarray:
     """About a hundred numbers of order one."""
     out = np.zeros(len(_KEPT) + 13, np.float32)
+    out[-1] = 1.0
     if not raw:
         return out
     n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256).astype(np.float64)
@@ -86,11 +89,11 @@ def _descend(step, size: int, decay: float = 0.0) -> np.ndarray:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = MARGIN) -> float:
     """The share of positives among the unlabelled, from a classifier of the one against the other.
 
     Two halves score each other, so that the classifier's overfitting doesn't count; ratios are taken where at least ``TAIL`` of the
-    positives stand above, so that they aren't noisy.
+    positives stand above, so that they aren't noisy, and at ``margin`` standard errors above their value.
     """
     ratios, decay = [], DECAY + 1 / len(positive)
     for half in (0, 1):
@@ -102,20 +105,26 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         cuts = on_p[: max(1, int(len(q) * (1 - TAIL)))]
         above_p = 1 - np.searchsorted(on_p, cuts) / len(q)
         above_u = 1 - np.searchsorted(on_u, cuts) / len(v)
-        ratios.append((above_u / above_p).min())
+        ratio = above_u / above_p
+        error = ratio * np.sqrt((1 - above_p) / (above_p * len(q)) + (1 - above_u) / (np.maximum(above_u, 1e-9) * len(v)))
+        ratios.append((ratio + margin * error).min())
     return float(np.clip(np.mean(ratios or [0.5]), 0.05, 0.95))
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the unbiased risk, positives as positive and the rest as negative (which may fall below zero), with their gradients."""
+    right, up = _gradient(positive, w, 1.0)
+    wrong, down = _gradient(positive, w, -1.0)
+    rest, of_rest = _gradient(unlabelled, w, -1.0)
+    return prior * right, rest - prior * wrong, prior * up, of_rest - prior * down
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
-    """Weights of least non-negative risk."""
+    """Weights of least non-negative risk: where the second part is below zero, a step leads out of there instead of down the risk."""
 
     def step(w: np.ndarray) -> np.ndarray:
-        _, up = _gradient(positive, w, 1.0)
-        wrong, down = _gradient(positive, w, -1.0)
-        rest, of_rest = _gradient(unlabelled, w, -1.0)
-        if rest - prior * wrong < 0:
-            return prior * down - of_rest
-        return prior * up + of_rest - prior * down
+        _, second, of_first, of_second = risk(positive, unlabelled, prior, w)
+        return -of_second if second < 0 else of_first + of_second
 
     return _descend(step, positive.shape[1], DECAY + 1 / len(positive))  # few positives bear fewer distinctions
 
@@ -175,7 +184,6 @@ def score(df: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, .
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([statistics(r) for r in raw_texts(part, "_text")], np.float64)
-        x[:, -1] = 1.0  # the constant holds for empty texts too
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema.names)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import inner_products, language_mixture, license_scan, simhash, skip_chain_pii, substring_dedup
+from curatrix.llm import inner_products, language_mixture, license_scan, pu_quality, simhash, skip_chain_pii, substring_dedup
 from tests.llm.test_queries import classes, fingerprint, held_out, removed
 
 
@@ -373,3 +373,83 @@ def test_no_proportions_beat_those_found():
         assert value[d] == pytest.approx(np.log(rows @ share[d]).sum())
         for s in r.dirichlet(np.ones(4) * 0.5, 2000) * usable[d]:
             assert np.log(rows @ (s / s.sum()) + 1e-300).sum() <= value[d] + gap[d] + 1e-9
+
+
+def plain_statistics(text):
+    """The statistics as they are defined, character class by character class."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * 107 + [1.0]
+    n, words, lines = len(raw), raw.split(), [x for x in raw.split(b"\n") if x]
+    part = lambda test: sum(map(test, raw))
+    upper, lower = part(lambda b: 65 <= b <= 90), part(lambda b: 97 <= b <= 122)
+    high, digits = part(lambda b: b >= 128), part(lambda b: 48 <= b <= 57)
+    letters = upper + lower + high
+    marks = part(lambda b: 33 <= b <= 126) - upper - lower - digits
+    out = [(raw.count(b) / n) ** 0.5 for b in range(32, 127)]
+    out += [(high / n) ** 0.5, (part(lambda b: b < 32) / n) ** 0.5, upper / max(1, letters), letters / n, digits / n, marks / n]
+    out += [np.log1p(n) / 10, np.log1p(len(words)) / 10, len(set(words)) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)) / 10]
+    return out + [min(2.0, n / max(1, len(words)) / 10), 1.0]
+
+
+def test_quality_scores_equal_brute_force(spark, awkward, rows):
+    docs, labels = (spark.read.parquet(f"{awkward}/{t}.parquet") for t in ("documents", "labels"))
+    quality = {}
+    for x in labels.collect():
+        if x["quality"] is not None:
+            quality.setdefault(x["doc_id"], set()).add(x["quality"])
+    trusted = {i for i, q in quality.items() if q == {1} and not held_out(i)}
+    texts = [(i, t) for i, t, *_ in rows if t is not None and not held_out(i)]
+    positive = np.array([plain_statistics(t) for i, t in texts if i in trusted])
+    unlabelled = np.array([plain_statistics(t) for _, t in texts])
+    got = pu_quality.sample(docs, labels, "doc_id", "text")
+    for mine, want in zip(got, (positive, unlabelled)):
+        assert np.allclose(np.array(sorted(mine.tolist())), np.array(sorted(want.astype(np.float32).tolist())), atol=1e-6)
+
+    # the fit: standardised, the prior, then Adam on a risk whose slopes are taken numerically
+    both = np.concatenate(got)
+    mean, scale = both.mean(axis=0), both.std(axis=0)
+    mean[-1], scale[-1] = 0, 1
+    scale[scale <= 1e-6] = np.inf
+    p, u = ((x - mean) / scale for x in got)
+    prior = pu_quality.estimate_prior(p, u)
+    model = pu_quality.fit(docs, labels)
+    assert model["prior"] == pytest.approx(prior)
+    w = model["weights"] * np.where(np.isinf(scale), 0, scale)
+    w[-1] = model["weights"][-1] + float((model["weights"] * mean)[:-1].sum())
+    assert np.allclose(w, pu_quality.fit_nnpu(p, u, prior), atol=1e-8)
+    answers = pu_quality.score(docs, model, keep=("doc_id", "text")).collect()
+    for x in answers:
+        want = 1 / (1 + np.exp(-np.clip(np.array(plain_statistics(x["text"])) @ model["weights"], -30, 30)))
+        assert x["score"] == pytest.approx(want, abs=1e-4) and x["predicted"] == int(x["score"] >= 0.5)
+
+
+def test_conflicting_and_null_labels_make_no_trusted_positive(spark):
+    ids = [i for i in range(60) if not held_out(i)][:6]
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 1), (ids[1], 0), (ids[2], None), (ids[3], None), (ids[3], 1), (ids[4], 0), (None, 1)], "doc_id long, quality int")
+    positive, unlabelled = pu_quality.sample(docs, labels, "doc_id", "text")
+    assert (len(positive), len(unlabelled)) == (2, 6)  # ids 0 and 3
+
+
+def test_risk_and_its_least_value():
+    r = np.random.default_rng(1)
+    positive, unlabelled = np.c_[r.normal(1, 1, (60, 3)), np.ones(60)], np.c_[r.normal(0, 1.3, (150, 3)), np.ones(150)]
+
+    def value(w, prior):
+        log = lambda x, s: np.mean([np.log1p(np.exp(-s * float(a @ w))) for a in x])
+        return prior * log(positive, 1), log(unlabelled, -1) - prior * log(positive, -1)
+
+    for prior, w in ((0.4, r.normal(size=4)), (0.9, r.normal(size=4) * 3)):
+        first, second, *slopes = pu_quality.risk(positive, unlabelled, prior, w)
+        assert value(w, prior) == pytest.approx((first, second))
+        for k in range(4):
+            d = np.eye(4)[k] * 1e-6
+            for part, slope in enumerate(slopes):
+                assert (value(w + d, prior)[part] - value(w - d, prior)[part]) / 2e-6 == pytest.approx(slope[k], abs=1e-5)
+    w = pu_quality.fit_nnpu(positive, unlabelled, 0.15)
+    assert value(w, 0.15)[1] > 0
+    decay = (pu_quality.DECAY + 1 / 60) / 2
+    total = lambda w: value(w, 0.15)[0] + max(0.0, value(w, 0.15)[1]) + decay * float(w @ w)
+    best = total(w)
+    assert all(total(w + r.normal(size=4) * size) > best - 1e-4 for size in (0.01, 0.1, 1.0) for _ in range(100))
