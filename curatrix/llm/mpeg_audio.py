@@ -1,9 +1,10 @@
 """MPEG audio columns: a lossless store of bytes in silent frames, and a reader for any MPEG audio stream.
 
-``read_stream`` takes the bytes of an MPEG audio file: it parses a leading ID3v2 and a trailing ID3v1 tag, finds frame headers and
-resynchronises after junk (a header counts only if it is legal and the next one, or the end, follows where it says), reads the
-variable-bitrate table of the first frame (Xing, Info or VBRI), verifies the 16-bit checksums of layers I and III, and returns the
-exact duration (samples and rate, as integers) and the byte offset of every audio frame.
+``read_stream`` takes the bytes of an MPEG audio file: it parses a leading ID3v2 tag (unsynchronised ones too) and trailing APEv2 and ID3v1
+tags, finds frame headers and resynchronises after junk (a header counts only if it is legal and the next one, or the end, follows where it
+says; free-format frames get their size from the distance to the next two headers), reads the variable-bitrate table of the first frame (Xing,
+Info or VBRI) with the encoder's delay and padding, verifies the 16-bit checksums of all three layers, and returns the exact duration (played
+samples and rate, as integers) and the byte offset of every audio frame.
 
 ``write_stream`` stores a payload losslessly: MPEG-2 layer III, 16 kHz, mono, 144 kbit/s, protected. A frame has 576 samples and
 648 bytes; its main data is empty (silence), so that the 576 payload bytes stand in its ancillary bytes. An ID3v2 tag holds the
@@ -17,6 +18,7 @@ give a row each; an empty table gives an empty table; other columns are not carr
 from __future__ import annotations
 
 import struct
+import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 from math import gcd
@@ -57,26 +59,68 @@ class Header:
     side: int
     #: Bytes after the checksum that it covers, besides the last two of the header; -1 where they depend on the content.
     covered: int
+    channels: int = 1
+    #: First subband that both channels share.
+    bound: int = 32
+    padding: int = 0
 
 
 @lru_cache(maxsize=4096)
-def header(four: bytes) -> Header | None:
-    """The frame header in four bytes; None for illegal ones and free format."""
+def header(four: bytes, free: int = 0) -> Header | None:
+    """The frame header in four bytes; None for illegal ones, and for free format unless ``free`` is its unpadded frame size."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version, layer = VERSIONS.get(four[1] >> 3 & 3), 4 - (four[1] >> 1 & 3)
     bits, hertz, padding = four[2] >> 4, four[2] >> 2 & 3, four[2] >> 1 & 1
-    if version is None or layer == 4 or bits in (0, 15) or hertz == 3 or four[3] & 3 == 2:
+    if version is None or layer == 4 or bits == 15 or bits == 0 and not free or hertz == 3 or four[3] & 3 == 2:
         return None
     first, mono = version == "1", four[3] >> 6 == 3
     kbits, rate = KBITS[first, layer][bits], HERTZ[version][hertz]
     samples = 384 if layer == 1 else 576 if layer == 3 and not first else 1152
     size = (12000 * kbits // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // rate + padding
+    if bits == 0:
+        size = free + padding * (4 if layer == 1 else 1)
     side = 0 if layer < 3 else (17 if mono else 32) if first else (9 if mono else 17)
     # layer I: four allocation bits a subband and channel, those from the bound of joint stereo on for both channels at once
     bound = 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 0 if mono else 32
     covered = side if layer == 3 else -1 if layer == 2 else 16 + bound // 2
-    return Header(version, layer, not four[1] & 1, kbits, rate, mono, size, samples, side, covered)
+    return Header(version, layer, not four[1] & 1, kbits, rate, mono, size, samples, side, covered, 1 if mono else 2, 32 if mono else bound, padding)
+
+
+# Layer II's bits of allocation by subband, as runs of (bits, subbands).
+_ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def allocation_bits(h: Header) -> list[int]:
+    """Bits of allocation of each subband of a layer II frame: by version, rate and kbit/s a channel."""
+    each = h.kbits // h.channels
+    if h.version != "1":
+        name = "low"
+    elif h.kbits and each <= 48:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if h.rate == 48000 or h.kbits and each <= 80 else "b"
+    return [bits for bits, n in _ALLOCATION[name] for _ in range(n)]
+
+
+def covered_bits(data: bytes, at: int, h: Header) -> int:
+    """How many bits after the checksum of a layer II frame it covers: allocation, and two for each channel and subband with any."""
+    room = data[at + 6 : at + h.size]
+    bits, total = int.from_bytes(room[:64].ljust(64, b"\0"), "big"), 512
+    used = choices = 0
+    for subband, n in enumerate(allocation_bits(h)):
+        shared = subband >= h.bound
+        for _ in range(1 if shared else h.channels):
+            used += n
+            if bits >> (total - used) & ((1 << n) - 1):
+                choices += h.channels if shared else 1
+    return used + 2 * choices
 
 
 def _crc_table() -> list[int]:
@@ -100,6 +144,15 @@ def crc16(data: bytes) -> int:
     return value
 
 
+def crc16_bits(data: bytes, n: int) -> int:
+    """The checksum of the first ``n`` bits."""
+    value = crc16(data[: n // 8])
+    for i in range(n // 8 * 8, n):
+        bit = data[i // 8] >> (7 - i % 8) & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if value >> 15 ^ bit else 0)
+    return value
+
+
 @dataclass
 class Stream:
     tags: dict[str, str] = field(default_factory=dict)
@@ -114,13 +167,20 @@ class Stream:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: list[int] = field(default_factory=list)
+    #: Samples that the encoder put before and after the sound.
+    delay: int = 0
+    ending: int = 0
+
+    @property
+    def played(self) -> int:
+        return max(0, self.samples - self.delay - self.ending)
 
     @property
     def duration(self) -> tuple[int, int]:
         """Seconds as a reduced fraction."""
         rate = self.first.rate if self.first else 1
-        d = gcd(self.samples, rate) or 1
-        return self.samples // d, rate // d
+        d = gcd(self.played, rate) or 1
+        return self.played // d, rate // d
 
 
 def _syncsafe(four: bytes) -> int:
@@ -137,6 +197,10 @@ def id3v2(data: bytes, tags: dict[str, str]) -> int:
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
     major, size = data[3], _syncsafe(data[6:10])
+    after = min(len(data), 10 + size + (10 if data[5] & 0x10 else 0))
+    if data[5] & 0x80 and major < 4:  # unsynchronised as a whole: a zero byte stands after every 255
+        data = data[:10] + data[10 : 10 + size].replace(b"\xff\0", b"\xff")
+        size = len(data) - 10
     end, at = min(len(data), 10 + size), 10
     if data[5] & 0x40 and major >= 3:  # extended header
         at += _syncsafe(data[10:14]) if major == 4 else 4 + int.from_bytes(data[10:14], "big")
@@ -146,13 +210,40 @@ def id3v2(data: bytes, tags: dict[str, str]) -> int:
         raw = data[at + names : at + (6 if major == 2 else 8)]
         n = _syncsafe(raw) if major == 4 else int.from_bytes(raw, "big")
         body = data[at + head : min(end, at + head + n)]
+        if major == 4:  # frame by frame
+            flags = data[at + 9]
+            body = body[4:] if flags & 1 else body
+            body = body.replace(b"\xff\0", b"\xff") if flags & 2 else body
         if name in ("TXXX", "TXX"):
             key, _, value = _text(body).partition("\0")
             tags[f"{name}:{key}"] = value.lstrip("﻿")
         elif name[0] == "T":
             tags[name] = _text(body)
         at += head + n
-    return min(len(data), 10 + size + (10 if data[5] & 0x10 else 0))
+    return after
+
+
+def ape(data: bytes, end: int, tags: dict[str, str]) -> int:
+    """Text items of an APEv2 tag that ends at ``end``; the number of bytes that it takes."""
+    foot = data[max(0, end - 32) : end]
+    if len(foot) < 32 or foot[:8] != b"APETAGEX":
+        return 0
+    version, size, count, flags = struct.unpack("<IIII", foot[8:24])
+    whole = size + (32 if flags >> 31 else 0)
+    if not 32 <= size <= end or whole > end:
+        return 0
+    at, stop = end - size, end - 32
+    for _ in range(count):
+        if at + 8 > stop:
+            break
+        n, kind = struct.unpack("<II", data[at : at + 8])
+        key_end = data.find(b"\0", at + 8, stop)
+        if key_end < 0 or key_end + 1 + n > stop:
+            break
+        if kind >> 1 & 3 == 0:
+            tags[f"ape:{data[at + 8 : key_end].decode('latin-1')}"] = data[key_end + 1 : key_end + 1 + n].decode("utf-8", "replace")
+        at = key_end + 1 + n
+    return whole
 
 
 def id3v1(data: bytes, tags: dict[str, str]) -> int:
@@ -179,6 +270,10 @@ def _bitrate_table(data: bytes, at: int, h: Header, out: Stream) -> bool:
                 out.table_bytes, place = int.from_bytes(data[place : place + 4], "big"), place + 4
             if flags & 4 and place + 100 <= frame_end:
                 out.toc = list(data[place : place + 100])
+            place += (100 if flags & 4 else 0) + (4 if flags & 8 else 0)
+            if data[place : place + 4] in (b"LAME", b"Lavf", b"Lavc") and place + 24 <= frame_end:
+                both = int.from_bytes(data[place + 21 : place + 24], "big")
+                out.delay, out.ending = both >> 12, both & 0xFFF
             return True
     place = at + 36
     if data[place : place + 4] == b"VBRI" and place + 26 <= frame_end:
@@ -195,22 +290,52 @@ def _same(a: Header, b: Header) -> bool:
 
 
 def _checksum(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether the frame's checksum is right; None where it has none or covers more than the header tells."""
-    if not h.protected or h.covered < 0:
+    """Whether the frame's checksum is right; None where it has none."""
+    if not h.protected:
         return None
+    if h.covered < 0:
+        n = covered_bits(data, at, h)
+        return crc16_bits(data[at + 2 : at + 4] + data[at + 6 : at + 6 + -(-n // 8)], 16 + n) == int.from_bytes(data[at + 4 : at + 6], "big")
     return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
+#: Largest free-format frame: over 640 kbit/s at the lowest rates.
+FREE_MOST = 1 << 14
+
+
+def _free_size(data: bytes, at: int, end: int) -> int:
+    """Unpadded size of the free-format frames that begin at ``at``: three headers (or two and the end) that it parts; 0 if there is none."""
+    four = data[at : at + 4]
+    if len(four) < 4 or four[2] >> 4 or header(four, 4) is None:
+        return 0
+    h = header(four, 4)
+    unit = 4 if h.layer == 1 else 1
+    place = at + 4 + 2 * h.protected + max(h.side, 1)
+    while 0 <= (place := data.find(four[:2], place, min(end - 3, at + FREE_MOST))):
+        if data[place + 2] & 0xFC == four[2] & 0xFC:
+            size = place - at - unit * (four[2] >> 1 & 1)
+            follows = place + size + unit * (data[place + 2] >> 1 & 1)
+            if follows == end or follows + 4 <= end and data[follows : follows + 2] == four[:2] and data[follows + 2] & 0xFC == four[2] & 0xFC:
+                return size
+        place += 1
+    return 0
+
+
 def read_stream(data: bytes) -> Stream:
     out = Stream()
     at = id3v2(data, out.tags)
     end = len(data) - id3v1(data, out.tags)
+    end -= ape(data, end, out.tags)
+    free = 0
     synced, begun = True, False
     while at + 4 <= end:
-        h = header(data[at : at + 4])
+        h = header(data[at : at + 4], free)
+        if h is None and not free and not begun and data[at : at + 1] == b"\xff" and header(data[at : at + 4], 4) is not None:
+            free = _free_size(data, at, end)
+            h = header(data[at : at + 4], free) if free else None
         fits = h is not None and at + h.size <= end and (out.first is None or _same(h, out.first))
         if fits and at + h.size != end:
-            after = header(data[at + h.size : at + h.size + 4])
+            after = header(data[at + h.size : at + h.size + 4], free)
             if after is None or not _same(after, h):
                 # it leads to no other frame: the last one before junk, if it is in step and its checksum doesn't speak against it
                 fits = synced and begun and _checksum(data, at, h) is not False
@@ -288,13 +413,20 @@ def feature(s: Stream) -> str:
     if s.first is None:
         return "none"
     num, den = s.duration
-    gaps = ",".join(f"{o}" for o in np.unique(np.diff(s.offsets))[:4]) if len(s.offsets) > 1 else ""
+    gaps = ",".join(f"{o}" for o in np.unique(np.diff(s.offsets))) if len(s.offsets) > 1 else ""
+    places = zlib.crc32(np.array(s.offsets, "<i8").tobytes())
     return (
         f"mpeg{s.first.version} layer{s.first.layer} {s.first.rate}Hz;frames={len(s.offsets)};duration={num}/{den};checksums={s.checked - s.bad}/{s.checked};"
-        f"resyncs={s.resyncs};table={s.table}:{s.table_frames}:{s.table_bytes};first={s.offsets[0] if s.offsets else -1};step={gaps}"
+        f"resyncs={s.resyncs};table={s.table}:{s.table_frames}:{s.table_bytes};first={s.offsets[0] if s.offsets else -1};step={gaps};offsets={places:08x}"
     )
 
 
+def byte_numbers(media: bytes, stream: Stream) -> str:
+    """Sum, distinct values and CRC-32 of the payload as it is read back."""
+    payload = np.frombuffer(stored_payload(media, stream), np.uint8)
+    return f"{int(payload.sum(dtype=np.int64))}/{int((np.bincount(payload, minlength=256) > 0).sum())}/{zlib.crc32(payload.tobytes()):08x}"
+
+
 def store_audio(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Stores each text as MPEG audio and reads it back: ``keep`` columns, then those of ``_RESULT``."""
     narrow = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
@@ -316,7 +448,7 @@ def store_audio(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (
             pa.array([s.resyncs for s in streams], pa.int64()),
             pa.array([s.table for s in streams], pa.string()),
             pa.array([s.offsets for s in streams], pa.list_(pa.int64())),
-            pa.array([feature(s) for s in streams], pa.string()),
+            pa.array([f"{feature(s)};bytes={byte_numbers(m, s)}" for m, s in zip(media, streams)], pa.string()),
         ]
         return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], schema.names)
 
@@ -337,4 +469,5 @@ def op3_mpeg_audio(spark, sf_dir: str) -> DataFrame:
         "frames",
         "samples",
         "rate",
+        F.crc32(F.array_join(F.col("seek_offsets").cast("array<string>"), ",").cast("binary")).alias("seek_offsets_crc32"),
     )

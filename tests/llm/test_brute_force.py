@@ -1,7 +1,11 @@
 """Operators against plain versions of what they compute, where test_queries.py does not do so."""
 
+import hashlib
 import itertools
+import math
 import random
+import struct
+import zlib
 from collections import Counter
 
 import duckdb
@@ -9,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import inner_products, language_mixture, license_scan, pu_quality, simhash, skip_chain_pii, substring_dedup
+from curatrix.llm import inner_products, language_mixture, license_scan, mpeg_audio, pu_quality, simhash, skip_chain_pii, substring_dedup
 from tests.llm.test_queries import classes, fingerprint, held_out, removed
 
 
@@ -453,3 +457,97 @@ def test_risk_and_its_least_value():
     total = lambda w: value(w, 0.15)[0] + max(0.0, value(w, 0.15)[1]) + decay * float(w @ w)
     best = total(w)
     assert all(total(w + r.normal(size=4) * size) > best - 1e-4 for size in (0.01, 0.1, 1.0) for _ in range(100))
+
+
+def plain_crc(bits):
+    value = 0xFFFF
+    for bit in bits:
+        top = value >> 15
+        value = value << 1 & 0xFFFF
+        if top != int(bit):
+            value ^= 0x8005
+    return value
+
+
+def test_stored_form_equals_its_description(spark, awkward, rows):
+    """Tag, table frame and frames built here from the store's description; feature and offsets from these bytes."""
+    from curatrix.llm import queries
+
+    bits = lambda b: "".join(f"{x:08b}" for x in b)
+    head = bytes([0xFF, 0xF2, 0xD8, 0xC0])
+    lead = head + plain_crc(bits(head[2:]) + "0" * 72).to_bytes(2, "big") + bytes(9)
+    want = {}
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        n = max(1, -(-len(raw) // 576))
+        payload = raw.ljust(n * 576, b"\xff")
+        text = b"\x03payload_bytes\0" + str(len(raw)).encode()
+        tag = b"TXXX" + len(text).to_bytes(4, "big") + b"\0\0" + text
+        tag = b"ID3\x04\0\0" + bytes([0, 0, 0, len(tag)]) + tag
+        seek = bytes(min(255, (1 + k * n // 100) * 648 * 256 // ((n + 1) * 648)) for k in range(100))
+        table = lead + b"Info" + (7).to_bytes(4, "big") + n.to_bytes(4, "big") + ((n + 1) * 648).to_bytes(4, "big") + seek
+        frames = b"".join((lead + payload[a : a + 576]).ljust(648, b"\0") for a in range(0, n * 576, 576))
+        media = tag + table.ljust(648, b"\0") + frames + b"TAG" + b"payload".ljust(30, b"\0") + bytes(95)
+        offsets = [len(tag) + 648 * (k + 1) for k in range(n)]
+        d = math.gcd(576 * n, 16000)
+        feature = (
+            f"mpeg2 layer3 16000Hz;frames={n};duration={576 * n // d}/{16000 // d};checksums={n}/{n};resyncs=0;table=Info:{n}:{(n + 1) * 648};first={offsets[0]};"
+            f"step={648 if n > 1 else ''};offsets={zlib.crc32(struct.pack(f'<{n}q', *offsets)):08x};bytes={sum(payload)}/{len(set(payload))}/{zlib.crc32(payload):08x}"
+        )
+        want.setdefault((i, len(raw)), []).append((len(media), hashlib.sha256(media).hexdigest(), feature, zlib.crc32(",".join(map(str, offsets)).encode())))
+    got = {}
+    for x in queries.QUERIES["op3_mpeg_audio"](spark, awkward).collect():
+        got.setdefault((x["doc_id"], x["n_bytes"]), []).append((x["media_bytes"], x["media_sha256"], x["feature"], x["seek_offsets_crc32"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("second, third, fourth", [(0xFC, 0x84, 0x00), (0xFC, 0xA0, 0xC0), (0xFC, 0x18, 0xC0), (0xFC, 0x10, 0xC0), (0xFC, 0x80, 0x50), (0xF4, 0x80, 0x00), (0xFC, 0xC0, 0x70)])
+def test_layer_two_checksums(second, third, fourth):
+    r = random.Random(second + third + fourth)
+    head = bytes([0xFF, second, third, fourth])
+    h = mpeg_audio.header(head)
+    # allocation by subband from the standard's tables, then two bits for every channel and subband with any
+    each = h.kbits // h.channels
+    wide = [4] * 11 + [3] * 12 + [2] * 7
+    if h.version != "1":
+        table = [4] * 4 + [3] * 7 + [2] * 19
+    elif each <= 48:
+        table = [4, 4] + [3] * (10 if h.rate == 32000 else 6)
+    else:
+        table = wide if each >= 96 and h.rate != 48000 else wide[:27]
+    bound = 4 * (fourth >> 4 & 3) + 4 if fourth >> 6 == 1 else 32
+    bits, chosen = "", 0
+    for sb, n in enumerate(table):
+        for _ in range(1 if sb >= bound else h.channels):
+            value = r.choice([0, r.randrange(1 << n)])
+            bits += f"{value:0{n}b}"
+            chosen += (h.channels if sb >= bound else 1) * (value > 0)
+    bits += "".join(r.choice("01") for _ in range(2 * chosen))
+    crc = plain_crc("".join(f"{x:08b}" for x in head[2:]) + bits)
+    rest = "".join(r.choice("01") for _ in range(-len(bits) % 8 + 16))
+    body = int(bits + rest, 2).to_bytes(len(bits + rest) // 8, "big")
+    whole = (head + crc.to_bytes(2, "big") + body).ljust(h.size, b"\x55")
+    flip = 6 + (len(bits) - 1) // 8
+    broken = whole[:flip] + bytes([whole[flip] ^ 1 << (7 - (len(bits) - 1) % 8)]) + whole[flip + 1 :]
+    s = mpeg_audio.read_stream(whole + broken + whole)
+    assert (len(s.offsets), s.checked, s.bad) == (3, 3, 1)
+
+
+def test_tags_delay_and_free_format():
+    one = bytes([0xFF, 0xFB, 0x90, 0xC0]).ljust(417, b"\0")
+    body = b"TIT2" + (6).to_bytes(4, "big") + b"\0\0" + b"\0a\xff\xe0bc"
+    spread = body.replace(b"\xff", b"\xff\0")
+    tag = b"ID3\x03\0\x80" + bytes([0, 0, 0, len(spread)]) + spread
+    item = (5).to_bytes(4, "little") + bytes(4) + b"Album\0" + "Tür?".encode()
+    foot = b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, 1 << 31) + bytes(8)
+    top = b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, 5 << 29) + bytes(8)
+    v1 = b"TAG" + b"old".ljust(125, b"\0")
+    lame = (one[:4] + bytes(17) + b"Xing" + (0).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")).ljust(417, b"\0")
+    s = mpeg_audio.read_stream(tag + lame + one * 4 + top + item + foot + v1)
+    assert s.tags == {"TIT2": "a\xff\xe0bc", "ape:Album": "Tür?", "id3v1:title": "old"}
+    assert (len(s.offsets), s.delay, s.ending, s.played, s.skipped) == (4, 576, 1000, 4 * 1152 - 1576, 0)
+    d = math.gcd(s.played, 44100)
+    assert s.duration == (s.played // d, 44100 // d)
+    free = [bytes([0xFF, 0xFB, p << 1, 0xC0]).ljust(700 + p, b"\0") for p in (0, 1, 1, 0)]
+    s = mpeg_audio.read_stream(b"junk\xff\xfb" + b"".join(free))
+    assert s.offsets == [6, 706, 1407, 2108] and s.samples == 4 * 1152 and s.resyncs == 1
