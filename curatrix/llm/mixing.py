@@ -12,7 +12,8 @@ counted row by row. All of it is DataFrame code. The sums are integers in units
 
 Defined cases: null text has size 0; null source is a source of its own, after the others; a source without words has target 0
 and nothing is taken from it; sizes of 0 take part (their copies hold no words); null or repeated doc_ids are rows like others
-(repeated rows share an order key and are told apart by their place in the block); an empty table gives an empty table. Extra
+(they share an order key; rows of one id and size are told apart by a hash of their text, or of all that is carried, so that a recomputed task
+takes the same ones, and equal rows are alike); an empty table gives an empty table. Extra
 columns are carried, those named like a result column are replaced.
 """
 
@@ -69,14 +70,15 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     The words are counted once: the narrow rows are written to the checkpoint folder, since three later steps read them.
     """
-    rows = df.select(F.col(id_col), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("_source"))
+    rows = df.select(F.col(id_col), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("_source"), F.xxhash64(text_col).alias("_mark"))
     return copies_of(checkpointed(rows), id_col, seed).drop("_source")
 
 
 def systematic_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
     """The rows of ``df`` with ``size, source_size, target, copies`` and ``taken`` (= copies * size)."""
     own = ("size", "source_size", "target", "copies", "taken")
-    rows = df.withColumns({"_size": word_count(text_col), "_source": F.col(source_col).cast("string")}).drop(*own).withColumnRenamed("_size", "size")
+    mark = F.xxhash64(text_col, *(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind))
+    rows = df.withColumns({"_size": word_count(text_col), "_source": F.col(source_col).cast("string"), "_mark": mark}).drop(*own).withColumnRenamed("_size", "size")
     return copies_of(rows, id_col, seed, wide=True).drop("_source")
 
 
@@ -100,12 +102,12 @@ def copies_of(rows: DataFrame, id_col: str, seed: int, wide: bool = False) -> Da
     step = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * unit)).otherwise(0).cast("long")
     blocks = blocks.withColumns({"_offset": offset, "_step": step}).drop("_rows")
     block = ["_key", "_bin", "_part"]
-    rank = F.col("_base") + F.row_number().over(W.partitionBy(*block).orderBy("size", "_tie"))
+    rank = F.col("_base") + F.row_number().over(W.partitionBy(*block).orderBy("size", "_tie", "_mark"))
     rows = rows.join(blocks, block).withColumn("_rank", rank.cast("long"))
     crossed = lambda n: F.shiftright(F.col("_offset") + n * F.col("_step"), UNIT_BITS)
     copies = (crossed(F.col("_rank")) - crossed(F.col("_rank") - 1)).cast("long")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop(*block, "_tie", "_base", "_offset", "_step", "_rank")
+    return rows.drop(*block, "_tie", "_mark", "_base", "_offset", "_step", "_rank")
 
 
 def op10_source_mix(spark, sf_dir: str) -> DataFrame:

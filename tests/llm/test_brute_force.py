@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import inner_products, language_mixture, license_scan, mpeg_audio, pu_quality, simhash, skip_chain_pii, substring_dedup
+from curatrix.llm import inner_products, language_mixture, license_scan, mixing, mpeg_audio, pu_quality, simhash, skip_chain_pii, substring_dedup
 from tests.llm.test_queries import classes, fingerprint, held_out, removed
 
 
@@ -551,3 +551,14 @@ def test_tags_delay_and_free_format():
     free = [bytes([0xFF, 0xFB, p << 1, 0xC0]).ljust(700 + p, b"\0") for p in (0, 1, 1, 0)]
     s = mpeg_audio.read_stream(b"junk\xff\xfb" + b"".join(free))
     assert s.offsets == [6, 706, 1407, 2108] and s.samples == 4 * 1152 and s.resyncs == 1
+
+
+def test_rows_of_one_id_are_taken_alike_however_they_lie(spark):
+    r = random.Random(14)
+    rows = [(r.randrange(40), " ".join(r.choice("abcdef") for _ in range(r.choice([3, 4]))), r.choice("xy"), i) for i in range(400)]
+    taken = []
+    for n in (1, 3, 7):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(n)
+        taken.append(sorted(tuple(x) for x in mixing.systematic_mix(df).select("doc_id", "text", "source", "other", "copies").collect()))
+    assert taken[0] == taken[1] == taken[2]
