@@ -54,7 +54,8 @@ def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
         "precision": precision,
         "negative_predictive_value": tn / _at_least_one(tn + fn),
         "f1_score": 2 * precision * sensitivity / F.greatest(precision + sensitivity, F.lit(EPS)),
-        "balanced_accuracy": (sensitivity + specificity) / 2,
+        # the mean recall of the classes that there are
+        "balanced_accuracy": (sensitivity + specificity) / _at_least_one((tp + fn > 0).cast("int") + (tn + fp > 0).cast("int")),
     }
 
 

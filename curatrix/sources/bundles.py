@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import json
 import time
+import urllib.error
+import urllib.parse
 import urllib.request
 import zipfile
 import zlib
@@ -41,18 +43,36 @@ def read_npz(spark: SparkSession, path: str, schema: str, required: tuple[str, .
 
 
 def fetch_json(url: str, *, origin: str, attempts: int = 4, pause: float = 1.0, get: Callable[[str], bytes] | None = None) -> dict:
-    """A JSON document of an allowed origin, with retries that wait twice as long each time."""
-    if not url.startswith(origin):
+    """A JSON document of an allowed origin. What may pass (no connection, 429, 5xx) is tried again after ever longer pauses."""
+    require_origin(url, origin)
+    return json.loads(patiently(lambda: (get or _get)(url), attempts, pause))
+
+
+def _get(url: str) -> bytes:
+    return urllib.request.urlopen(url, timeout=60).read()
+
+
+def require_origin(url: str, origin: str) -> None:
+    """Scheme, host and port of ``origin`` and a path below its own; no user names."""
+    ours, theirs = urllib.parse.urlsplit(url), urllib.parse.urlsplit(origin)
+    below = theirs.path.rstrip("/") + "/"
+    same = (ours.scheme, ours.netloc.lower()) == (theirs.scheme, theirs.netloc.lower()) and "@" not in ours.netloc
+    if not same or not (ours.path or "/").startswith(below) and ours.path != theirs.path or ".." in ours.path.split("/"):
         raise ExpectationFailed(f"{url} is outside of {origin}")
-    get = get or (lambda u: urllib.request.urlopen(u, timeout=60).read())
-    for attempt in range(attempts):
+
+
+def patiently(call: Callable[[], bytes], attempts: int = 4, pause: float = 1.0) -> bytes:
+    """What ``call`` returns; errors that may pass are borne ``attempts - 1`` times."""
+    for wait in (pause * 2**k for k in range(attempts - 1)):
         try:
-            return json.loads(get(url))
-        except OSError:
-            if attempt == attempts - 1:
+            return call()
+        except urllib.error.HTTPError as error:
+            if error.code != 429 and error.code < 500:
                 raise
-            time.sleep(pause * 2**attempt)
-    raise AssertionError
+        except OSError:
+            pass
+        time.sleep(wait)
+    return call()
 
 
 def pages(first: str, *, origin: str, get: Callable[[str], bytes] | None = None, pause: float = 1.0) -> Iterator[dict]:
@@ -119,6 +139,58 @@ def zip_members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, "path string, member string, bytes long, crc32 long, sha256 string, content binary")
 
 
+class RemoteFile:
+    """Ranged reads of one version of a file: its size and tag are taken once, and every answer must be of that tag."""
+
+    def __init__(self, url: str, *, origin: str, ask: Callable[[str, dict[str, str]], tuple[int, dict[str, str], bytes]] | None = None, attempts: int = 4, pause: float = 1.0):
+        require_origin(url, origin)
+        self.url, self._ask, self._attempts, self._pause = url, ask or _ask, attempts, pause
+        _, headers, _ = self._answer({"Range": "bytes=0-0"})
+        self.tag, total = headers.get("etag", ""), headers.get("content-range", "").rpartition("/")[2]
+        if not self.tag or not total.isdigit():
+            raise ExpectationFailed(f"{url} names no tag or size")
+        self.size = int(total)
+
+    def _answer(self, headers: dict[str, str]) -> tuple[int, dict[str, str], bytes]:
+        return patiently(lambda: self._ask(self.url, headers), self._attempts, self._pause)
+
+    def get(self, begin: int, end: int) -> bytes:
+        status, headers, data = self._answer({"Range": f"bytes={begin}-{end - 1}", "If-Match": self.tag})
+        if status != 206 or headers.get("etag", "") != self.tag:
+            raise ExpectationFailed(f"{self.url} has changed")
+        return data
+
+
+def _ask(url: str, headers: dict[str, str]) -> tuple[int, dict[str, str], bytes]:
+    with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=120) as got:
+        return got.status, {k.lower(): v for k, v in got.headers.items()}, got.read()
+
+
+def remote_zip_members(archives: DataFrame, *, origin: str, names: DataFrame | None = None, ask=None) -> DataFrame:
+    """As ``zip_members``, for archives (url) that stay where they are: only directories and wanted members (url, member) are read."""
+    import hashlib
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                remote = RemoteFile(row.url, origin=origin, ask=ask)
+                with zipfile.ZipFile(io.BufferedReader(RangeStream(remote.size, remote.get), 1 << 16)) as z:
+                    infos = [i for i in z.infolist() if not i.is_dir()]
+                    if len({i.filename for i in infos}) != len(infos):
+                        raise ExpectationFailed(f"{row.url} repeats members")
+                    wanted = {i.filename for i in infos} if row.members is None else set(row.members)
+                    if lost := sorted(wanted - {i.filename for i in infos}):
+                        raise ExpectationFailed(f"{row.url} lacks {lost}")
+                    for info in infos:
+                        if info.filename in wanted:
+                            data = z.read(info)  # checks the member's CRC
+                            yield pd.DataFrame({"path": [row.url], "member": [info.filename], "bytes": [len(data)], "crc32": [info.CRC], "sha256": [hashlib.sha256(data).hexdigest()], "content": [data]})
+
+    listed = archives.select("url").distinct()
+    wanted = listed.join(names.groupBy("url").agg(F.collect_set("member").alias("members")), "url") if names is not None else listed.withColumn("members", F.lit(None).cast("array<string>"))
+    return wanted.mapInPandas(run, "path string, member string, bytes long, crc32 long, sha256 string, content binary")
+
+
 class RangeStream(io.RawIOBase):
     """A seekable stream over ranged reads, for archives whose members are far away."""
 

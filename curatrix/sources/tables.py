@@ -25,8 +25,11 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader(io.StringIO(first[0][0].lstrip("﻿"))))
 
 
-def read_csv(spark: SparkSession, path: str, *, types: Mapping[str, str] | None = None, default: str = "string", keep_blanks: bool = False, required: Sequence[str] = ()) -> DataFrame:
-    """A CSV table whose schema comes from its header and ``types``. Blanks are null, or '' with ``keep_blanks``."""
+def read_csv(spark: SparkSession, path: str, *, types: Mapping[str, str] | None = None, default: str = "string", keep_blanks: bool = False, required: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
+    """A CSV table whose schema comes from its header and ``types``. Blanks are null, or '' with ``keep_blanks``.
+
+    Values with line ends need ``multi_line``, which makes each file one task; without it large files are split.
+    """
     names = csv_header(spark, path)
     if missing := sorted(set(required) - set(names)):
         raise ExpectationFailed(f"{path} lacks columns: {missing}")
@@ -34,12 +37,25 @@ def read_csv(spark: SparkSession, path: str, *, types: Mapping[str, str] | None
         raise ExpectationFailed(f"{path} repeats columns")
     kinds = types or {}
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(kinds.get(n, default))) for n in names])
-    df = spark.read.schema(schema).csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"', mode="FAILFAST")
+    df = spark.read.schema(schema).csv(path, header=True, encoding="UTF-8", multiLine=multi_line, escape='"', mode="FAILFAST")
     return df.na.fill("") if keep_blanks else df
 
 
-def read_manifest(spark: SparkSession, path: str, additional_integers: Sequence[str] = ()) -> DataFrame:
-    return read_csv(spark, path, types={c: "int" for c in (*INTEGERS, *additional_integers)})
+def read_manifest(spark: SparkSession, path: str, additional_integers: Sequence[str] = (), infer: bool = False) -> DataFrame:
+    """Listed columns are integers and all others text; with ``infer`` the other ones whose values are all numbers are numbers.
+
+    Identifiers stay text where a value has a leading zero, a sign or more digits than a long.
+    """
+    known = {c: "int" for c in (*INTEGERS, *additional_integers)}
+    df = read_csv(spark, path, types=known)
+    others = [c for c in df.columns if c not in known]
+    if not infer or not others:
+        return df
+    shape = {c: F.trim(F.col(f"`{c}`")) for c in others}
+    every = lambda c, pattern: F.coalesce(F.min(F.coalesce(c.rlike(pattern), F.lit(True)).cast("int")), F.lit(0)) * (F.count(c) > 0).cast("int")
+    got = df.agg(*(every(shape[c], p).alias(f"{k}{i}") for i, c in enumerate(others) for k, p in (("i", r"^(0|[1-9][0-9]{0,17})$"), ("d", r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")))).first()
+    found = {c: "long" if got[f"i{i}"] else "double" for i, c in enumerate(others) if got[f"i{i}"] or got[f"d{i}"]}
+    return read_csv(spark, path, types=known | found)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
