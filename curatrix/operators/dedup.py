@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.functions.session import checkpointed
 from curatrix.functions.text import blank_to_empty, normalized_label
-from curatrix.operators.expectations import check, report
+from curatrix.operators.expectations import check, enforce, report
 from curatrix.operators.graph import connected_components
 from curatrix.operators.joins import hamming_pairs
 from curatrix.operators.windows import global_row_number
@@ -123,13 +124,28 @@ def component_survivors(members: DataFrame, label: str, ranking: list[Column], k
     return joined.select(*[c for c in members.columns], retained.alias("retained"), reason.cast("string").alias("reason"))
 
 
-def decontaminated(external: DataFrame, pairs: DataFrame, key: str, external_end: str) -> DataFrame:
-    """External rows less those at the external end of a cross-source pair."""
-    return external.join(pairs.select(F.col(external_end).alias(key)).distinct(), key, "left_anti")
+def decontaminated(external: DataFrame, reference: DataFrame, threshold: int, *, key: str = "image_name", hash_col: str = "perceptual_hash", digits: int = 16) -> DataFrame:
+    """External rows that are near no reference row (rows without a hash are near none), and a check that no pair is left.
 
-
-def remaining_pairs(pairs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """Pairs that still stand within ``kept``: a post-condition is that there are none."""
-    for side in ("left", "right"):
-        pairs = pairs.join(kept.select(F.col(key).alias(f"{side}_{key}")).distinct(), f"{side}_{key}", "left_semi")
+    Hashes are linked, not rows: copies cost nothing. What is dropped are external rows alone, so one pass reaches the fixpoint; a pair that
+    still stands afterwards raises.
+    """
+    e, r = (df.where(F.col(hash_col).isNotNull()).select(F.col(hash_col).alias("hash")).distinct() for df in (external, reference))
+    sides = e.withColumns({"e": F.lit(True), "r": F.lit(False)}).union(r.withColumns({"e": F.lit(False), "r": F.lit(True)}))
+    sides = checkpointed(sides.groupBy("hash").agg(F.max("e").alias("e"), F.max("r").alias("r")))
+    near = hamming_pairs(sides, "hash", threshold, digits)
+    both = near.select(F.col("left").alias("x"), F.col("right").alias("y")).union(near.select(F.col("right").alias("x"), F.col("left").alias("y")))
+    both = both.union(sides.where("e and r").select(F.col("hash").alias("x"), F.col("hash").alias("y")))
+    ends = lambda side, c: sides.where(side).select(F.col("hash").alias(c))
+    pairs = checkpointed(both.join(ends("e", "x"), "x", "left_semi").join(ends("r", "y"), "y", "left_semi").select(F.col("x").alias(f"left_{hash_col}"), F.col("y").alias(f"right_{hash_col}")))
+    kept = external.join(pairs.select(F.col(f"left_{hash_col}").alias(hash_col)).distinct(), hash_col, "left_anti")
+    left = remaining_pairs(pairs, kept.select(hash_col), hash_col, reference.select(hash_col))
+    enforce(check(left, "no pair of external and reference rows is left", F.lit(False), F.concat_ws(",", *left.columns)))
+    return kept.select(*external.columns)
+
+
+def remaining_pairs(pairs: DataFrame, kept: DataFrame, key: str, right: DataFrame | None = None) -> DataFrame:
+    """Pairs that still stand within ``kept`` (their right ends within ``right``, if given): a post-condition is that there are none."""
+    for side, rows in (("left", kept), ("right", kept if right is None else right)):
+        pairs = pairs.join(rows.select(F.col(key).alias(f"{side}_{key}")).distinct(), f"{side}_{key}", "left_semi")
     return pairs

@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.functions.session import checkpointed
 from curatrix.functions.text import hex_lane
 from curatrix.operators.expectations import check, enforce, report, unique_check
 
@@ -131,6 +132,47 @@ def near_duplicate_pairs(df: DataFrame, threshold: int, *, key: str = "image_nam
     return joined.select(*sides, "hamming_distance")
 
 
+def hash_classes(df: DataFrame, key: str, hash_col: str) -> DataFrame:
+    """``hash, first, records``: each distinct hash with its smallest record and their number."""
+    return df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("hash")).agg(F.min(key).alias("first"), F.count("*").alias("records"))
+
+
+def class_links(hashes: DataFrame, threshold: int, digits: int = 16) -> DataFrame:
+    """``left, right, hamming_distance``: near hashes, and every hash with itself at distance 0 (its copies)."""
+    distinct = hashes.select(F.col("hash").alias("left"))
+    return hamming_pairs(hashes, "hash", threshold, digits).union(distinct.select("left", F.col("left").alias("right"), F.lit(0).alias("hamming_distance")))
+
+
+def near_duplicate_links(df: DataFrame, threshold: int, by: tuple[str, ...] = (), *, key: str = "image_name", hash_col: str = "perceptual_hash", digits: int = 16) -> DataFrame:
+    """All near-duplicate pairs of records, counted between classes of equal hash instead of listed.
+
+    ``left_<key>, right_<key>`` (the smallest records of the two hashes), ``hamming_distance, pairs`` and, for each column of ``by``,
+    ``<column>_same`` and ``<column>_differ``: the pairs whose two values, neither null, are equal or not. Counts of a hash's values are
+    multiplied, so copies, however many, cost a row a hash and value.
+    """
+    classes = checkpointed(hash_classes(df, key, hash_col))
+    links = checkpointed(class_links(classes.select("hash"), threshold, digits))
+    own = F.col("left") == F.col("right")
+    end = lambda t, side, *names: t.select(F.col("hash").alias(side), *(F.col(c).alias(f"_{side}_{c}") for c in names))
+    out = links.join(end(classes, "left", "first", "records"), "left").join(end(classes, "right", "first", "records"), "right")
+    n, m = F.col("_left_records"), F.col("_right_records")
+    out = out.withColumn("pairs", F.when(own, n * (n - 1) / 2).otherwise(n * m).cast("long"))
+    for c in by:
+        values = df.where(F.col(hash_col).isNotNull() & F.col(c).isNotNull()).groupBy(F.col(hash_col).alias("hash"), F.col(c).alias("value")).agg(F.count("*").alias("n"))
+        values = checkpointed(values)
+        known = values.groupBy("hash").agg(F.sum("n").alias("known"))
+        same = links.join(end(values, "left", "value", "n"), "left").join(end(values, "right", "value", "n"), "right").where("_left_value = _right_value")
+        a, b = F.col("_left_n"), F.col("_right_n")
+        same = same.groupBy("left", "right").agg(F.sum(F.when(own, a * (a - 1) / 2).otherwise(a * b)).cast("long").alias("_same"))
+        out = out.join(end(known, "left", "known"), "left", "left").join(end(known, "right", "known"), "right", "left").join(same, ["left", "right"], "left")
+        a, b = (F.coalesce(f"_{side}_known", F.lit(0)) for side in ("left", "right"))
+        every = F.when(own, a * (a - 1) / 2).otherwise(a * b).cast("long")
+        out = out.withColumns({f"{c}_same": F.coalesce("_same", F.lit(0)), f"{c}_differ": every - F.coalesce("_same", F.lit(0))}).drop("_same", "_left_known", "_right_known")
+    first, second = F.col("_left_first"), F.col("_right_first")
+    counts = ["pairs", *(f"{c}_{k}" for c in by for k in ("same", "differ"))]
+    return out.where("pairs > 0").select(F.least(first, second).alias(f"left_{key}"), F.greatest(first, second).alias(f"right_{key}"), "hamming_distance", *counts)
+
+
 def flag_same(pairs: DataFrame, column: str, name: str) -> DataFrame:
     return pairs.withColumn(name, F.col(f"left_{column}") == F.col(f"right_{column}"))
 

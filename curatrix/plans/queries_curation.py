@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions import text
+from curatrix.functions.session import checkpointed
 from curatrix.operators import curation, dedup, joins, policies, provenance, split
+from curatrix.operators.skew import spread_join
 from curatrix.plans.bridge import manifest, orders, predictions, requests, table, views, with_views
 from curatrix.plans.catalogue import query
 
@@ -19,29 +21,40 @@ pairs AS (SELECT l.image_name AS left_image_name, r.image_name AS right_image_na
   FROM b_hashed l JOIN b_hashed r ON l.ord < r.ord AND bit_count(xor(('0x' || l.perceptual_hash)::UBIGINT, ('0x' || r.perceptual_hash)::UBIGINT)) <= {NEAR})"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return joins.near_duplicate_pairs(manifest(spark, sf_dir), NEAR, extra=("group_id", "collection_id"), **options)
+#: Pairs of records, counted between the smallest records of their hashes.
+_LINKS = """, f AS (SELECT perceptual_hash, min(image_name) AS first FROM b_hashed GROUP BY 1), w AS (SELECT image_name, first FROM b_hashed JOIN f USING (perceptual_hash)),
+  s AS (SELECT group_id, CASE ('0x' || substr(sha256('11:cv:' || group_id), 1, 16))::UBIGINT % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM (SELECT DISTINCT group_id FROM b_hashed)),
+  k AS (SELECT least(a.first, b.first) AS left_image_name, greatest(a.first, b.first) AS right_image_name, hamming_distance, count(*) AS pairs, count(*) FILTER (left_group_id = right_group_id) AS group_id_same,
+      count(*) FILTER (l.split <> r.split) AS split_differ, count(*) FILTER (left_collection_id <> right_collection_id) AS collection_id_differ
+    FROM pairs JOIN w a ON a.image_name = left_image_name JOIN w b ON b.image_name = right_image_name JOIN s l ON l.group_id = left_group_id JOIN s r ON r.group_id = right_group_id GROUP BY ALL)"""
 
 
-@query(
-    with_views("b_hashed")
-    + ","
-    + _PAIRS
-    + """, s AS (SELECT group_id, CASE ('0x' || substr(sha256('11:cv:' || group_id), 1, 16))::UBIGINT % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM (SELECT DISTINCT group_id FROM b_hashed))
-  SELECT left_image_name, right_image_name, hamming_distance, left_group_id = right_group_id AS same_group, l.split <> r.split AS cross_split
-  FROM pairs JOIN s l ON l.group_id = left_group_id JOIN s r ON r.group_id = right_group_id"""
-)
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest with a hash split by group, written once."""
+    return checkpointed(manifest(spark, sf_dir).withColumn("split", split.folds_to_splits(text.hash_fold("group_id", 11, 5))))
+
+
+@query(with_views("b_hashed") + "," + _PAIRS + _LINKS + " SELECT left_image_name, right_image_name, hamming_distance, pairs, group_id_same, split_differ FROM k")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate records, whether they share a group, and whether a hash split by group parts them."""
-    pairs = _pairs(spark, sf_dir)
-    for side in ("left", "right"):
-        pairs = pairs.withColumn(f"{side}_split", split.folds_to_splits(text.hash_fold(f"{side}_group_id", 11, 5)))
-    return pairs.select("left_image_name", "right_image_name", "hamming_distance", (F.col("left_group_id") == F.col("right_group_id")).alias("same_group"), (F.col("left_split") != F.col("right_split")).alias("cross_split"))
+    """Near-duplicate records between the smallest records of their hashes: how many pairs, in one group, and parted by a hash split."""
+    links = joins.near_duplicate_links(_split(spark, sf_dir), NEAR, ("group_id", "split"))
+    return links.select("left_image_name", "right_image_name", "hamming_distance", "pairs", "group_id_same", "split_differ")
 
 
-@query(with_views("b_hashed") + "," + _PAIRS + " SELECT left_image_name, right_image_name, hamming_distance FROM pairs WHERE left_collection_id <> right_collection_id")
+@query(with_views("b_hashed") + ", f AS (SELECT perceptual_hash, min(image_name) AS first, count(*) AS records FROM b_hashed GROUP BY 1) SELECT image_name, first, records FROM b_hashed JOIN f USING (perceptual_hash)")
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class (smallest record of the hash) that each record belongs to in ``near_dup_pairs``."""
+    m = checkpointed(manifest(spark, sf_dir).select("image_name", "perceptual_hash"))
+    classes = joins.hash_classes(m, "image_name", "perceptual_hash").withColumnRenamed("hash", "perceptual_hash")
+    return spread_join(m, classes, "perceptual_hash", "image_name").select("image_name", "first", "records")
+
+
+@query(with_views("b_hashed") + "," + _PAIRS + _LINKS + " SELECT left_image_name, right_image_name, hamming_distance, collection_id_differ FROM k WHERE collection_id_differ > 0")
 def cross_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, across="collection_id").select("left_image_name", "right_image_name", "hamming_distance")
+    """Near-duplicate records of different sources, counted between the smallest records of their hashes."""
+    m = checkpointed(manifest(spark, sf_dir).select("image_name", "perceptual_hash", "collection_id"))
+    links = joins.near_duplicate_links(m, NEAR, ("collection_id",))
+    return links.where("collection_id_differ > 0").select("left_image_name", "right_image_name", "hamming_distance", "collection_id_differ")
 
 
 @query(with_views("b_manifest") + " SELECT image_name, sha256 FROM b_manifest WHERE sha256 IN (SELECT sha256 FROM b_manifest GROUP BY sha256 HAVING count(*) > 1)")
@@ -97,8 +110,6 @@ def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from curatrix.functions.session import checkpointed
-
     m = checkpointed(manifest(spark, sf_dir).select("image_name", "perceptual_hash"))
     return dedup.near_duplicate_components(m, NEAR)
 
@@ -119,10 +130,8 @@ def component_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT image_name FROM b_hashed WHERE collection_id <> 'src0' AND image_name NOT IN (SELECT image_name FROM x)""")
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of other sources that are near no record of the reference source."""
-    m = manifest(spark, sf_dir).withColumn("side", F.col("collection_id") == "src0")
-    pairs = joins.near_duplicate_pairs(m, NEAR, extra=("side",), across="side")
-    external = F.when(F.col("left_side"), F.col("right_image_name")).otherwise(F.col("left_image_name"))
-    return dedup.decontaminated(m.where("not side"), pairs.withColumn("external", external), "image_name", "external").select("image_name")
+    m = checkpointed(manifest(spark, sf_dir).select("image_name", "perceptual_hash", "collection_id"))
+    return dedup.decontaminated(m.where("collection_id <> 'src0'"), m.where("collection_id = 'src0'"), NEAR).select("image_name")
 
 
 _PRE = """, d AS (SELECT *, CASE ('0x' || substr(sha256('11:cv:' || group_id), 1, 16))::UBIGINT % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM b_hashed),
@@ -138,12 +147,8 @@ _PRE = """, d AS (SELECT *, CASE ('0x' || substr(sha256('11:cv:' || group_id), 1
 @query(with_views("b_hashed") + "," + _PAIRS + _PRE)
 def preflight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All preflight checks of a hash-split manifest: some hold, some fail."""
-    from curatrix.functions.session import checkpointed
-
-    named = split.folds_to_splits(text.hash_fold("group_id", 11, 5))
-    m = checkpointed(manifest(spark, sf_dir).withColumn("split", named))
-    pairs = joins.near_duplicate_pairs(m, NEAR, extra=("split",))
-    return curation.preflight(m, pairs).drop("examples")
+    m = _split(spark, sf_dir)
+    return curation.preflight(m, joins.near_duplicate_links(m, NEAR, ("split",))).drop("examples")
 
 
 @query(with_views("b_manifest") + """, e AS (SELECT count(*) AS n, count(DISTINCT group_id) AS g FROM b_manifest)
