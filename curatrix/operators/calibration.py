@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.numeric import quadratic_features, sigmoid
 from curatrix.functions.session import checkpointed
-from curatrix.operators.metrics import binary_metrics, confusion, log_loss, ranking_metrics, rates, score_table, threshold_for_sensitivity, threshold_for_specificity
+from curatrix.operators.metrics import binary_metrics, log_loss, ranking_metrics, rates, score_table, threshold_for_sensitivity, threshold_for_specificity
+from curatrix.operators.windows import global_row_number
 
 
 def _counted(df: DataFrame, logit: str, target: str) -> DataFrame:
@@ -99,45 +100,53 @@ def development_calibration(df: DataFrame, *, logit: str = "logit", target: str
     return {"method": "affine_logistic_scaling", "logit_scale": scale, "logit_bias": bias, "low_threshold": low, "high_threshold": high, "before": before, "after": after}
 
 
-#: Draws (samples times groups) that are made on the driver at most; beyond it draws come from hashes on the executors.
+#: Draws (samples times groups) that NumPy's generator makes on the driver at most.
 MAX_DRIVER_DRAWS = 50_000_000
 BOOTSTRAP_METRICS = ("roc_auc", "pr_auc", "sensitivity", "specificity", "precision")
 
 
-def bootstrap_draws(df: DataFrame, samples: int, seed: int, group: str, target: str) -> DataFrame:
-    """``group, replicate, times``: groups with and without positives, each drawn with replacement.
+def bootstrap_draws(df: DataFrame, samples: int, seed: int, group: str, target: str, draws: str = "numpy") -> DataFrame:
+    """``group, replicate, times``: of each stratum (groups with and without positives) as many groups as it has, with replacement.
 
-    With few groups the draws are NumPy's, in the order replicate by replicate, positives first. With many, each group's
-    multiplicity is Poisson(1) from a hash of (seed, replicate, group), which needs no list of groups anywhere.
+    ``draws`` names who decides, whatever the table's size. 'hash': the j-th draw of a replicate takes the stratum's group of number
+    SHA-256('seed:replicate:stratum:j') modulo the stratum's size, made on the executors from numbered groups. 'numpy': NumPy's default
+    generator, replicate by replicate, positives first; sequential on the driver, so more than ``MAX_DRIVER_DRAWS`` draws are an error.
     """
     groups = df.groupBy(F.col(group).cast("string").alias("_g")).agg(F.max(target).alias("_y"))
+    groups = checkpointed(groups) if draws == "hash" else groups
     n, *strata = groups.agg(F.count("*"), F.count_if(F.col("_y") == 1), F.count_if(F.col("_y") == 0)).first()
     if not all(strata):
         raise ValueError("a bootstrap needs groups with and without positives")
-    if n * samples <= MAX_DRIVER_DRAWS:
-        rows = groups.orderBy("_g").collect()
-        strata = [np.array([r["_g"] for r in rows if r["_y"] == y]) for y in (1, 0)]
-        draw = np.random.default_rng(seed)
-        parts = []
-        for i in range(samples):
-            for stratum in strata:
-                names, times = np.unique(draw.choice(stratum, size=len(stratum), replace=True), return_counts=True)
-                parts.append(pa.table({"_g": pa.array(names.astype(str)), "replicate": pa.array(np.full(len(names), i, np.int32)), "times": pa.array(times.astype(np.int32))}))
-        return df.sparkSession.createDataFrame(pa.concat_tables(parts))
-    many = groups.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_g"), F.lit(1 << 52)) / float(1 << 52)
-    bounds = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    times = sum((F.when(u >= float(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    return many.select("_g", "replicate", times.alias("times")).where("times > 0")
-
-
-def bootstrap_intervals(df: DataFrame, *, threshold: float, samples: int = 2000, confidence: float = 0.95, seed: int = 2026, group: str = "group_id", target: str = "target", score: str = "p") -> DataFrame:
+    if draws == "hash":
+        numbered = None
+        for y, size in zip((1, 0), strata):
+            part = global_row_number(groups.where(F.col("_y") == y).select("_g"), "_g", "_j").withColumns({"_y": F.lit(y), "_size": F.lit(size)})
+            numbered = part if numbered is None else numbered.union(part)
+        many = numbered.select("_y", "_j", "_size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
+        text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_y").cast("string"), F.col("_j").cast("string"))
+        bits = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")  # 60 bits
+        times = many.select("_y", "replicate", (bits % F.col("_size")).alias("_j")).groupBy("_y", "replicate", "_j").agg(F.count("*").cast("int").alias("times"))
+        return times.join(numbered.select("_y", "_j", "_g"), ["_y", "_j"]).select("_g", "replicate", "times")
+    if n * samples > MAX_DRIVER_DRAWS:
+        raise ValueError(f"{n * samples} draws: beyond {MAX_DRIVER_DRAWS} take draws='hash'")
+    rows = groups.orderBy("_g").collect()
+    strata = [np.array([r["_g"] for r in rows if r["_y"] == y]) for y in (1, 0)]
+    draw = np.random.default_rng(seed)
+    parts = []
+    for i in range(samples):
+        for stratum in strata:
+            names, times = np.unique(draw.choice(stratum, size=len(stratum), replace=True), return_counts=True)
+            parts.append(pa.table({"_g": pa.array(names.astype(str)), "replicate": pa.array(np.full(len(names), i, np.int32)), "times": pa.array(times.astype(np.int32))}))
+    return df.sparkSession.createDataFrame(pa.concat_tables(parts))
+
+
+def bootstrap_intervals(df: DataFrame, *, threshold: float, samples: int = 2000, confidence: float = 0.95, seed: int = 2026, group: str = "group_id", target: str = "target", score: str = "p", draws: str = "numpy") -> DataFrame:
     """``metric, low, high``: quantiles over replicates of metrics that weigh each group's rows by its draws."""
     if samples < 100:
         raise ValueError("at least 100 samples")
-    draws = bootstrap_draws(df, samples, seed, group, target)
+    drawn = bootstrap_draws(df, samples, seed, group, target, draws)
     slim = df.groupBy(F.col(group).cast("string").alias("_g"), F.col(score).alias("_p"), F.col(target).alias("_y")).agg(F.count("*").alias("_n"))
-    weighted = slim.join(draws, "_g").withColumn("_w", F.col("_n") * F.col("times"))
+    weighted = slim.join(drawn, "_g").withColumn("_w", F.col("_n") * F.col("times"))
     table = checkpointed(score_table(weighted, "_y", "_p", ["replicate"], "_w"))
     ranks = ranking_metrics(table, ["replicate"])
     part = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0)).cast("long")

@@ -38,8 +38,8 @@ def ranked_scores(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def ranking_metrics(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by, roc_auc, pr_auc``: ties count half; precision steps over distinct scores without interpolation. Null where a class lacks."""
     ranked = ranked_scores(table, by)
-    auc = F.sum(F.col("neg") * (F.col("run_pos") - F.col("pos") / 2)) / (F.max("tot_pos") * F.max("tot_neg"))
-    ap = F.sum(F.col("pos") / F.col("tot_pos") * (F.col("run_pos") / F.col("run_n")))
+    auc = F.try_divide(F.sum(F.col("neg") * (F.col("run_pos") - F.col("pos") / 2)), F.max("tot_pos") * F.max("tot_neg"))
+    ap = F.sum(F.try_divide("pos", "tot_pos") * (F.col("run_pos") / F.col("run_n")))
     both = (F.max("tot_pos") > 0) & (F.max("tot_neg") > 0)
     return ranked.groupBy(*by).agg(F.when(both, auc).alias("roc_auc"), F.when(F.max("tot_pos") > 0, ap).alias("pr_auc"))
 
@@ -167,43 +167,85 @@ def three_class_metrics(df: DataFrame, predicted: Column, target: str = "target"
     )
 
 
-#: Distinct boundaries that the threshold search pairs at most; scores beyond it must be binned first.
-MAX_BOUNDARIES = 20_000
+#: Ranges of boundaries that the threshold search compares at first, and parts of a range in each later step.
+RANGES, PARTS = 256, 16
 
 
 def best_three_zone_thresholds(df: DataFrame, *, target: str = "target", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """``by, low_threshold, high_threshold`` and the recalls there: worst recall, mean recall, small range, outer recalls, low places.
 
-    Boundaries lie between neighbouring distinct scores; all pairs of boundaries (not of rows) are compared in a range join.
+    Boundaries lie between neighbouring distinct scores. Pairs of boundaries are searched by branch and bound: pairs of ranges of boundaries
+    get an upper bound of (worst recall, mean recall), since counts below a boundary only grow with it; pairs of ranges whose bound stays
+    below what a pair of boundaries reaches are dropped, the others are cut further, down to single boundaries. Exact for any number of
+    scores; a step's work follows the number of ranges that are left, not the square of the boundaries.
     """
     by = list(by)
     table = df.groupBy(*by, F.col(score).alias("score")).agg(F.count("*").alias("n"), *(F.sum((F.col(target) == t).cast("int")).cast("long").alias(f"c{t}") for t in range(3)))
-    table = checkpointed(table)
-    ranked = running(table, ["n", "c0", "c1", "c2"], "score", partition=by)
-    from pyspark.sql import Window as W
-
-    # one row a distinct score from here on, of which there are MAX_BOUNDARIES at most
-    following = F.lead("score").over(W.partitionBy(*by).orderBy("score"))
-    marks = ranked.withColumn("_next", following).where(F.col("_next").isNotNull())
-    most = marks.groupBy(*by).agg(F.count("*").alias("b")).agg(F.max("b")).first()[0] or 0
-    if most > MAX_BOUNDARIES:
-        raise ValueError(f"{most} boundaries: bin the scores, the search takes {MAX_BOUNDARIES} at most")
-    totals = table.groupBy(*by).agg(*(F.sum(f"c{t}").alias(f"t{t}") for t in range(3)))
-    side = lambda s: marks.select(*by, *(F.col(c).alias(f"{s}_{c}") for c in ("score", "run_n", "run_c0", "run_c1", "run_c2")), ((F.col("score") + F.col("_next")) / 2.0).alias(f"{s}_threshold"))
-    low, high = side("low").alias("l"), side("high").alias("h")
-    ordered = F.col("l.low_score") < F.col("h.high_score")
-    for b in by:
-        ordered = ordered & (F.col(f"l.{b}") == F.col(f"h.{b}"))
-    pairs = low.join(high, ordered).drop(*(F.col(f"h.{b}") for b in by))
-    pairs = pairs.join(totals, by) if by else pairs.crossJoin(F.broadcast(totals))
-    r0, r1, r2 = F.col("low_run_c0") / F.col("t0"), (F.col("high_run_c1") - F.col("low_run_c1")) / F.col("t1"), (F.col("t2") - F.col("high_run_c2")) / F.col("t2")
-    pairs = pairs.withColumns({"r0": r0, "r1": r1, "r2": r2})
-    r = [F.col("r0"), F.col("r1"), F.col("r2")]
-    key = F.struct(F.least(*r).alias("a"), ((r[0] + r[1] + r[2]) / 3).alias("b"), (-(F.greatest(*r) - F.least(*r))).alias("c"), (r[0] + r[2]).alias("d"), (-F.col("low_run_n")).alias("e"), (-F.col("high_run_n")).alias("f"))
-    value = F.struct("low_threshold", "high_threshold", "r0", "r1", "r2")
-    best = pairs.groupBy(*by).agg(F.max_by(value, key).alias("_b"), F.count("*").alias("candidate_pairs"))
-    worst = F.least("_b.r0", "_b.r1", "_b.r2")
-    return best.select(*by, "_b.low_threshold", "_b.high_threshold", worst.alias("worst_class_recall"), ((F.col("_b.r0") + F.col("_b.r1") + F.col("_b.r2")) / 3).alias("macro_recall"), "candidate_pairs")
+    table = checkpointed(table.withColumn("one", F.lit(1).cast("long")))
+    totals = table.groupBy(*by).agg(*(F.sum(f"c{t}").alias(f"t{t}") for t in range(3)), F.sum("one").alias("scores")).withColumn("boundaries", F.col("scores") - 1)
+    totals = checkpointed(totals)
+    up = running(table, ["n", "c0", "c1", "c2", "one"], "score", partition=by)
+    down = running(table, ["one"], "score", descending=True, partition=by).select(*by, (F.col("run_one") - 1).alias("_above"), F.col("score").alias("_next"))
+    # the boundary above the i-th score lies halfway to the next one
+    marks = up.withColumnRenamed("run_one", "place").join(totals, by) if by else up.withColumnRenamed("run_one", "place").crossJoin(F.broadcast(totals))
+    marks = marks.where("place < scores").withColumn("_above", F.col("scores") - 1 - F.col("place"))
+    marks = marks.join(down, [*by, "_above"]).select(*by, "place", "score", ((F.col("score") + F.col("_next")) / 2.0).alias("threshold"), "run_n", "run_c0", "run_c1", "run_c2")
+    marks = checkpointed(marks)
+    most = totals.agg(F.max("boundaries")).first()[0] or 0
+    width = 1
+    while width * RANGES < most:
+        width *= PARTS
+
+    def ranges(width: int, side: str) -> DataFrame:
+        """Ranges of ``width`` places: their first and last counts, and those of the ends."""
+        ends = lambda c: (F.min(c).alias(f"{side}_{c}_min"), F.max(c).alias(f"{side}_{c}_max"))
+        cut = marks.groupBy(*by, F.floor((F.col("place") - 1) / width).alias(side))
+        return cut.agg(*(e for c in ("place", "run_n", "run_c0", "run_c1", "run_c2", "threshold") for e in ends(c)))
+
+    def with_totals(pairs: DataFrame) -> DataFrame:
+        return pairs.join(F.broadcast(totals), by) if by else pairs.crossJoin(F.broadcast(totals))  # a row a group
+
+    def recalls(low: str, high: str, high2: str, low1: str) -> list[Column]:
+        return [
+            F.try_divide(F.col(f"low_run_c0_{low}"), F.col("t0")),
+            F.try_divide(F.col(f"high_run_c1_{high}") - F.col(f"low_run_c1_{low1}"), F.col("t1")),
+            F.try_divide(F.col("t2") - F.col(f"high_run_c2_{high2}"), F.col("t2")),
+        ]
+
+    def bound(r: list[Column]) -> Column:
+        # a class without rows has recalls of null, which least() leaves out here as in the key of a pair
+        return F.struct(F.least(*r).alias("a"), ((r[0] + r[1] + r[2]) / 3).alias("b"))
+
+    low, high = ranges(width, "low"), ranges(width, "high")
+    pairs = low.join(high, by) if by else low.crossJoin(F.broadcast(high))  # RANGES rows a side and group
+    while True:
+        pairs = with_totals(pairs.where("low_place_min < high_place_max"))
+        if width == 1:
+            break
+        # the greatest bound of the pairs in two ranges, and what their outermost boundaries reach
+        pairs = pairs.withColumns({"_bound": bound(recalls("max", "max", "min", "min")), "_reached": bound(recalls("min", "max", "max", "min"))})
+        pairs = checkpointed(pairs.select(*by, "low", "high", "_bound", "_reached"))
+        reached = pairs.groupBy(*by).agg(F.max("_reached").alias("_best"))
+        left = pairs.join(F.broadcast(reached), by) if by else pairs.crossJoin(F.broadcast(reached))
+        left = left.where(F.col("_bound") >= F.col("_best")).select(*by, *((F.col(s) * PARTS).alias(s) for s in ("low", "high")))
+        width //= PARTS
+        for s in ("low", "high"):
+            left = left.withColumn(s, F.explode(F.sequence(F.col(s), F.col(s) + (PARTS - 1))))
+        left = left.where("low <= high")
+        pairs = left.join(ranges(width, "low"), [*by, "low"]).join(ranges(width, "high"), [*by, "high"])
+    r = recalls("min", "min", "min", "min")
+    key = F.struct(F.least(*r).alias("a"), ((r[0] + r[1] + r[2]) / 3).alias("b"), (-(F.greatest(*r) - F.least(*r))).alias("c"), (r[0] + r[2]).alias("d"), (-F.col("low_run_n_min")).alias("e"), (-F.col("high_run_n_min")).alias("f"))
+    value = F.struct(F.col("low_threshold_min").alias("low_threshold"), F.col("high_threshold_min").alias("high_threshold"), *(x.alias(f"r{i}") for i, x in enumerate(r)), "boundaries")
+    best = pairs.groupBy(*by).agg(F.max_by(value, key).alias("_b"))
+    worst, boundaries = F.least("_b.r0", "_b.r1", "_b.r2"), F.col("_b.boundaries")
+    return best.select(
+        *by,
+        "_b.low_threshold",
+        "_b.high_threshold",
+        worst.alias("worst_class_recall"),
+        ((F.col("_b.r0") + F.col("_b.r1") + F.col("_b.r2")) / 3).alias("macro_recall"),
+        (boundaries * (boundaries - 1) / 2).cast("long").alias("candidate_pairs"),
+    )
 
 
 def cross_validated_three_zone(df: DataFrame, folds: int, *, fold: str = "fold", target: str = "target", score: str = "score") -> DataFrame:

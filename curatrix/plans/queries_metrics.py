@@ -229,11 +229,23 @@ def development_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(v, 6) for v in row.values())], ", ".join(f"{k} double" for k in row))
 
 
-@query()
+_BOOTSTRAP = """, x AS (SELECT record_id, group_id::VARCHAR AS g, target, round(p, 3) AS p FROM b_pred),
+  g AS (SELECT g, max(target) AS y FROM x GROUP BY g), j AS (SELECT g, y, row_number() OVER (PARTITION BY y ORDER BY g) - 1 AS j, count(*) OVER (PARTITION BY y) AS size FROM g),
+  d AS (SELECT y, i, ('0x' || substr(sha256('2026:' || i || ':' || y || ':' || j), 1, 15))::BIGINT % size AS j, count(*) AS times FROM j, range(2000) r(i) GROUP BY ALL),
+  slim AS (SELECT g, p, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target = 0) AS neg FROM x GROUP BY g, p),
+  t AS (SELECT i, p, sum(pos * times) AS pos, sum(neg * times) AS neg FROM d JOIN j USING (y, j) JOIN slim USING (g) GROUP BY i, p),
+  r AS (SELECT *, (sum(pos) OVER w)::DOUBLE AS rp, (sum(pos + neg) OVER w)::DOUBLE AS rn, (sum(pos) OVER (PARTITION BY i))::DOUBLE AS tp, (sum(neg) OVER (PARTITION BY i))::DOUBLE AS tn FROM t WINDOW w AS (PARTITION BY i ORDER BY p DESC)),
+  m AS (SELECT i, sum(neg * (rp - pos / 2.0::DOUBLE)) / (max(tp) * max(tn)) AS roc_auc, sum(pos / tp * (rp / rn)) AS pr_auc, coalesce(sum(pos) FILTER (p >= 0.5), 0) / max(tp) AS sensitivity,
+    coalesce(sum(neg) FILTER (p < 0.5), 0) / max(tn) AS specificity, coalesce(sum(pos) FILTER (p >= 0.5), 0) / greatest(coalesce(sum(pos + neg) FILTER (p >= 0.5), 0), 1) AS precision FROM r GROUP BY i),
+  l AS (SELECT unnest(['roc_auc', 'pr_auc', 'sensitivity', 'specificity', 'precision']) AS metric, unnest([roc_auc, pr_auc, sensitivity, specificity, precision]) AS v FROM m)
+  SELECT metric, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM l GROUP BY metric"""
+
+
+@query(with_views("b_pred") + _BOOTSTRAP)
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of five metrics over 2000 replicates that draw groups."""
+    """Intervals of five metrics over 2000 replicates that draw groups by hash."""
     p = predictions(spark, sf_dir).withColumn("p", F.round("p", 3))
-    return rounded(calibration.bootstrap_intervals(p, threshold=0.5))
+    return rounded(calibration.bootstrap_intervals(p, threshold=0.5, draws="hash"))
 
 
 @query()
