@@ -206,7 +206,23 @@ def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).withColumn("logit", 2.5 * numeric.logit(F.greatest(F.lit(0.01), F.least(F.lit(0.99), p))) + 4.0)
 
 
-@query()
+_CLIPPED = "ln(greatest(0.01::DOUBLE, least(0.99::DOUBLE, round(p, 3))) / (1 - greatest(0.01::DOUBLE, least(0.99::DOUBLE, round(p, 3)))))"
+
+
+def _newton(shift: float) -> str:
+    """Logits and, by Newton steps on the mean log loss, scale and bias in ``fit``."""
+    return f""", x AS (SELECT target AS y, 2.5::DOUBLE * {_CLIPPED} + {shift}::DOUBLE AS z, p FROM b_pred), w AS (SELECT y, z, count(*)::DOUBLE AS n FROM x GROUP BY y, z),
+  it(k, a, b) AS (SELECT 0, 1.0::DOUBLE, (SELECT ln(count(*) FILTER (target = 1) / count(*) FILTER (target = 0)) FROM b_pred) - (SELECT quantile_cont(z, 0.5) FROM x) UNION ALL
+    SELECT k + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+      SELECT k, a, b, sum(n * (q - y) * z) AS g1, sum(n * (q - y)) AS g2, sum(n * q * (1 - q) * z * z) AS h11, sum(n * q * (1 - q) * z) AS h12, sum(n * q * (1 - q)) AS h22
+      FROM (SELECT k, a, b, n, y, z, 1 / (1 + exp(-(a * z + b))) AS q FROM it, w WHERE k < 40) GROUP BY k, a, b)),
+  fit AS (SELECT a AS scale, b AS bias FROM it WHERE k = 40)"""
+
+
+_LOSS = "avg(-ln(greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, CASE WHEN y = 1 THEN {0} ELSE 1 - {0} END))))"
+
+
+@query(with_views("b_pred", recursive=True) + _newton(4.0) + f" SELECT round(max(scale), 6) AS scale, round(max(bias), 6) AS bias, round({_LOSS.format('(1 / (1 + exp(-z)))')}, 6) AS loss_before, round({_LOSS.format('(1 / (1 + exp(-(scale * z + bias))))')}, 6) AS loss_after FROM x, fit")
 def affine_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scale and bias that calibrate shifted logits, with the log loss before and after."""
     z = checkpointed(_logits(spark, sf_dir))
@@ -215,14 +231,31 @@ def affine_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.agg(F.round(F.lit(scale), 6).alias("scale"), F.round(F.lit(bias), 6).alias("bias"), loss(F.col("logit")).alias("loss_before"), loss(F.col("logit") * scale + bias).alias("loss_after"))
 
 
-@query()
+@query(
+    with_views("b_pred", recursive=True)
+    + f""", x AS (SELECT target AS y, 2.5::DOUBLE * {_CLIPPED} AS z FROM b_pred), it(k, s) AS (SELECT 0, 1.0::DOUBLE UNION ALL
+    SELECT k + 1, s - sum((q - y) * z) / sum(q * (1 - q) * z * z) FROM (SELECT k, s, y, z, 1 / (1 + exp(-s * z)) AS q FROM it, x WHERE k < 40) GROUP BY k, s)
+  SELECT round(1 / max(s), 5) AS temperature, round({_LOSS.format('(1 / (1 + exp(-s * z)))')}, 6) AS loss FROM x, (SELECT s FROM it WHERE k = 40)"""
+)
 def temperature_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = checkpointed(_logits(spark, sf_dir).withColumn("logit", F.col("logit") - 4.0))
     t = calibration.fit_temperature(z)
     return z.agg(F.round(F.lit(t), 5).alias("temperature"), F.round(F.avg(metrics.log_loss(numeric.sigmoid(F.col("logit") / t), F.col("target"))), 6).alias("loss"))
 
 
-@query()
+def _gap(p: str) -> str:
+    return f"(SELECT sum(abs(mp - my) * m) / sum(m) FROM (SELECT least(floor({p} * 10), 9) AS b, avg({p}) AS mp, avg(y::DOUBLE) AS my, count(*) AS m FROM d GROUP BY 1))"
+
+
+@query(
+    with_views("b_pred", recursive=True)
+    + _newton(4.0)
+    + f""", d AS (SELECT y, 1 / (1 + exp(-z)) AS raw, 1 / (1 + exp(-(scale * z + bias))) AS q FROM x, fit),
+  pos AS (SELECT q, sum(count(*) FILTER (y = 1)) OVER (ORDER BY q DESC) / sum(count(*) FILTER (y = 1)) OVER () AS s FROM d GROUP BY q), neg AS (SELECT q, sum(c) OVER (ORDER BY q) - c AS below, sum(c) OVER (ORDER BY q) AS upto, sum(c) OVER () AS n FROM (SELECT q, count(*) FILTER (y = 0) AS c FROM d GROUP BY q)),
+  t AS (SELECT (SELECT max(q) FROM pos WHERE s >= 0.95) AS a, (SELECT min(c) FROM (SELECT q AS c, below / n AS s FROM neg UNION ALL SELECT nextafter(q, 'infinity'::DOUBLE), upto / n FROM neg) WHERE s >= 0.9) AS b)
+  SELECT round(scale, 6) AS logit_scale, round(bias, 6) AS logit_bias, round(least(a, b), 6) AS low_threshold, round(greatest(a, b), 6) AS high_threshold, round((SELECT {_LOSS.format('raw')} FROM d), 6) AS before_log_loss, round({_gap('raw')}, 6) AS before_expected_calibration_error,
+    round((SELECT {_LOSS.format('q')} FROM d), 6) AS after_log_loss, round({_gap('q')}, 6) AS after_expected_calibration_error FROM fit, t"""
+)
 def development_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = calibration.development_calibration(checkpointed(_logits(spark, sf_dir)), sensitivity=0.95, specificity=0.9)
     row = {k: float(got[k]) for k in ("logit_scale", "logit_bias", "low_threshold", "high_threshold")} | {f"{w}_{m}": float(got[w][m]) for w in ("before", "after") for m in ("log_loss", "expected_calibration_error")}
