@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from collections.abc import Mapping
-
 
 def clipped(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
@@ -21,20 +22,22 @@ def logit(p: Column, margin: float = 1e-8) -> Column:
     return F.log(q / (1.0 - q))
 
 
+#: Calibration methods: (parameter, must be positive) in order, and the calibrated logit of a raw score.
+CALIBRATIONS = {
+    "temperature_scaling": ((("temperature", True),), lambda raw, t: raw / t),
+    "affine_logistic_scaling": ((("logit_scale", True), ("logit_bias", False)), lambda raw, scale, bias: raw * scale + bias),
+}
+
+
 def calibrated(raw: Column, calibration: Mapping[str, object]) -> Column:
-    """Probability of a raw score under affine or temperature calibration."""
-    method = calibration.get("method")
-    if method == "affine_logistic_scaling":
-        scale, bias = float(calibration["logit_scale"]), float(calibration["logit_bias"])
-        if not scale > 0 or scale in (float("inf"),) or bias != bias or abs(bias) == float("inf"):
-            raise ValueError("affine calibration needs a positive finite scale and a finite bias")
-        return sigmoid(raw * scale + bias)
-    if method == "temperature_scaling":
-        temperature = float(calibration["temperature"])
-        if not 0 < temperature < float("inf"):
-            raise ValueError("temperature must be positive and finite")
-        return sigmoid(raw / temperature)
-    raise ValueError(f"no such calibration method: {method!r}")
+    """Probability of a raw score under one of ``CALIBRATIONS``; parameters must be finite numbers."""
+    parameters, logit_of = CALIBRATIONS.get(calibration.get("method"), (None, None))
+    if parameters is None:
+        raise ValueError(f"method must be one of {sorted(CALIBRATIONS)}")
+    values = {name: float(calibration[name]) for name, _ in parameters}
+    if wrong := [name for name, positive in parameters if not math.isfinite(values[name]) or positive and values[name] <= 0]:
+        raise ValueError(f"{', '.join(wrong)}: not in range")
+    return sigmoid(logit_of(raw, *values.values()))
 
 
 def affine(x: Column, scale: float, bias: float) -> Column:

@@ -188,11 +188,6 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalars.limit(1)))  # one row
 
 
-def range_join(left: DataFrame, right: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Pairs with low < high over two small boundary tables (both are distinct boundaries, not rows)."""
-    return left.join(right, low < high)
-
-
 def align(left: DataFrame, right: DataFrame, key: str, allow_superset: bool = False) -> DataFrame:
     """``right``'s records joined to their ``left`` ones, keys unique on both sides. Every right record must be found; without
     ``allow_superset`` the two key sets must be equal."""

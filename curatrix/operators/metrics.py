@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.functions.numeric import next_up, sigmoid
+from curatrix.functions.numeric import is_probability, next_up, sigmoid
 from curatrix.functions.session import checkpointed
+from curatrix.operators.expectations import expect
 from curatrix.operators.windows import running
 
 EPS = 2.220446049250313e-16
@@ -89,7 +90,7 @@ def binary_metrics(df: DataFrame, *, target: str = "target", score: str = "p", t
     if bins < 2:
         raise ValueError("at least two bins")
     by = list(by)
-    table = checkpointed(score_table(df, target, score, by))
+    table = checkpointed(score_table(expect(df, "scores are probabilities", is_probability(F.col(score))), target, score, by))
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     hit = s >= threshold
     cell = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0)).cast("long")

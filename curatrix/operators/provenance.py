@@ -6,12 +6,14 @@ import hashlib
 import json
 import math
 from collections.abc import Iterable, Mapping
+from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import row_checksum
+from curatrix.operators.windows import global_row_number
 
 SORT_COLUMNS = ("image_name", "image_path", "sha256")
 
@@ -54,13 +56,37 @@ def fast_checksum(df: DataFrame) -> DataFrame:
 
 def ordered_digest(df: DataFrame, columns: Iterable[str], order: str) -> DataFrame:
     """SHA-256 over NUL-joined lines in order, for evaluation sets of bounded size."""
+    return df.select(F.col(order).alias("_o"), _line(columns).alias("_t")).agg(F.sha2(_joined("_o", "_t"), 256).alias("sha256"))
+
+
+def _line(columns: Iterable[str]) -> Column:
+    """The columns as text with NUL between, and a line end."""
     nul = F.decode(F.unhex(F.lit("00")), "UTF-8")
-    parts = [F.col(c).cast("string") for c in columns]
-    line = parts[0]
-    for p in parts[1:]:
-        line = F.concat(line, nul, p)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(line, F.lit("\n")).alias("t")))), lambda x: x["t"])
-    return df.agg(F.sha2(F.array_join(lines, ""), 256).alias("sha256"))
+    first, *rest = [F.col(c).cast("string") for c in columns]
+    return F.concat(first, *(x for p in rest for x in (nul, p)), F.lit("\n"))
+
+
+def _joined(order: str, text: str) -> Column:
+    """Aggregate: the texts in order, one after the other."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "")
+
+
+def tree_digest(df: DataFrame, columns: Iterable[str], order: str, chunk: int = 10_000) -> DataFrame:
+    """``rows, sha256``: digests of chunks of consecutive lines, and the digest of their digests, for tables of any size.
+
+    Lines are those of ``ordered_digest``, ``order`` is unique, and a chunk is ``chunk`` places of it: chunks are hashed side by side, and one row
+    a chunk is left for the last step. The result depends on the rows and on ``chunk`` alone.
+    """
+    numbered = global_row_number(df.select(F.col(order).alias("_o"), _line(columns).alias("_t")), "_o", "_no")
+    parts = numbered.groupBy(F.floor(F.col("_no") / chunk).alias("_c")).agg(F.count("*").alias("n"), F.sha2(_joined("_o", "_t"), 256).alias("_t"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(_joined("_c", "_t"), 256).alias("sha256"))
+
+
+def receipt(action: str, inputs: Mapping[str, str], at: datetime | None = None) -> dict[str, Any]:
+    """What was done, to which digests, and when (UTC, to the second), under a digest of its own."""
+    when = (at or datetime.now(UTC)).astimezone(UTC).replace(microsecond=0)
+    body = {"action": action, "created_at": when.isoformat().replace("+00:00", "Z"), "inputs": dict(sorted(inputs.items()))}
+    return {**body, "sha256": hashlib.sha256(canonical_json(body).encode()).hexdigest()}
 
 
 def component_set_digest(components: Mapping[str, Mapping[str, Any]]) -> str:

@@ -125,3 +125,17 @@ def spaced_sample(df: DataFrame, k: int, order: str) -> DataFrame:
         return numbered
     places = sorted({int(i * (n - 1) / (k - 1)) if k > 1 else 0 for i in range(min(k, n))})
     return numbered.where(F.col("place").isin(places))
+
+
+def chosen_scale(key: Column, seed: int, epoch: int, scales: Sequence[float]) -> Column:
+    """The scale of a record's view in an epoch: one of ``scales``, by a hash of seed, epoch and key, so that runs repeat."""
+    text = F.concat(F.lit(f"{seed}:{epoch}:"), key.cast("string"))
+    place = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long") % len(scales)
+    return F.element_at(F.array(*map(F.lit, map(float, scales))), (place + 1).cast("int"))
+
+
+def centre_crop(width: Column, height: Column, scale: Column) -> Column:
+    """``left, top, width, height`` of the central part of an image, a pixel at least."""
+    w, h = (F.greatest(F.lit(1), F.least(side, F.bround(side * scale).cast("int"))) for side in (width, height))
+    half = lambda side, part: F.floor((side - part) / 2).cast("int")
+    return F.struct(half(width, w).alias("left"), half(height, h).alias("top"), w.alias("width"), h.alias("height"))

@@ -65,11 +65,17 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), *hot)
 
 
-MEMBERS = 4
+MEMBERS = 64
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, label, a, b``: half the sums of the first and of the second half of each vector's components, as logits of two models."""
+    part = lambda begin: F.aggregate(F.slice("embedding", begin, MEMBERS // 2), F.lit(0.0), lambda s, x: s + x.cast("double")) / 2
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", part(1).alias("a"), part(MEMBERS // 2 + 1).alias("b"))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``record_id, target, member, logit``: the first components of the vectors as models' logits."""
+    """``record_id, target, member, logit``: the components of the vectors as models' logits."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), (F.col("label") < 3).cast("int").alias("target"), F.slice("embedding", 1, MEMBERS).alias("v"))
     return e.select("record_id", "target", F.posexplode("v").alias("i", "x")).select("record_id", "target", F.concat(F.lit("m"), F.col("i").cast("string")).alias("member"), (F.col("x").cast("double") * 4).alias("logit"))
 
@@ -119,6 +125,7 @@ SQL = {
     "b_views": "b_views AS (SELECT record_id, target, [" + ", ".join(f"({_UNIT.format(f'(record_id::VARCHAR || chr(58) || {chr(39)}v{i}{chr(39)})')} + 0.6::DOUBLE * target) / 1.6::DOUBLE" for i in range(6)) + "] AS views FROM b_orders)",
     "b_three": "b_three AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS target, l_quantity / 50.0::DOUBLE AS score FROM lineitem)",
     "b_onehot": "b_onehot AS (SELECT o_orderkey AS record_id, " + ", ".join(f"(o_orderpriority = '{k}')::INT::DOUBLE AS {v}" for k, v in PRIORITIES.items()) + " FROM orders)",
+    "b_halves": f"b_halves AS (SELECT vec_id, label, list_sum(list_transform(embedding[1:{MEMBERS // 2}], lambda x: x::DOUBLE)) / 2 AS a, list_sum(list_transform(embedding[{MEMBERS // 2 + 1}:{MEMBERS}], lambda x: x::DOUBLE)) / 2 AS b FROM embeddings)",
     "b_members": f"b_members AS (SELECT vec_id AS record_id, (label < 3)::INTEGER AS target, 'm' || (i - 1) AS member, embedding[i]::DOUBLE * 4 AS logit FROM embeddings, range(1, {MEMBERS + 1}) r(i))",
 }
 NEEDS = {"b_pred": ("b_orders",), "b_views": ("b_orders",)}

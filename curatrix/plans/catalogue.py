@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from curatrix.plans import queries_curation, queries_metrics, queries_rows, queries_splits  # noqa: E402, F401
+from curatrix.plans import queries_curation, queries_files, queries_metrics, queries_rows, queries_splits  # noqa: E402, F401

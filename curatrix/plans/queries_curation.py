@@ -87,13 +87,17 @@ def protected_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.protected_exclusions(m.where("ord % 3 <> 0"), m.where("ord % 3 = 0"))
 
 
-@query("""SELECT * FROM (VALUES ('first_names_disjoint', true, 0), ('second_names_disjoint', true, 0), ('pair_names_not_blank', true, 0), ('pairs_not_chained', true, 0), ('pair_names_known', true, 0),
-  ('pair_in_one_group', false, (SELECT count(*) FROM nation a JOIN nation b ON a.n_nationkey + 1 = b.n_nationkey WHERE a.n_nationkey % 2 = 0 AND a.n_regionkey <> b.n_regionkey)),
-  ('pair_has_one_label', false, 12)) t("check", ok, n_bad)""")
+@query("""WITH p AS (SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey % 2 = 0), e AS (SELECT p.*, x.n_regionkey AS ga, y.n_regionkey AS gb, lower(trim(x.n_name)) AS ya, lower(trim(y.n_name)) AS yb
+    FROM p LEFT JOIN nation x ON x.n_nationkey = a LEFT JOIN nation y ON y.n_nationkey = b),
+  c AS (SELECT (SELECT count(*) FROM (SELECT a FROM p GROUP BY a HAVING count(*) > 1)) AS c0, (SELECT count(*) FROM (SELECT b FROM p GROUP BY b HAVING count(*) > 1)) AS c1, (SELECT count(*) FROM p WHERE a IS NULL OR b IS NULL) AS c2,
+    (SELECT count(*) FROM (SELECT a FROM p INTERSECT SELECT b FROM p)) AS c3, (SELECT count(*) FROM e WHERE ga IS NULL OR gb IS NULL) AS c4, (SELECT count(*) FROM e WHERE NOT coalesce(ga = gb, false)) AS c5, (SELECT count(*) FROM e WHERE NOT coalesce(ya = yb, false)) AS c6)
+  SELECT "check", n_bad = 0 AS ok, n_bad FROM (SELECT unnest(['first_names_disjoint', 'second_names_disjoint', 'pair_names_not_blank', 'pairs_not_chained', 'pair_names_known', 'pair_in_one_group', 'pair_has_one_label']) AS "check",
+    unnest([c0, c1, c2, c3, c4, c5, c6]) AS n_bad FROM c)""")
 def official_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Given pairs of neighbouring nations, checked against region and name."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("image_name"), F.col("n_regionkey").alias("group_id"), F.col("n_name").alias("source_label"))
-    pairs = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0 and n_nationkey < 24").select(F.col("n_nationkey").cast("string").alias("image_name_1"), (F.col("n_nationkey") + 1).cast("string").alias("image_name_2"))
+    """Given pairs of neighbouring nations (the last one's neighbour is unknown), checked against region and name."""
+    nation = table(spark, sf_dir, "nation")
+    n = nation.select(F.col("n_nationkey").cast("string").alias("image_name"), F.col("n_regionkey").alias("group_id"), F.col("n_name").alias("source_label"))
+    pairs = nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("image_name_1"), (F.col("n_nationkey") + 1).cast("string").alias("image_name_2"))
     return dedup.official_pair_checks(pairs, n).drop("examples")
 
 
@@ -126,6 +130,27 @@ def component_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.component_survivors(members, "target", [F.length("collection_id")]).select("node", "retained", "reason")
 
 
+_GUARDED = """, mm AS (SELECT stars.*, target, collection_id, length(collection_id) AS rank, collection_id = 'src0' AS guard FROM stars JOIN b_hashed ON node = image_name),
+  s AS (SELECT root, count(DISTINCT CASE WHEN NOT guard THEN coalesce(target, 2) END) AS t, bool_or(guard) AS any_, min(CASE WHEN guard THEN node END) AS g, arg_min(node, struct_pack(r := rank, n := node)) FILTER (NOT guard) AS best FROM mm GROUP BY root)
+  SELECT node, CASE WHEN any_ THEN g WHEN t = 1 THEN best END AS retained, CASE WHEN guard THEN NULL WHEN any_ THEN 'near_duplicate_of_protected' WHEN t <> 1 THEN 'near_duplicate_component_conflicting_labels' WHEN node <> best THEN 'near_duplicate_component_redundant' END AS reason FROM mm JOIN s USING (root)"""
+
+
+@query(with_views("b_hashed", recursive=True) + "," + _PAIRS + _COMPONENTS + _GUARDED)
+def protected_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors of components in which the records of one source are protected."""
+    m = manifest(spark, sf_dir, fingerprint=False).select(F.col("image_name").alias("node"), F.coalesce("target", F.lit(2)).alias("target"), "collection_id")
+    members = _members(spark, sf_dir).join(m, "node")
+    return dedup.component_survivors(members, "target", [F.length("collection_id")], protected=F.col("collection_id") == "src0").select("node", "retained", "reason")
+
+
+@query(with_views("b_hashed") + "," + _PAIRS + _LINKS + ", q AS (SELECT image_name FROM b_hashed WHERE target = 1) SELECT left_image_name, right_image_name, pairs FROM k WHERE left_image_name IN (FROM q) AND right_image_name IN (FROM q)")
+def remaining_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes both of whose smallest records have the target 1."""
+    m = checkpointed(manifest(spark, sf_dir).select("image_name", "perceptual_hash", "target"))
+    links = joins.near_duplicate_links(m, NEAR)
+    return dedup.remaining_pairs(links, m.where("target = 1"), "image_name").select("left_image_name", "right_image_name", "pairs")
+
+
 @query(with_views("b_hashed") + "," + _PAIRS + """, x AS (SELECT CASE WHEN left_collection_id = 'src0' THEN right_image_name ELSE left_image_name END AS image_name FROM pairs WHERE (left_collection_id = 'src0') <> (right_collection_id = 'src0'))
   SELECT image_name FROM b_hashed WHERE collection_id <> 'src0' AND image_name NOT IN (SELECT image_name FROM x)""")
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,12 +229,34 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- provenance
 
 
-@query(with_views("b_manifest") + " SELECT count(*) AS images, count(DISTINCT sha256) AS distinct_contents, true AS digest_repeats FROM b_manifest")
+_JSON = " || ',' || ".join(f"""'"{c}":' || coalesce({v}, 'null')""" for c, v in (
+    *((c, f"""'"' || {c} || '"'""") for c in ("collection_id", "group_id", "image_name", "image_path")), ("ord", "ord::VARCHAR"), *((c, f"""'"' || {c} || '"'""") for c in ("sha256", "source_label")), ("target", "target::VARCHAR")))
+
+
+@query(with_views("b_manifest") + f""" SELECT count(*) AS images, count(DISTINCT sha256) AS distinct_contents, true AS digest_repeats,
+  sha256('{{"columns":["collection_id","group_id","image_name","image_path","ord","sha256","source_label","target"],"records":[' || string_agg('{{' || {_JSON} || '}}', ',' ORDER BY image_name, image_path, sha256) || ']}}') AS digest FROM b_manifest""")
 def manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest's digest is the same after its rows are shuffled."""
+    """A manifest's digest, the same after its rows are shuffled."""
     m = manifest(spark, sf_dir, fingerprint=False).drop("perceptual_hash")
-    same = provenance.manifest_digest(m) == provenance.manifest_digest(m.repartition(3).orderBy(F.desc("sha256")))
-    return m.agg(F.count("*").alias("images"), F.count_distinct("sha256").alias("distinct_contents")).withColumn("digest_repeats", F.lit(same))
+    digest = provenance.manifest_digest(m)
+    same = digest == provenance.manifest_digest(m.repartition(3).orderBy(F.desc("sha256")))
+    return m.agg(F.count("*").alias("images"), F.count_distinct("sha256").alias("distinct_contents")).withColumns({"digest_repeats": F.lit(same), "digest": F.lit(digest)})
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey || chr(0) || o_orderstatus || chr(0) || o_orderpriority || chr(10) AS t FROM orders),
+  c AS (SELECT i // 1000 AS c, count(*) AS n, sha256(string_agg(t, '' ORDER BY i)) AS t FROM l GROUP BY 1) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(t, '' ORDER BY c)) AS sha256 FROM c""")
+def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of a table by digests of its chunks, which are made side by side."""
+    return provenance.tree_digest(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"], "o_orderkey", chunk=1000)
+
+
+@query("""SELECT sha256('{' || string_agg('"' || r_name || '":{"key":' || r_regionkey || ',"nations":' || n || '}', ',' ORDER BY r_name) || '}') AS sha256 FROM region JOIN (SELECT n_regionkey AS r_regionkey, count(*) AS n FROM nation GROUP BY 1) USING (r_regionkey)""")
+def component_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of a set of named components."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    rows = r.join(n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("n")), "r_regionkey").collect()  # a row a component
+    digest = provenance.component_set_digest({x["r_name"]: {"key": x["r_regionkey"], "nations": x["n"]} for x in rows})
+    return spark.createDataFrame([(digest,)], "sha256 string")
 
 
 @query("SELECT sha256(string_agg(n_name || chr(0) || n_regionkey || chr(10), '' ORDER BY n_nationkey)) AS sha256 FROM nation")

@@ -9,7 +9,7 @@ from curatrix.functions import numeric
 from curatrix.functions.session import checkpointed
 from curatrix.operators import calibration, metrics, policies
 from curatrix.operators.split import patient_folds
-from curatrix.plans.bridge import MEMBERS, members, predictions, table, three, with_views
+from curatrix.plans.bridge import MEMBERS, halves, members, predictions, table, three, with_views
 from curatrix.plans.catalogue import query
 
 
@@ -140,10 +140,10 @@ def ensemble_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("set_name", F.round("pr_auc", 6).alias("pr_auc"), F.round("roc_auc", 6).alias("roc_auc"), "model_count", "place")
 
 
-@query(f"""WITH w AS (SELECT i, (label < 3)::INTEGER AS target, 1 / (1 + exp(-greatest(-50, least(50, (i / 10.0::DOUBLE) * (embedding[1]::DOUBLE * 4) + (1.0::DOUBLE - i / 10.0::DOUBLE) * (embedding[2]::DOUBLE * 4))))) AS p FROM embeddings, range(11) r(i)), {_ranks('w', by='i')}
+@query(with_views("b_halves") + f""", w AS (SELECT i, (label < 3)::INTEGER AS target, 1 / (1 + exp(-greatest(-50, least(50, (i / 10.0::DOUBLE) * a + (1.0::DOUBLE - i / 10.0::DOUBLE) * b)))) AS p FROM b_halves, range(11) r(i)), {_ranks('w', by='i')}
   SELECT round(i / 10.0::DOUBLE, 9) AS weight, round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc FROM ranks""")
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select((F.col("label") < 3).cast("int").alias("target"), *((F.col("embedding")[i].cast("double") * 4).alias(n) for i, n in enumerate(("a", "b"))))
+    e = halves(spark, sf_dir).withColumn("target", (F.col("label") < 3).cast("int"))
     return metrics.weight_grid(e, "a", "b", 10).select(F.round("weight", 9).alias("weight"), F.round("pr_auc", 6).alias("pr_auc"), F.round("roc_auc", 6).alias("roc_auc"))
 
 
@@ -182,10 +182,9 @@ def class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.class_weight_ratio(predictions(spark, sf_dir), "sqrt"))
 
 
-@query("SELECT count(*) AS n, round(max(abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE)), 9) AS max_absolute_error, round(avg(abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE)), 9) AS mean_absolute_error, max(abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE)) <= 1e-4 AS passed FROM embeddings")
+@query(with_views("b_halves") + " SELECT count(*) AS n, round(max(abs(a - b)), 9) AS max_absolute_error, round(avg(abs(a - b)), 9) AS mean_absolute_error, max(abs(a - b)) <= 1e-4 AS passed FROM b_halves")
 def parity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("a", "b"))))
-    return rounded(metrics.error_summary(e, "a", "b", 1e-4))
+    return rounded(metrics.error_summary(halves(spark, sf_dir), "a", "b", 1e-4))
 
 
 @query("SELECT round(avg(value), 9) AS mean_seconds, round(min(value), 9) AS min_seconds, round(max(value), 9) AS max_seconds, round(1000.0 / avg(value), 9) AS images_per_second FROM events")
@@ -193,10 +192,10 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.throughput(table(spark, sf_dir, "events"), "value", 1000))
 
 
-@query("""SELECT vec_id, round(hard, 9) AS hard, round(soft, 9) AS soft, round(0.4::DOUBLE * hard + 0.6::DOUBLE * soft, 9) AS total FROM (SELECT vec_id, greatest(z, 0) - z * y + ln(1 + exp(-abs(z))) AS hard,
-  (greatest(z / 2, 0) - z / 2 * q + ln(1 + exp(-abs(z / 2)))) * 4 AS soft FROM (SELECT vec_id, embedding[1]::DOUBLE * 4 AS z, (label < 3)::INT AS y, 1 / (1 + exp(-(embedding[2]::DOUBLE * 4) / 2)) AS q FROM embeddings))""")
+@query(with_views("b_halves") + """ SELECT vec_id, round(hard, 9) AS hard, round(soft, 9) AS soft, round(0.4::DOUBLE * hard + 0.6::DOUBLE * soft, 9) AS total FROM (SELECT vec_id, greatest(z, 0) - z * y + ln(1 + exp(-abs(z))) AS hard,
+  (greatest(z / 2, 0) - z / 2 * q + ln(1 + exp(-abs(z / 2)))) * 4 AS soft FROM (SELECT vec_id, a AS z, (label < 3)::INT AS y, 1 / (1 + exp(-b / 2)) AS q FROM b_halves))""")
 def distillation_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 3).cast("int").alias("y"), *((F.col("embedding")[i].cast("double") * 4).alias(n) for i, n in enumerate(("z", "t"))))
+    e = halves(spark, sf_dir).select("vec_id", (F.col("label") < 3).cast("int").alias("y"), F.col("a").alias("z"), F.col("b").alias("t"))
     loss = numeric.distillation_loss(F.col("z"), F.col("y"), F.col("t"), hard_weight=0.4, soft_weight=0.6, temperature=2.0, kind="temperature_bce")
     return rounded(e.select("vec_id", *(v.alias(k) for k, v in loss.items())))
 
@@ -284,7 +283,7 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def logistic_stacker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of a stacker over two logits, by out-of-fold ranking."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") < 3).cast("int").alias("target"), *((F.col("embedding")[i].cast("double") * 4).alias(f"m{i}") for i in range(2)))
+    e = halves(spark, sf_dir).select("vec_id", (F.col("label") < 3).cast("int").alias("target"), F.col("a").alias("m0"), F.col("b").alias("m1"))
     folded = checkpointed(patient_folds(e, "vec_id", 3, 2))
     return rounded(calibration.fit_stacker(folded, ["m0", "m1"], strengths=(0.1, 1.0)))
 
@@ -301,3 +300,18 @@ def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest order of each customer, the first one among equals."""
     return policies.best_by(table(spark, sf_dir, "orders"), ["o_custkey"], [("o_totalprice", True), ("o_orderkey", False)], ["o_orderkey", "o_totalprice"])
+
+
+@query(with_views("b_pred") + _SOURCES + ", p AS (SELECT source_id, avg(target::DOUBLE) AS prevalence FROM b_pred GROUP BY 1) SELECT source_id, round(pr_auc / prevalence, 9) AS pr_auc_lift, round(1 - specificity, 9) AS false_positive_rate, round(1 - sensitivity, 9) AS false_negative_rate FROM e JOIN p USING (source_id)")
+def derived_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = metrics.with_derived(metrics.binary_metrics(predictions(spark, sf_dir), by=["source_id"]))
+    return rounded(by.select("source_id", "pr_auc_lift", "false_positive_rate", "false_negative_rate"))
+
+
+@query(with_views("b_pred") + f""", c AS (SELECT {_CONFUSION} FROM b_pred), d AS (SELECT {_CONFUSION.replace('0.5', '0.7')} FROM b_pred), e AS (SELECT {_RATES} FROM c), f AS (SELECT {_RATES} FROM d)
+  SELECT round(f.sensitivity - e.sensitivity, 9) AS sensitivity_delta, round(f.specificity - e.specificity, 9) AS specificity_delta FROM e, f""")
+def metric_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a higher threshold changes."""
+    p = predictions(spark, sf_dir)
+    low, high = (metrics.binary_metrics(p, threshold=t).select("sensitivity", "specificity") for t in (0.5, 0.7))
+    return rounded(metrics.metric_delta(low, high, {"sensitivity": "sensitivity_delta", "specificity": "specificity_delta"}))

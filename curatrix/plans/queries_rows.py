@@ -11,7 +11,7 @@ from curatrix.operators import classify, joins, sets, split, windows
 from curatrix.operators.expectations import check, report, single_value_check, unique_check
 from curatrix.plans.bridge import PRIORITIES, manifest, one_hot, orders, table, with_views
 from curatrix.plans.catalogue import query
-from curatrix.sources.tables import read_csv
+from curatrix.sources.tables import read_csv, read_json
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -45,7 +45,7 @@ def scan_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "nation-json")
     table(spark, sf_dir, "nation").select("n_nationkey", "n_name").coalesce(1).write.option("lineSep", "\n").json(path)
-    return spark.read.schema("n_nationkey int, n_name string").json(path)
+    return read_json(spark, path, "n_nationkey int, n_name string", lines=True)
 
 
 @query(

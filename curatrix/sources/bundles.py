@@ -21,12 +21,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from curatrix.operators.expectations import ExpectationFailed
 
 
-def read_npz(spark: SparkSession, path: str, schema: str, required: tuple[str, ...]) -> DataFrame:
-    """Rows of bundles whose keys are columns: equally long 1-D arrays (2-D ones become array columns).
+def npz_rows(files: DataFrame, schema: str, required: tuple[str, ...]) -> DataFrame:
+    """Rows of bundles (``content``) whose keys are columns: equally long 1-D arrays (2-D ones become array columns).
 
-    ``schema`` is that of the rows; files are read as binary and opened where they lie, one bundle at a time.
+    ``schema`` is that of the rows; bundles are opened where they lie, one at a time.
     """
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    names = [f.name for f in files.sparkSession.createDataFrame([], schema).schema]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,7 +39,38 @@ def read_npz(spark: SparkSession, path: str, schema: str, required: tuple[str, .
                     raise ExpectationFailed("bundle arrays differ in length")
                 yield pd.DataFrame({n: list(v) if v.ndim > 1 else v.astype(str) if v.dtype.kind in "US" else v for n, v in data.items()})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+    return files.select("content").mapInPandas(rows, schema)
+
+
+def read_npz(spark: SparkSession, path: str, schema: str, required: tuple[str, ...]) -> DataFrame:
+    """``npz_rows`` of the files at ``path``."""
+    return npz_rows(spark.read.format("binaryFile").load(path), schema, required)
+
+
+def npz_bundles(df: DataFrame) -> DataFrame:
+    """``content``: the rows of each batch as a bundle with an array a column."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = io.BytesIO()
+            np.savez_compressed(out, **{c: np.stack(batch[c].to_numpy()) if batch[c].dtype == object and len(batch) and not isinstance(batch[c].iloc[0], str) else batch[c].to_numpy(str if batch[c].dtype == object else None) for c in batch})
+            yield pd.DataFrame({"content": [out.getvalue()]})
+
+    return df.mapInPandas(pack, "content binary")
+
+
+def zip_archives(members: DataFrame) -> DataFrame:
+    """``path, content``: the ``member, content`` rows of each batch as an archive."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, content in zip(batch["member"], batch["content"]):
+                    z.writestr(zipfile.ZipInfo(name), bytes(content))
+            yield pd.DataFrame({"path": [batch["member"].iloc[0] + ".zip"], "content": [out.getvalue()]})
+
+    return members.select("member", "content").mapInPandas(pack, "path string, content binary")
 
 
 def fetch_json(url: str, *, origin: str, attempts: int = 4, pause: float = 1.0, get: Callable[[str], bytes] | None = None) -> dict:

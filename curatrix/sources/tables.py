@@ -58,9 +58,9 @@ def read_manifest(spark: SparkSession, path: str, additional_integers: Sequence[
     return read_csv(spark, path, types=known | found)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One document a file (or an array of documents)."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType, lines: bool = False) -> DataFrame:
+    """One document a file (or an array of documents), or one a line; malformed ones are an error."""
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def read_yaml(text: str) -> dict:
