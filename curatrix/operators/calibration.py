@@ -122,7 +122,10 @@ def bootstrap_draws(df: DataFrame, samples: int, seed: int, group: str, target:
         for y, size in zip((1, 0), strata):
             part = global_row_number(groups.where(F.col("_y") == y).select("_g"), "_g", "_j").withColumns({"_y": F.lit(y), "_size": F.lit(size)})
             numbered = part if numbered is None else numbered.union(part)
-        many = numbered.select("_y", "_j", "_size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
+        # dealt anew before each row becomes `samples` rows: few groups would else be one task's
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        numbered = checkpointed(numbered)
+        many = numbered.repartition(parts, "_y", "_j").select("_y", "_j", "_size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
         text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_y").cast("string"), F.col("_j").cast("string"))
         bits = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")  # 60 bits
         times = many.select("_y", "replicate", (bits % F.col("_size")).alias("_j")).groupBy("_y", "replicate", "_j").agg(F.count("*").cast("int").alias("times"))
