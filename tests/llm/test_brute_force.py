@@ -562,3 +562,36 @@ def test_rows_of_one_id_are_taken_alike_however_they_lie(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(n)
         taken.append(sorted(tuple(x) for x in mixing.systematic_mix(df).select("doc_id", "text", "source", "other", "copies").collect()))
     assert taken[0] == taken[1] == taken[2]
+
+
+def test_the_pipeline_repeats_row_by_row(spark, awkward):
+    """Rows that share an id too: which of them the mixture takes does not hang on how they lie."""
+    import corpus_pipeline
+
+    key = lambda x: (x["doc_id"], x["lang"], x["source"], x["n_tokens"], tuple(x["ids"]))
+    first, again = (Counter(map(key, corpus_pipeline.run(spark, awkward).collect())) for _ in range(2))
+    assert first == again and sum(n > 1 for n in first.values())
+
+
+def test_the_largest_id_counts_as_null_in_removal(spark):
+    passage = "a passage of more than fifty bytes that stands in each of these rows"
+    rows = [(2**63 - 1, "one " + passage), (None, "two " + passage), (5, passage + " three")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["n_removed"] >= len(passage) for x in got} == {2**63 - 1: True, None: True, 5: False}
+    alone = substring_dedup.remove_repeats(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert [x["n_removed"] for x in alone] == [0, 0]
+
+
+def test_operators_on_clashing_and_null_columns(spark):
+    """Columns named like an operator's own, and rows that are null throughout, change nothing for the others."""
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(["the river and the stone", None, "", "mail a@b.com now", "the river and the stone"])] + [(None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, {} string"
+    plain = spark.createDataFrame(rows, schema.format("other"))
+    for name in ("fp", "root", "_text", "spread", "component_id", "_salt", "hx", "ord", "least", "block", "asks"):
+        clash = spark.createDataFrame(rows, schema.format(name))
+        a, b = (simhash.simhash_components(df).select("doc_id", "fingerprint", "component_id").collect() for df in (plain, clash))
+        assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr)
+        assert sorted(map(tuple, simhash.keep_one(clash).select("doc_id", "text").collect()), key=repr) == sorted(map(tuple, simhash.keep_one(plain).select("doc_id", "text").collect()), key=repr)
+        assert substring_dedup.remove_repeats(clash).count() == len(rows)
+        if name in ("_text", "block"):
+            assert license_scan.license_scan(clash).count() == mixing.mix_sizes(clash).count() == len(rows)
