@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from curatrix.functions.text import is_blank, is_lower_hex, is_safe_relative_path, is_sha256, normalized_label
 from curatrix.operators import dedup, sets, split
 from curatrix.operators.classify import exclusion_reason, reference_class, split_excluded
-from curatrix.operators.expectations import ExpectationFailed, check, condition, enforce, report, single_value_check, unique_check
+from curatrix.operators.expectations import ExpectationFailed, check, condition, enforce, report, row_checks, single_value_check, unique_check
+from curatrix.operators.provenance import manifest_digest
 
 
 def validate_config(config: Mapping[str, Any]) -> Mapping[str, Any]:
@@ -86,22 +87,29 @@ def split_preconditions(manifest: DataFrame, *, hash_digits: int = 16, folds: in
     )
 
 
-def preflight(manifest: DataFrame, links: DataFrame, *, splits: Sequence[str] = ("train", "validation", "test"), hash_digits: int = 16, constants: Sequence[str] = (), files: DataFrame | None = None) -> DataFrame:
+def preflight(manifest: DataFrame, links: DataFrame, *, splits: Sequence[str] = ("train", "validation", "test"), hash_digits: int = 16, constants: Sequence[str] = (), files: DataFrame | None = None, digest: str | None = None, declared: Mapping[str, int] | None = None) -> DataFrame:
     """Check rows of a split manifest: keys, formats, splits, targets, leakage, near-duplicate evidence and, with files, contents.
 
-    ``links`` are those of ``near_duplicate_links`` by split: pairs are counted, not listed.
+    ``links`` are those of ``near_duplicate_links`` by split: pairs are counted, not listed. ``digest`` is the manifest's recorded digest, and
+    ``declared`` has the counts that its report states: of images, groups, and of each split by name.
     """
     name = F.col("image_name")
     crossing = links.agg(F.coalesce(F.sum("split_differ"), F.lit(0)).cast("long").alias("n"))
     checks = [
         condition(manifest.agg(F.count("*").alias("n")), "not_empty", F.col("n") > 0),
         unique_check(manifest, "image_name_unique", "image_name"),
-        check(manifest, "image_path_safe", is_safe_relative_path("image_path"), name),
-        check(manifest, "sha256_valid", is_sha256("sha256"), name),
-        check(manifest, "hash_valid", is_lower_hex("perceptual_hash", hash_digits), name),
-        check(manifest, "target_binary", F.col("target").isin(0, 1), name),
-        check(manifest, "split_known", F.col("split").isin(*splits), name),
-        check(manifest, "group_not_blank", ~is_blank("group_id"), name),
+        row_checks(
+            manifest,
+            {
+                "image_path_safe": is_safe_relative_path("image_path"),
+                "sha256_valid": is_sha256("sha256"),
+                "hash_valid": is_lower_hex("perceptual_hash", hash_digits),
+                "target_binary": F.col("target").isin(0, 1),
+                "split_known": F.col("split").isin(*splits),
+                "group_not_blank": ~is_blank("group_id"),
+            },
+            name,
+        ),
         check(split.leaking_groups(manifest, "group_id"), "group_in_one_split", F.lit(False), F.col("group_id")),
         check(split.split_target_counts(manifest, list(splits)), "both_targets_in_split", F.col("n_targets") == 2, F.col("split")),
         check(dedup.exact_duplicates(manifest), "no_exact_duplicates", F.lit(False), name),
@@ -111,6 +119,13 @@ def preflight(manifest: DataFrame, links: DataFrame, *, splits: Sequence[str] =
     if files is not None:
         found = manifest.select("image_name", F.col("sha256").alias("_want")).join(files.select("image_name", F.col("sha256").alias("_have")), "image_name", "left")
         checks.append(check(found, "content_matches", F.col("_want") == F.col("_have"), name))
+    if digest is not None:
+        one = manifest.sparkSession.range(1)
+        checks.append(condition(one, "digest_matches", F.lit(manifest_digest(manifest) == digest)))
+    if declared is not None:
+        count_of = {"images": F.count("*"), "groups": F.count_distinct("group_id")}
+        seen = expected_counts(manifest, declared, {n: count_of.get(n, F.count_if(F.col("split") == n)) for n in declared})
+        checks.append(check(seen, "report_agrees", F.col("ok"), F.col("name")))
     return report(checks)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,15 @@ def check(df: DataFrame, name: str, predicate: Column, example: Column | str = "
     return bad.agg(F.count("*").alias("n_bad")).crossJoin(few).select(F.lit(name).alias("check"), (F.col("n_bad") == 0).alias("ok"), "n_bad", "examples")
 
 
+def row_checks(df: DataFrame, predicates: Mapping[str, Column], example: Column | str) -> DataFrame:
+    """``check`` for many predicates over the same rows in one pass; the smallest example of each."""
+    shown = example if isinstance(example, Column) else F.col(example)
+    bad = {name: ~F.coalesce(p, F.lit(False)) for name, p in predicates.items()}
+    one = df.agg(*(x for i, b in enumerate(bad.values()) for x in (F.count_if(b).alias(f"n{i}"), F.min(F.when(b, shown.cast("string"))).alias(f"e{i}"))))
+    rows = F.array(*(F.struct(F.lit(name).alias("check"), (F.col(f"n{i}") == 0).alias("ok"), F.col(f"n{i}").alias("n_bad"), F.array_compact(F.array(f"e{i}")).alias("examples")) for i, name in enumerate(bad)))
+    return one.select(F.inline(rows))
+
+
 def condition(df: DataFrame, name: str, holds: Column, n_bad: Column | None = None) -> DataFrame:
     """One check row from a one-row aggregate ``df``."""
     ok = F.coalesce(holds, F.lit(False))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.session import checkpointed
 from curatrix.functions.text import hex_lane
 from curatrix.operators.expectations import check, enforce, report, unique_check
+from curatrix.operators.windows import global_row_number
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,6 +189,15 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalars.limit(1)))  # one row
 
 
+def positional_mismatches(left: DataFrame, right: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``place`` and ``problem`` of records that differ place by place, each side in its order of ``order`` (unique values).
+
+    Places count from 0; a side that is longer has 'left_only' or 'right_only' rows. Equal nulls agree.
+    """
+    sides = [global_row_number(df.select(order, *(c for c in columns if c != order)), order, "place") for df in (left, right)]
+    return reconcile(*sides, ["place"], columns)
+
+
 def align(left: DataFrame, right: DataFrame, key: str, allow_superset: bool = False) -> DataFrame:
     """``right``'s records joined to their ``left`` ones, keys unique on both sides. Every right record must be found; without
     ``allow_superset`` the two key sets must be equal."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +103,37 @@ def view_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 100).alias("w"), (2 * F.col("p_size") + 51).alias("h"))
     p = p.withColumn("scale", sample.chosen_scale(F.col("p_partkey"), 7, 3, _SCALES))
     return p.select("p_partkey", "scale", sample.centre_crop(F.col("w"), F.col("h"), F.col("scale")).alias("c")).select("p_partkey", "scale", "c.*")
+
+
+def _grey_png(width: int, rows: list[bytes]) -> bytes:
+    """A PNG of grey rows."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+
+
+@query("SELECT 'p' || p_partkey AS path, CASE p_partkey % 5 WHEN 1 THEN 'cut off' WHEN 2 THEN 'checksum of IDAT' WHEN 3 THEN 'pixels' WHEN 4 THEN 'unknown format' END AS fault FROM part")
+def image_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images made of part names, four in five of them faulty in one way or another."""
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for key, name in zip(batch["p_partkey"], batch["p_name"]):
+                raw, kind = name.encode(), key % 5
+                png = _grey_png(len(raw) + (kind == 3), [raw, raw[::-1]])
+                at = png.index(b"IDAT") + 6
+                out.append(png if kind in (0, 3) else png[:-7] if kind == 1 else png[:at] + bytes([png[at] ^ 1]) + png[at + 1 :] if kind == 2 else raw)
+            yield pd.DataFrame({"path": [f"p{k}" for k in batch["p_partkey"]], "content": out})
+
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return bundles.image_faults(part.mapInPandas(draw, "path string, content binary"))
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, c_nationkey AS n FROM customer), r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS place, s_nationkey AS n FROM supplier)
+  SELECT place, CASE WHEN l.place IS NULL THEN 'right_only' WHEN r.place IS NULL THEN 'left_only' ELSE 'n' END AS problem FROM l FULL JOIN r USING (place) WHERE l.n IS DISTINCT FROM r.n OR l.place IS NULL OR r.place IS NULL""")
+def positional_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers, place by place: which nations differ."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    return joins.positional_mismatches(c, s, "k", ["n"])

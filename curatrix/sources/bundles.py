@@ -263,7 +263,7 @@ def download(urls: DataFrame, get: Callable[[str], bytes] | None = None, partiti
         fetch = get or (lambda u: urllib.request.urlopen(u, timeout=120).read())
         for batch in batches:
             for row in batch.itertuples(index=False):
-                data = fetch(row.url)
+                data = patiently(lambda: fetch(row.url))  # noqa: B023
                 md5 = hashlib.md5(data).hexdigest()
                 if pd.notna(row.size) and int(row.size) != len(data) or row.etag and isinstance(row.etag, str) and row.etag.strip('"') != md5:
                     raise ExpectationFailed(f"{row.image_name} differs from what was announced")
@@ -295,6 +295,89 @@ def image_headers(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, format string, width long, height long")
 
 
+#: Fixed values of the PNG standard: channels by colour type, and Adam7's passes (first column, first row, column step, row step).
+PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def png_fault(data: bytes) -> str | None:
+    """Why a PNG is not whole: chunks and their checksums, and pixels of just the size that the header announces."""
+    at, packed, head, ended = 8, [], None, False
+    while at + 12 <= len(data) and not ended:
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if at + 12 + n > len(data):
+            return "cut off"
+        body = data[at + 8 : at + 8 + n]
+        if zlib.crc32(kind + body) != int.from_bytes(data[at + 8 + n : at + 12 + n], "big"):
+            return f"checksum of {kind.decode('latin-1')}"
+        if (head is None) != (kind == b"IHDR"):
+            return "order of chunks"
+        if kind == b"IHDR":
+            if n != 13 or body[9] not in PNG_CHANNELS or body[12] > 1 or not any(body[:4]) or not any(body[4:8]):
+                return "header"
+            head = body
+        elif kind == b"IDAT":
+            packed.append(body)
+        ended = kind == b"IEND"
+        at += 12 + n
+    if not ended:
+        return "cut off"
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    bits = head[8] * PNG_CHANNELS[head[9]]
+    passes = ADAM7 if head[12] else ((0, 0, 1, 1),)
+    parts = [(-(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in passes if width > x and height > y]
+    size = sum(h * (1 + -(-w * bits // 8)) for w, h in parts)
+    unpack = zlib.decompressobj()
+    try:
+        pixels = unpack.decompress(b"".join(packed), size + 1)
+    except zlib.error:
+        return "pixels"
+    return None if len(pixels) == size else "pixels"
+
+
+def jpeg_fault(data: bytes) -> str | None:
+    """Why a JPEG is not whole: segments, a frame before the scans, and its end marker after them."""
+    at, framed, scanned = 2, False, False
+    while at + 2 <= len(data):
+        if data[at] != 0xFF:
+            return "order of segments"
+        kind = data[at + 1]
+        if kind == 0xFF:
+            at += 1
+            continue
+        if kind == 0xD9:
+            return None if scanned else "no scan"
+        if at + 4 > len(data):
+            break
+        n = int.from_bytes(data[at + 2 : at + 4], "big")
+        if n < 2:
+            return "length of a segment"
+        framed |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
+        at += 2 + n
+        if kind == 0xDA:
+            if not framed:
+                return "no frame"
+            scanned = True
+            while 0 <= (at := data.find(b"\xff", at)) and (data[at + 1 : at + 2] == b"\0" or data[at + 1 : at + 2] and 0xD0 <= data[at + 1] <= 0xD7):
+                at += 2
+            if at < 0:
+                break
+    return "cut off"
+
+
+def image_faults(files: DataFrame) -> DataFrame:
+    """``path, fault`` of PNG and JPEG contents: null for whole ones, else what is wrong; other formats are 'unknown format'."""
+
+    def fault(data: bytes) -> str | None:
+        return png_fault(data) if data[:8] == b"\x89PNG\r\n\x1a\n" else jpeg_fault(data) if data[:2] == b"\xff\xd8" else "unknown format"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "fault": [fault(bytes(c)) for c in batch["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, fault string")
+
+
 def perceptual_hash(pixels: DataFrame, hash_size: int = 8, factor: int = 4) -> DataFrame:
     """``key, perceptual_hash``: DCT hash of grey images ``key, pixels`` (array of hash_size * factor rows of as many numbers, flat).
 

@@ -194,3 +194,42 @@ def test_bundles_round_trip(spark):
     with pytest.raises(Exception, match="lacks"):
         bundles.npz_rows(bundles.npz_bundles(df), "i long", ("w",)).collect()
     assert np.isfinite([x["i"] for x in got.collect()]).all()
+
+
+def segment(kind, body):
+    return bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def test_jpegs_are_whole_or_not():
+    frame, scan = segment(0xC0, bytes(15)), segment(0xDA, bytes(10))
+    coded = b"\x12\xff\x00\x34\xff\xd0\x56"
+    whole = b"\xff\xd8" + segment(0xE0, b"JFIF") + frame + scan + coded + b"\xff\xd9"
+    progressive = b"\xff\xd8" + segment(0xC2, bytes(15)) + scan + coded + segment(0xC4, bytes(20)) + scan + coded + b"\xff\xff\xd9" + b"trailing"
+    assert bundles.jpeg_fault(whole) is None and bundles.jpeg_fault(progressive) is None
+    assert {bundles.jpeg_fault(whole[:n]) for n in range(2, len(whole))} == {"cut off"}
+    assert bundles.jpeg_fault(b"\xff\xd8" + scan + coded + b"\xff\xd9") == "no frame"
+    assert bundles.jpeg_fault(b"\xff\xd8" + frame + b"\xff\xd9") == "no scan"
+    assert bundles.jpeg_fault(b"\xff\xd8junk") == "order of segments"
+
+
+def test_pngs_are_whole_or_not():
+    from curatrix.plans.queries_files import _grey_png
+
+    png = _grey_png(5, [b"abcde", b"fghij"])
+    assert bundles.png_fault(png) is None
+    for n in range(8, len(png)):
+        assert bundles.png_fault(png[:n]) == "cut off"
+    for n in range(8, len(png)):
+        assert bundles.png_fault(png[:n] + bytes([png[n] ^ 4]) + png[n + 1 :]) is not None
+    assert bundles.png_fault(_grey_png(6, [b"abcde", b"fghij"])) == "pixels"
+
+
+def test_preflight_compares_digest_and_report(spark):
+    rows = [(f"i{n}", f"img/{n}.jpg", f"{n:064x}", f"{n:016x}", n % 2, split, f"g{n}") for n, split in enumerate(["train"] * 4 + ["validation"] * 2 + ["test"] * 2)]
+    df = spark.createDataFrame(rows, "image_name string, image_path string, sha256 string, perceptual_hash string, target int, split string, group_id string")
+    links = spark.createDataFrame([], "split_differ long")
+    good = curation.preflight(df, links, digest=provenance.manifest_digest(df), declared={"images": 8, "groups": 8, "train": 4})
+    assert [r["check"] for r in good.where("not ok").collect()] == []
+    bad = {r["check"]: r for r in curation.preflight(df.withColumn("target", F.col("target") * 2), links, digest="x", declared={"images": 9, "test": 2}).collect()}
+    assert {c for c, r in bad.items() if not r["ok"]} == {"target_binary", "digest_matches", "report_agrees"}
+    assert bad["target_binary"]["n_bad"] == 4 and bad["target_binary"]["examples"] == ["i1"] and bad["report_agrees"]["examples"] == ["images"]
