@@ -183,8 +183,13 @@ def expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.expected_counts(m, {"groups": 5, "images": 1000}, {"groups": F.count_distinct("group_id"), "images": F.count("*")})
 
 
-@query("""SELECT * FROM (VALUES ('image_name_disjoint', true, 0), ('group_id_disjoint', true, 0), ('patient_id_disjoint', false, 1), ('sha256_disjoint', true, 0), ('blank_patient_declared', false, 1),
-  ('single_perceptual_hash_algorithm', true, 0), ('single_perceptual_hash_bits', true, 0), ('single_near_duplicate_hamming_threshold', false, 1)) t("check", ok, n_bad)""")
+_SHARED = " UNION ALL ".join(f"SELECT '{c}_disjoint' AS c, (SELECT count(*) FROM (SELECT {c} FROM b WHERE trim({c}) <> '' INTERSECT SELECT {c} FROM e)) AS n" for c in ("image_name", "group_id", "patient_id", "sha256"))
+_SINGLE = " UNION ALL ".join(f"SELECT 'single_{c}', (SELECT count(DISTINCT {c}) - 1 FROM n)" for c in ("perceptual_hash_algorithm", "perceptual_hash_bits", "near_duplicate_hamming_threshold"))
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, 'img' || n_nationkey AS image_name, 'g' || n_nationkey AS group_id, CASE n_nationkey WHEN 13 THEN ' ' WHEN 14 THEN 'p3' ELSE 'p' || n_nationkey END AS patient_id, sha256(n_name) AS sha256,
+    'phash' AS perceptual_hash_algorithm, 64 AS perceptual_hash_bits, CASE WHEN n_nationkey < 12 THEN 6 ELSE 8 END AS near_duplicate_hamming_threshold FROM nation), b AS (SELECT * FROM n WHERE k < 12), e AS (SELECT * FROM n WHERE k >= 12),
+  c AS ({_SHARED} UNION ALL SELECT 'blank_patient_declared', (SELECT count(*) FROM e WHERE trim(patient_id) = '') UNION ALL {_SINGLE}) SELECT c AS "check", n = 0 AS ok, n AS n_bad FROM c""")
 def augmentation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(
         F.concat(F.lit("img"), F.col("n_nationkey").cast("string")).alias("image_name"),

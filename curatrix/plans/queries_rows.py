@@ -345,9 +345,11 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.set_differences(left, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def set_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.complement(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").distinct()
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return sets.complement(table(spark, sf_dir, "customer").select("c_custkey"), urgent, "c_custkey").distinct()
 
 
 @query("SELECT NULL::DOUBLE AS balance, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT s_acctbal, NULL, s_name FROM supplier")
