@@ -90,7 +90,7 @@ def split_preconditions(manifest: DataFrame, *, hash_digits: int = 16, folds: in
 def preflight(manifest: DataFrame, links: DataFrame, *, splits: Sequence[str] = ("train", "validation", "test"), hash_digits: int = 16, constants: Sequence[str] = (), files: DataFrame | None = None, digest: str | None = None, declared: Mapping[str, int] | None = None) -> DataFrame:
     """Check rows of a split manifest: keys, formats, splits, targets, leakage, near-duplicate evidence and, with files, contents.
 
-    ``links`` are those of ``near_duplicate_links`` by split: pairs are counted, not listed. ``digest`` is the manifest's recorded digest, and
+    ``links`` are those of ``near_duplicate_links`` by split, or their totals: pairs are counted, not listed. ``digest`` is the manifest's recorded digest, and
     ``declared`` has the counts that its report states: of images, groups, and of each split by name.
     """
     name = F.col("image_name")
