@@ -5,11 +5,14 @@ Rows are counted by (logit, target) once; every step of a fit is one small aggre
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,34 +105,34 @@ def development_calibration(df: DataFrame, *, logit: str = "logit", target: str
 
 #: Draws (samples times groups) that NumPy's generator makes on the driver at most.
 MAX_DRIVER_DRAWS = 50_000_000
+#: Groups of a block, draws of a portion and digests held at once when draws are made by hash; copies of the rows that replicates are dealt over.
+GROUP_BLOCK, DRAWN, DIGESTS, DEALS = 1 << 16, 1 << 22, 1 << 16, 2
 BOOTSTRAP_METRICS = ("roc_auc", "pr_auc", "sensitivity", "specificity", "precision")
 
 
+def _bootstrap_groups(df: DataFrame, group: str, target: str) -> DataFrame:
+    return df.groupBy(F.col(group).cast("string").alias("_g")).agg(F.max(target).alias("_y"))
+
+
 def bootstrap_draws(df: DataFrame, samples: int, seed: int, group: str, target: str, draws: str = "numpy") -> DataFrame:
-    """``group, replicate, times``: of each stratum (groups with and without positives) as many groups as it has, with replacement.
+    """Of each stratum (groups with and without positives) as many groups as it has, with replacement.
 
     ``draws`` names who decides, whatever the table's size. 'hash': the j-th draw of a replicate takes the stratum's group of number
-    SHA-256('seed:replicate:stratum:j') modulo the stratum's size, made on the executors from numbered groups. 'numpy': NumPy's default
-    generator, replicate by replicate, positives first; sequential on the driver, so more than ``MAX_DRIVER_DRAWS`` draws are an error.
+    SHA-256('seed:replicate:stratum:j') modulo the stratum's size; ``_y, _block, replicate, times``, the times packed by blocks of
+    ``GROUP_BLOCK`` groups in order, made on the executors in portions of ``DRAWN`` draws. 'numpy': NumPy's default generator, replicate by
+    replicate, positives first, as ``group, replicate, times``; sequential on the driver, so more than ``MAX_DRIVER_DRAWS`` draws are an error.
     """
-    groups = df.groupBy(F.col(group).cast("string").alias("_g")).agg(F.max(target).alias("_y"))
-    groups = checkpointed(groups) if draws == "hash" else groups
+    groups = _bootstrap_groups(df, group, target)
     n, *strata = groups.agg(F.count("*"), F.count_if(F.col("_y") == 1), F.count_if(F.col("_y") == 0)).first()
     if not all(strata):
         raise ValueError("a bootstrap needs groups with and without positives")
     if draws == "hash":
-        numbered = None
-        for y, size in zip((1, 0), strata):
-            part = global_row_number(groups.where(F.col("_y") == y).select("_g"), "_g", "_j").withColumns({"_y": F.lit(y), "_size": F.lit(size)})
-            numbered = part if numbered is None else numbered.union(part)
-        # dealt anew before each row becomes `samples` rows: few groups would else be one task's
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        numbered = checkpointed(numbered)
-        many = numbered.repartition(parts, "_y", "_j").select("_y", "_j", "_size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
-        text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_y").cast("string"), F.col("_j").cast("string"))
-        bits = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")  # 60 bits
-        times = many.select("_y", "replicate", (bits % F.col("_size")).alias("_j")).groupBy("_y", "replicate", "_j").agg(F.count("*").cast("int").alias("times"))
-        return times.join(numbered.select("_y", "_j", "_g"), ["_y", "_j"]).select("_g", "replicate", "times")
+        spark = df.sparkSession
+        portions = [(y, size, a, min(size, a + DRAWN)) for y, size in zip((1, 0), strata) for a in range(0, size, DRAWN)]
+        asked = spark.range(samples, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").cast("int").alias("replicate"))
+        asked = asked.crossJoin(F.broadcast(spark.createDataFrame(portions, "_y int, size long, begin long, end long")))  # a few rows
+        sizes = GROUP_BLOCK, DIGESTS
+        return asked.mapInArrow(lambda batches: hash_draws(batches, seed, *sizes), "_y int, _block long, replicate int, times binary")
     if n * samples > MAX_DRIVER_DRAWS:
         raise ValueError(f"{n * samples} draws: beyond {MAX_DRIVER_DRAWS} take draws='hash'")
     rows = groups.orderBy("_g").collect()
@@ -143,14 +146,106 @@ def bootstrap_draws(df: DataFrame, samples: int, seed: int, group: str, target:
     return df.sparkSession.createDataFrame(pa.concat_tables(parts))
 
 
+def hash_draws(batches: Iterator[pa.RecordBatch], seed: int, size_of_block: int, digests: int) -> Iterator[pa.RecordBatch]:
+    """Of rows ``_y, size, replicate, begin, end``: how often draws begin to end take each group, packed by blocks of groups."""
+    for batch in batches:
+        for y, size, replicate, begin, end in zip(*(batch.column(c).to_pylist() for c in ("_y", "size", "replicate", "begin", "end"))):
+            head, digest = f"{seed}:{replicate}:{y}:".encode(), hashlib.sha256
+            got = np.empty(end - begin, np.int64)
+            for a in range(begin, end, digests):
+                z = min(end, a + digests)
+                heads = b"".join([digest(b"%b%d" % (head, j)).digest()[:8] for j in range(a, z)])
+                got[a - begin : z - begin] = (np.frombuffer(heads, ">u8") >> np.uint64(4)).astype(np.int64) % size  # 60 bits
+            block, place = np.divmod(got, size_of_block)
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            packed = []
+            for at, to in zip(cuts, np.append(cuts[1:], len(order))):
+                times = np.bincount(place[order[at:to]])
+                kind = np.min_scalar_type(int(times.max()))
+                packed.append(zlib.compress(times.astype(kind).tobytes(), 1) + bytes([kind.itemsize]))
+            n = len(cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, y, np.int32)), pa.array(block[order[cuts]]), pa.array(np.full(n, replicate, np.int32)), pa.array(packed, pa.binary())], ["_y", "_block", "replicate", "times"])
+
+
+def weigh_blocks(batches: Iterator[pa.RecordBatch], size_of_block: int) -> Iterator[pa.RecordBatch]:
+    """``replicate, score, n, pos, neg`` of each block of groups: its rows (``times`` null) come first, then the draws of its replicates."""
+    block = None
+    rows: list[pa.RecordBatch] = []
+    ready = None
+    for batch in batches:
+        at = [batch.column(c).to_numpy() for c in ("_y", "_block", "_deal")]
+        new = np.flatnonzero(np.any([np.diff(x, prepend=x[:1]) != 0 for x in at], axis=0))
+        for a, z in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+            if a == z:
+                continue
+            name = tuple(int(x[a]) for x in at)
+            if name != block:
+                block, rows, ready = name, [], None
+            part = batch.slice(a, z - a)
+            drawn = pc.is_valid(part.column("times"))
+            own = part.filter(pc.invert(drawn))
+            if own.num_rows:
+                rows.append(own)
+            part = part.filter(drawn)
+            if not part.num_rows or not rows:
+                continue
+            if ready is None:
+                table = pa.Table.from_batches(rows)
+                words = table.column("_p").combine_chunks().dictionary_encode()
+                scores = pa.concat_arrays([words.dictionary, pa.nulls(1, words.dictionary.type)])
+                where = pc.fill_null(words.indices, len(scores) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                ready = scores, table.column("_place").to_numpy(), 3 * where + table.column("_t").to_numpy(), table.column("_n").to_numpy()
+                rows = rows[:1]  # a mark that there are some
+            scores, place, cell, n = ready
+            for replicate, packed in zip(part.column("replicate").to_pylist(), part.column("times").to_pylist()):
+                times = np.zeros(size_of_block, np.int64)
+                got = np.frombuffer(zlib.decompress(packed[:-1]), f"u{packed[-1]}")
+                times[: len(got)] = got
+                sums = np.bincount(cell, weights=times[place] * n, minlength=3 * len(scores)).astype(np.int64).reshape(-1, 3)
+                some = np.flatnonzero(sums.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), replicate, np.int32)), scores.take(pa.array(some)), pa.array(sums[some].sum(axis=1)), pa.array(sums[some, 1]), pa.array(sums[some, 0])], ["replicate", "score", "n", "pos", "neg"])
+
+
+def drawn_scores(df: DataFrame, drawn: DataFrame, group: str, target: str, score: str) -> DataFrame:
+    """``replicate, score, n, pos, neg``: score tables of the hash draws.
+
+    Neither draws nor weighted rows are written: what is shuffled is a byte or less a replicate and group, ``DEALS`` copies of the counted rows,
+    and sums by replicate and score of each block of groups.
+    """
+    groups = _bootstrap_groups(df, group, target)
+    numbered = None
+    for y in (1, 0):
+        part = global_row_number(groups.where(F.col("_y") == y).select("_g"), "_g", "_j").withColumn("_y", F.lit(y))
+        numbered = part if numbered is None else numbered.union(part)
+    kind = F.when(F.col(target) == 1, 1).when(F.col(target) == 0, 0).otherwise(2)
+    slim = df.groupBy(F.col(group).cast("string").alias("_g"), F.col(score).cast("double").alias("_p"), kind.alias("_t")).agg(F.count("*").alias("_n"))
+    rows = slim.join(numbered, "_g").withColumn("_deal", F.explode(F.array(*map(F.lit, range(DEALS)))))
+    place = (F.col("_j") % GROUP_BLOCK).cast("int").alias("_place")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = rows.select("_y", F.expr(f"_j div {GROUP_BLOCK}").alias("_block"), "_deal", null("int").alias("replicate"), null("binary").alias("times"), place, "_p", "_t", "_n")
+    deal = (F.col("replicate") % DEALS).cast("int").alias("_deal")
+    both = rows.union(drawn.select("_y", "_block", deal, "replicate", "times", null("int"), null("double"), null("int"), null("long")))
+    dealt = both.repartition("_y", "_block", "_deal").sortWithinPartitions("_y", "_block", "_deal", F.col("replicate").asc_nulls_first())
+    size = GROUP_BLOCK
+    sums = dealt.mapInArrow(lambda batches: weigh_blocks(batches, size), "replicate int, score double, n long, pos long, neg long")
+    return sums.groupBy("replicate", "score").agg(*(F.sum(c).alias(c) for c in ("n", "pos", "neg")))
+
+
 def bootstrap_intervals(df: DataFrame, *, threshold: float, samples: int = 2000, confidence: float = 0.95, seed: int = 2026, group: str = "group_id", target: str = "target", score: str = "p", draws: str = "numpy") -> DataFrame:
     """``metric, low, high``: quantiles over replicates of metrics that weigh each group's rows by its draws."""
     if samples < 100:
         raise ValueError("at least 100 samples")
     drawn = bootstrap_draws(df, samples, seed, group, target, draws)
+    if draws == "hash":
+        return _intervals(checkpointed(drawn_scores(df, drawn, group, target, score)), threshold, confidence)
     slim = df.groupBy(F.col(group).cast("string").alias("_g"), F.col(score).alias("_p"), F.col(target).alias("_y")).agg(F.count("*").alias("_n"))
     weighted = slim.join(drawn, "_g").withColumn("_w", F.col("_n") * F.col("times"))
-    table = checkpointed(score_table(weighted, "_y", "_p", ["replicate"], "_w"))
+    return _intervals(checkpointed(score_table(weighted, "_y", "_p", ["replicate"], "_w")), threshold, confidence)
+
+
+def _intervals(table: DataFrame, threshold: float, confidence: float) -> DataFrame:
+    """``metric, low, high`` of the replicates' score tables."""
     ranks = ranking_metrics(table, ["replicate"])
     part = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0)).cast("long")
     hit = F.col("score") >= threshold

@@ -38,11 +38,10 @@ def plain_links(rows, threshold):
     return {(*k, *n) for k, n in want.items()}
 
 
-@pytest.mark.parametrize("hot, small, digits, threshold", [(1 << 15, 24, 16, 6), (5, 2, 16, 6), (7, 24, 16, 4), (6, 2, 32, 8), (6, 3, 16, 15)])
-def test_links_of_dealt_groups_equal_all_pairs(spark, monkeypatch, hot, small, digits, threshold):
-    for name, value in (("HOT_KEY", hot), ("SMALL", small), ("CELLS", 40), ("PAIRS", 50)):
-        monkeypatch.setattr(hamming, name, value)
-    rows = rows_of(threshold, digits)
+@pytest.mark.parametrize("hot, n, digits, threshold", [(1 << 15, 200, 16, 6), (5, 160, 16, 6), (20, 280, 16, 4), (20, 280, 32, 8), (6, 160, 16, 15)])
+def test_links_of_dealt_groups_equal_all_pairs(spark, monkeypatch, hot, n, digits, threshold):
+    monkeypatch.setattr(hamming, "HOT_KEY", hot)  # on the driver; tiles of two blocks of 20 are compared as large groups, of 5 as small ones
+    rows = rows_of(threshold, digits, n)
     df = spark.createDataFrame(rows, "image_name string, perceptual_hash string, split string, group_id string").repartition(3)
     got = joins.near_duplicate_links(df, threshold, ("split", "group_id"), digits=digits)
     want = plain_links(rows, threshold)

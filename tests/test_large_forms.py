@@ -61,6 +61,33 @@ def test_bootstrap_by_hash_equals_plain_draws(spark):
         assert got[name] == pytest.approx((np.quantile(column, 0.025), np.quantile(column, 0.975)))
 
 
+@pytest.mark.parametrize("block, drawn, digests", [(1 << 16, 1 << 22, 1 << 16), (7, 11, 4), (3, 5, 100)])
+def test_hash_draws_in_small_pieces_count_every_draw(spark, monkeypatch, block, drawn, digests):
+    for name, value in (("GROUP_BLOCK", block), ("DRAWN", drawn), ("DIGESTS", digests)):
+        monkeypatch.setattr(calibration, name, value)
+    r = random.Random(5)
+    rows = [(f"g{r.randrange(40):02d}", r.choice([0, 0, 1, None]), r.choice([None, 0.25, 0.5, 0.75])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "group_id string, target int, p double")
+    drawn = calibration.bootstrap_draws(df, 6, 3, "group_id", "target", "hash")
+    # what tasks hand on is packed: a row a replicate, block and portion, not a row a draw
+    assert drawn.columns == ["_y", "_block", "replicate", "times"]
+    got = {(x["replicate"], x["score"]): (x["n"], x["pos"], x["neg"]) for x in calibration.drawn_scores(df, drawn, "group_id", "target", "p").collect()}
+    by = {}
+    for g, y, p in rows:
+        by.setdefault(g, []).append((y, p))
+    want = {}
+    for v in (1, 0):
+        names = sorted(g for g in by if max((y for y, _ in by[g] if y is not None), default=None) == v)
+        for i in range(6):
+            for j in range(len(names)):
+                for y, p in by[names[int(hashlib.sha256(f"3:{i}:{v}:{j}".encode()).hexdigest()[:15], 16) % len(names)]]:
+                    n = want.setdefault((i, p), [0, 0, 0])
+                    n[0] += 1
+                    n[1] += y == 1
+                    n[2] += y == 0
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 def test_too_many_draws_for_the_driver_say_so(spark, monkeypatch):
     monkeypatch.setattr(calibration, "MAX_DRIVER_DRAWS", 10)
     with pytest.raises(ValueError, match="hash"):
