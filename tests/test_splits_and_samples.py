@@ -53,6 +53,19 @@ def test_group_folds_are_balanced_and_repeatable(spark):
     assert split.stratified_group_folds(df.where("false"), 5, 3).count() == 0
 
 
+def test_group_folds_by_blocks_equal_the_greedy_step(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(split, "FOLD_BLOCK", 7)
+    rows = [(f"r{g}-{i}", f"g{g:02d}", int((g + i) % 4 == 0)) for g in range(40) for i in range(1 + g % 5)]
+    df = spark.createDataFrame(rows, "record_id string, group_id string, target int")
+    counts = np.array([[sum(t == y for _, n, t in rows if n == f"g{g:02d}") for y in (0, 1)] for g in range(40)], float)
+    want = {f"g{g:02d}": int(f) for g, f in enumerate(split.greedy_group_folds(counts, 5, 3))}
+    got = split.stratified_group_folds(df, 5, 3)
+    assert {r["group_id"]: r["fold"] for r in got.collect()} == want and got.count() == len(rows)
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hash_partition_is_that_of_sha256(spark):
     import hashlib
 
