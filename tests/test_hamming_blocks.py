@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from curatrix.functions.session import checkpointed
 from curatrix.operators import dedup, hamming, joins
+from curatrix.operators.graph import connected_components
 
 
 def rows_of(seed, digits=16, n=160):
@@ -103,3 +105,20 @@ def test_components_of_dealt_groups_equal_all_pairs(spark, monkeypatch, hot):
     want = {(n, k, no, len(v)) for no, (k, v) in enumerate(sorted(several.items()), 1) for n in v}
     df = spark.createDataFrame([x[:2] for x in rows], "image_name string, perceptual_hash string")
     assert {tuple(x) for x in dedup.near_duplicate_components(df, 4).collect()} == want
+
+
+def estimate(df):
+    """Bits of the size that Spark expects."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    rows = spark.range(40).selectExpr("id", "id % 7 AS k")
+    for _ in range(5):
+        rows = checkpointed(rows.join(rows.selectExpr("id", "k AS l"), "id").join(rows.selectExpr("id", "k AS n"), "id").selectExpr("id", "k + l - n AS k"))
+    assert estimate(rows) <= 63 and {tuple(x) for x in rows.collect()} == {(i, i % 7) for i in range(40)}
+    chain = spark.range(90).selectExpr("format_string('n%03d', id) AS a", "format_string('n%03d', id + 1) AS b")
+    roots = connected_components(chain)
+    assert estimate(roots) < 500 and {tuple(x) for x in roots.collect()} == {(f"n{i:03d}", "n000") for i in range(91)}
+    df = spark.createDataFrame([x[:2] for x in rows_of(8, n=240)], "image_name string, perceptual_hash string")
+    assert estimate(dedup.near_duplicate_components(df, 4)) < 1000
