@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from curatrix.plans import catalogue
+from curatrix.plans import bridge, catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -31,3 +31,15 @@ def test_no_python_and_no_nested_loops_over_tables(spark, name):
 def test_plans_read_only_the_columns_they_need(spark):
     text = plan(spark, "value_counts")
     assert re.search(r"ReadSchema: struct<source:string>", text)
+
+
+@pytest.mark.parametrize("name", ["component_survivors"])
+def test_estimates_of_survivors_stay_small(spark, name):
+    """A size of a few joins since the last cut, not of all rounds."""
+    size = catalogue.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size.bit_length() < 2000
+
+
+def test_texts_are_hashed_below_the_join_of_labels(spark):
+    plan = bridge.manifest(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("ArrowEvalPython")
