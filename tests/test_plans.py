@@ -33,7 +33,7 @@ def test_plans_read_only_the_columns_they_need(spark):
     assert re.search(r"ReadSchema: struct<source:string>", text)
 
 
-@pytest.mark.parametrize("name", ["component_survivors"])
+@pytest.mark.parametrize("name", ["component_survivors", "protected_survivors"])
 def test_estimates_of_survivors_stay_small(spark, name):
     """A size of a few joins since the last cut, not of all rounds."""
     size = catalogue.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
